@@ -1,0 +1 @@
+"""Empty on purpose: rules are evaluated over bounded tables, there is no stream to read."""
