@@ -91,7 +91,7 @@ def rules_from_lines(
 
 def _rule_set(lines: DataFrame, prefixes: Mapping[str, str] | None) -> RuleSet:
     atoms = rule_atoms(lines, prefixes or {})
-    rows = atoms.orderBy("rule_id", "pos").collect()
+    rows = sorted(atoms.collect(), key=lambda row: (row["rule_id"], row["pos"]))
     grouped: dict[int, dict[str, list[Atom]]] = {}
     for row in rows:
         if row["role"] == "malformed":
