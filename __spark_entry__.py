@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import hornfold as hf
@@ -23,59 +23,55 @@ Query = Callable[[SparkSession, str], DataFrame]
 # ---------------------------------------------------------------------------------------------
 
 
-def node(kind: str, *ids: str | Column) -> Column:
-    parts = [F.col(i) if isinstance(i, str) else i for i in ids]
-    return F.concat(F.lit(f"<{kind}"), *(x for i in parts for x in (F.lit("/"), i.cast("string"))), F.lit(">"))
+# Columns the facts use. Stating them spares a job per table that would infer the schema.
+COLUMNS = {
+    "nation": "n_nationkey int, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "lineitem": "l_orderkey bigint, l_suppkey bigint",
+    "part": "p_partkey bigint, p_size int",
+    "conversations": "conv_id bigint, turn bigint",
+}
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All triples. Only the order-supplier edges can repeat; the others are one per primary key."""
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    nation, customer, supplier = table("nation"), table("customer"), table("supplier")
-    parent = (F.col("p_partkey") / 2).cast("bigint")
+def node(kind: str, *ids: str) -> str:
+    """SQL for an IRI such as ``<turn/12/3>``."""
+    return f"concat('<{kind}/', {", '/', ".join(ids)}, '>')"
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All triples. Only the order-supplier edges can repeat; the others are one per primary key."""
+    nation, customer, supplier, orders, lineitem, part, conversations = (table(spark, sf_dir, name) for name in COLUMNS)
+    turns = conversations.distinct()
+    # Each turn points to the following one: an equi-join on conversation and turn number.
+    followed = turns.join(turns.selectExpr("conv_id", "turn - 1 AS turn"), ["conv_id", "turn"])
     return hf.union_triples(
         hf.edge_triples(nation, node("nation", "n_nationkey"), "<inRegion>", node("region", "n_regionkey")),
         hf.edge_triples(customer, node("customer", "c_custkey"), "<inNation>", node("nation", "c_nationkey")),
         hf.edge_triples(supplier, node("supplier", "s_suppkey"), "<inNation>", node("nation", "s_nationkey")),
         hf.member_triples(customer, node("customer", "c_custkey"), "<Customer>"),
         hf.member_triples(supplier, node("supplier", "s_suppkey"), "<Supplier>"),
-        hf.edge_triples(table("orders"), node("order", "o_orderkey"), "<placedBy>", node("customer", "o_custkey")),
-        hf.edge_triples(
-            table("lineitem").select("l_orderkey", "l_suppkey").distinct(),
-            node("order", "l_orderkey"),
-            "<suppliedBy>",
-            node("supplier", "l_suppkey"),
-        ),
+        hf.edge_triples(orders, node("order", "o_orderkey"), "<placedBy>", node("customer", "o_custkey")),
         hf.edge_triples(
-            table("part"), node("part", "p_partkey"), "<size>", F.concat(F.lit('"'), F.col("p_size").cast("string"), F.lit('"'))
+            lineitem.distinct(), node("order", "l_orderkey"), "<suppliedBy>", node("supplier", "l_suppkey")
         ),
+        hf.edge_triples(part, node("part", "p_partkey"), "<size>", "concat('\"', p_size, '\"')"),
         hf.edge_triples(
-            table("part").filter(F.col("p_partkey") >= 2), node("part", "p_partkey"), "<derivedFrom>", node("part", parent)
+            part.filter("p_partkey >= 2"), node("part", "p_partkey"), "<derivedFrom>", node("part", "p_partkey div 2")
         ),
-        next_turns(table("conversations")),
-    )
-
-
-def next_turns(conversations: DataFrame) -> DataFrame:
-    """Each turn points to the following one, an equi-join on conversation and turn number."""
-    turns = conversations.select("conv_id", "turn").distinct()
-    later = turns.select("conv_id", (F.col("turn") - 1).alias("turn"))
-    return hf.edge_triples(
-        turns.join(later, ["conv_id", "turn"]),
-        node("turn", "conv_id", "turn"),
-        "<next>",
-        node("turn", F.col("conv_id"), F.col("turn") + 1),
+        hf.edge_triples(followed, node("turn", "conv_id", "turn"), "<next>", node("turn", "conv_id", "turn + 1")),
     )
 
 
 def thread_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts plus the class of opening turns."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter(F.col("turn") == 0)
-    openings = hf.member_triples(turns.select("conv_id", "turn").distinct(), node("turn", "conv_id", "turn"), "<Opening>")
-    return facts(spark, sf_dir).unionByName(openings)
+    opening = table(spark, sf_dir, "conversations").filter("turn = 0").distinct()
+    return facts(spark, sf_dir).unionByName(hf.member_triples(opening, node("turn", "conv_id", "turn"), "<Opening>"))
 
 
 # The same facts for the SQL side.

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornfold.functions.terms import BUILTINS, RDF_TYPE, is_type, pred_key
+from hornfold.functions.terms import BUILTINS, RDF_TYPE
 
 Key = tuple[str, bool]
 
 # Shapes of the rule text. A term is a quoted literal (a suffix is dropped, as in the data),
 # an IRI in angle brackets, or a bare word.
-_TERM = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:@[\w-]+|\^\^(?:<[^>]*>|[\w:]+))?|<[^>]*>|[^\s()^,"<>]+'
-_NAME = r"(?:rdf:type\s+)?(?:<[^>]*>|[^\s()^,\"<>]+)"
+_LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_WORD = r'<[^>]*>|[^\s()^,"<>]+'
+_TERM = rf"{_LITERAL}(?:@[\w-]+|\^\^(?:<[^>]*>|[\w:]+))?|{_WORD}"
+_NAME = rf"(?:rdf:type\s+)?(?:{_WORD})"
 _ATOM = rf"{_NAME}\s*\(\s*(?:{_TERM})(?:[\s,]+(?:{_TERM}))?\s*\)"
 _RULE = rf"^\s*{_ATOM}(?:\s*\^\s*{_ATOM})*\s*->\s*{_ATOM}\s*$"
 _ATOM_PARTS = rf"(?s)^({_NAME})\s*\((.*)\)$"
@@ -75,18 +78,19 @@ def is_variable(term: str) -> bool:
 
 def load_rules(spark: SparkSession, path: str, prefixes: Mapping[str, str] | None = None) -> RuleSet:
     """Read a rule file, one ``atom ^ atom -> atom`` per line; blank and ``#`` lines are skipped (S3)."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.split("value", r"\r\n|\n|\r").alias("lines")
+    files = spark.read.text(path, wholetext=True).selectExpr(
+        "_metadata.file_path AS file", r"split(value, r'\r\n|\n|\r') AS lines"
     )
-    ordered = files.agg(F.array_sort(F.collect_list(F.struct("file", "lines"))).alias("files"))
-    return _rule_set(ordered.select(F.flatten(F.col("files.lines")).alias("lines")), prefixes)
+    lines = files.selectExpr("flatten(array_sort(collect_list(struct(file, lines))).lines) AS lines")
+    return _rule_set(lines, prefixes)
 
 
 def rules_from_lines(
     spark: SparkSession, lines: Iterable[str], prefixes: Mapping[str, str] | None = None
 ) -> RuleSet:
     """Like ``load_rules`` for rules given as strings."""
-    return _rule_set(spark.createDataFrame([(list(lines),)], "lines array<string>"), prefixes)
+    text = spark.range(0, 1, 1, 1).select(F.array(*map(F.lit, lines)).alias("lines"))
+    return _rule_set(text, prefixes)
 
 
 def _rule_set(lines: DataFrame, prefixes: Mapping[str, str] | None) -> RuleSet:
@@ -107,67 +111,60 @@ def _rule_set(lines: DataFrame, prefixes: Mapping[str, str] | None) -> RuleSet:
     return RuleSet(atoms, rules)
 
 
-def rule_atoms(lines: DataFrame, prefixes: Mapping[str, str]) -> DataFrame:
-    """``rule_id, role, pos, s, p, o, is_type, pred_key`` from one array of rule lines."""
-    kept = F.filter("lines", lambda line: (F.trim(line) != "") & ~F.trim(line).startswith("#"))
-    rules = lines.select(F.posexplode(kept).alias("n", "line")).select(
-        (F.col("n") + 1).alias("rule_id"), "line", F.col("line").rlike(_RULE).alias("ok")
-    )
-    texts = F.when(F.col("ok"), F.regexp_extract_all("line", F.lit(_ATOM), F.lit(0))).otherwise(F.array("line"))
-    atoms = (
-        rules.withColumn("texts", texts)
-        .select("rule_id", "ok", F.size("texts").alias("n_atoms"), F.posexplode("texts").alias("pos", "text"))
-        .withColumn("name", F.regexp_extract("text", _ATOM_PARTS, 1))
-        .withColumn(
-            "args",
-            F.transform(
-                F.regexp_extract_all(F.regexp_extract("text", _ATOM_PARTS, 2), F.lit(_TERM), F.lit(0)),
-                lambda token: normalise(token, prefixes),
-            ),
-        )
-        .withColumn("marked_class", F.col("name").rlike(r"^rdf:type\s+"))
-        .withColumn("bare_name", F.regexp_replace("name", r"^rdf:type\s+", ""))
-        .withColumn("name", normalise(F.col("bare_name"), prefixes))
-    )
-    builtin = F.regexp_replace("bare_name", "[<>]", "").isin(list(BUILTINS)) & (F.size("args") == 2)
-    last = F.col("pos") == F.col("n_atoms") - 1
-    unary = F.size("args") == 1
-    patterns = atoms.select(
-        "rule_id",
-        F.when(~F.col("ok"), "malformed")
-        .when(last, "head")
-        .when(builtin, "builtin")
-        .otherwise("body")
-        .alias("role"),
-        "pos",
-        F.when(F.col("ok"), F.get("args", F.lit(0))).otherwise(F.col("text")).alias("s"),
-        F.when(unary | (F.col("name") == "<rdf:type>"), F.lit(RDF_TYPE))
-        .when(builtin, F.regexp_replace("bare_name", "[<>]", ""))
-        .otherwise(F.col("name"))
-        .alias("p"),
-        F.when(unary, F.col("name")).otherwise(F.get("args", F.lit(1))).alias("o"),
-        "marked_class",
-        unary.alias("unary"),
-    )
-    # "rdf:type C(?x, ?y)" has no meaning; it is reported rather than guessed at.
-    role = F.when(F.col("marked_class") & ~F.col("unary"), "malformed").otherwise(F.col("role"))
-    keyed = F.when(role.isin("body", "head"), pred_key(F.col("p"), F.col("o")))
-    return patterns.select(
-        "rule_id", role.alias("role"), "pos", "s", "p", "o", is_type(F.col("p")).alias("is_type"), keyed.alias("pred_key")
-    )
+def normalised(token: str) -> str:
+    """SQL for a term: variables stay, literals lose their suffix, words become IRIs."""
+    word = f"regexp_replace({token}, r'^<|>$', '')"
+    expanded = f"prefixes[split_part({word}, ':', 1)] || substring({word}, instr({word}, ':') + 1)"
+    return rf"""CASE WHEN startswith({token}, '?') THEN {token}
+        WHEN startswith({token}, '"') THEN regexp_extract({token}, r'^({_LITERAL})', 1)
+        WHEN instr({word}, ':') > 0 THEN '<' || coalesce({expanded}, {word}) || '>'
+        ELSE '<' || {word} || '>' END"""
 
 
-def normalise(token: Column, prefixes: Mapping[str, str]) -> Column:
-    """Variables stay, literals lose their suffix, anything else becomes a bracketed IRI."""
-    expanded = token
-    for prefix, iri in prefixes.items():
-        replacement = iri.replace("\\", "\\\\").replace("$", "\\$")
-        expanded = F.regexp_replace(expanded, rf"^(<?)\Q{prefix}:\E", "$1" + replacement)
+def rule_atoms(lines: DataFrame, prefixes: Mapping[str, str]) -> DataFrame:
+    """``rule_id, role, pos, s, p, o, is_type, pred_key`` from one array of rule lines."""
+    arguments = f"regexp_extract_all(regexp_extract(text, r'{_ATOM_PARTS}', 2), r'{_TERM}', 0)"
+    builtins = ", ".join(f"'{name}'" for name in BUILTINS)
     return (
-        F.when(token.startswith("?"), token)
-        .when(token.startswith('"'), F.regexp_replace(token, r'(?s)^("[^"\\]*+(?:\\.[^"\\]*+)*+").*$', "$1"))
-        .when(expanded.startswith("<"), expanded)
-        .otherwise(F.concat(F.lit("<"), expanded, F.lit(">")))
+        lines.withColumn("prefixes", F.from_json(F.lit(json.dumps(dict(prefixes))), "map<string,string>"))
+        .selectExpr(
+            "prefixes", "posexplode(filter(lines, l -> trim(l) != '' AND NOT startswith(trim(l), '#'))) AS (n, line)"
+        )
+        .selectExpr(
+            "prefixes",
+            "n + 1 AS rule_id",
+            f"line RLIKE r'{_RULE}' AS ok",
+            f"if(line RLIKE r'{_RULE}', regexp_extract_all(line, r'{_ATOM}', 0), array(line)) AS texts",
+        )
+        .selectExpr("prefixes", "rule_id", "ok", "size(texts) AS n_atoms", "posexplode(texts) AS (pos, text)")
+        .selectExpr(
+            "*",
+            f"transform({arguments}, t -> {normalised('t')}) AS args",
+            rf"regexp_extract(text, r'{_ATOM_PARTS}', 1) RLIKE r'^rdf:type\s' AS marked_class",
+            rf"regexp_replace(regexp_extract(text, r'{_ATOM_PARTS}', 1), r'^rdf:type\s+', '') AS called",
+        )
+        .selectExpr(
+            "*",
+            f"{normalised('called')} AS name",
+            "size(args) = 1 AS unary",
+            f"size(args) = 2 AND regexp_replace(called, '[<>]', '') IN ({builtins}) AS is_builtin",
+        )
+        .selectExpr(
+            "rule_id",
+            # "rdf:type C(?x, ?y)" has no meaning; it is reported rather than guessed at.
+            """CASE WHEN NOT ok OR (marked_class AND NOT unary) THEN 'malformed'
+                    WHEN pos = n_atoms - 1 THEN 'head' WHEN is_builtin THEN 'builtin' ELSE 'body' END AS role""",
+            "pos",
+            "if(ok, get(args, 0), text) AS s",
+            f"""CASE WHEN unary OR name = '<rdf:type>' THEN '{RDF_TYPE}'
+                     WHEN is_builtin AND pos < n_atoms - 1 THEN regexp_replace(called, '[<>]', '') ELSE name END AS p""",
+            "if(unary, name, get(args, 1)) AS o",
+        )
+        .selectExpr(
+            "*",
+            f"p = '{RDF_TYPE}' AS is_type",
+            f"CASE WHEN role IN ('body', 'head') THEN if(p = '{RDF_TYPE}', o, p) END AS pred_key",
+        )
     )
 
 

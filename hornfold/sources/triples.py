@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornfold.functions.terms import RDF_TYPE, is_type, pred_key
@@ -128,14 +128,14 @@ def relation(triples: DataFrame, key: str, of_type: bool) -> DataFrame:
     return triples.filter(chosen).select("s", "o")
 
 
-def edge_triples(table: DataFrame, subject: Column, predicate: str, obj: Column) -> DataFrame:
-    """One property triple per row of a table."""
-    return table.select(subject.alias("s"), F.lit(predicate).alias("p"), obj.alias("o"))
+def edge_triples(table: DataFrame, subject: str, predicate: str, obj: str) -> DataFrame:
+    """One property triple per row of a table; ``subject`` and ``obj`` are SQL expressions."""
+    return table.select(F.expr(subject).alias("s"), F.lit(predicate).alias("p"), F.expr(obj).alias("o"))
 
 
-def member_triples(table: DataFrame, subject: Column, class_iri: str) -> DataFrame:
+def member_triples(table: DataFrame, subject: str, class_iri: str) -> DataFrame:
     """One class membership triple per row of a table."""
-    return edge_triples(table, subject, RDF_TYPE, F.lit(class_iri))
+    return table.select(F.expr(subject).alias("s"), F.lit(RDF_TYPE).alias("p"), F.lit(class_iri).alias("o"))
 
 
 def union_triples(*parts: DataFrame) -> DataFrame:
