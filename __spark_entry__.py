@@ -46,6 +46,7 @@ def node(kind: str, *ids: str) -> str:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All triples. Only the order-supplier edges can repeat; the others are one per primary key."""
+    hf.tune(spark)
     nation, customer, supplier, orders, lineitem, part, conversations = (table(spark, sf_dir, name) for name in COLUMNS)
     turns = conversations.distinct()
     # Each turn points to the following one: an equi-join on conversation and turn number.

@@ -6,6 +6,7 @@ from hornfold.operators.heads import apply_rules, instantiate
 from hornfold.operators.match import match_body
 from hornfold.plans.fixpoint import Inference, infer
 from hornfold.plans.metadata import predicates, rule_deps, triggered_rules
+from hornfold.plans.session import tune
 from hornfold.sources.rules import Atom, Rule, RuleSet, load_rules, rules_from_lines
 from hornfold.sources.triples import (
     edge_triples,
@@ -40,6 +41,7 @@ __all__ = [
     "save_explanations",
     "save_triples",
     "triggered_rules",
+    "tune",
     "union_triples",
     "write_triple_lines",
 ]

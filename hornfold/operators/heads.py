@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hornfold.functions.terms import RDF_TYPE
 from hornfold.operators.match import column, match_body
-from hornfold.sources.rules import Atom, RuleSet, is_variable
+from hornfold.sources.rules import Atom, Key, Rule, RuleSet, is_variable
 from hornfold.sources.triples import union_triples
 
 
@@ -20,7 +23,24 @@ def instantiate(bindings: DataFrame, head: Atom) -> DataFrame:
 
 
 def apply_rules(kb: DataFrame, rules: RuleSet) -> DataFrame:
-    """Distinct head triples of every rule over ``kb``: one step, lazy, without recursion."""
-    return union_triples(
-        *(instantiate(match_body(kb, rule, count_matches=False), rule.head) for rule in rules.rules)
-    ).distinct()
+    """Distinct head triples of every rule over ``kb``: one step, lazy, without recursion.
+
+    Rules of different head keys cannot give equal triples, so duplicates are removed per key,
+    before the constant predicate or class is added: the shuffle carries only what varies.
+    """
+    by_key: dict[Key, list[Rule]] = {}
+    for rule in rules.rules:
+        by_key.setdefault(rule.head.key, []).append(rule)
+    parts = []
+    for (key, of_type), group in by_key.items():
+        varying = ("s",) if of_type else ("s", "o")
+        pairs = [
+            match_body(kb, rule, count_matches=False).select(
+                *(head_term(getattr(rule.head, field)).alias(field) for field in varying)
+            )
+            for rule in group
+        ]
+        distinct = reduce(DataFrame.unionByName, pairs).distinct()
+        p, o = (F.lit(RDF_TYPE), F.lit(key)) if of_type else (F.lit(key), F.col("o"))
+        parts.append(distinct.select("s", p.alias("p"), o.alias("o")))
+    return union_triples(*parts)

@@ -43,30 +43,31 @@ def join_atoms(
 
     ``first`` names the atom to start from (the one reading new facts), ``rows`` the known sizes.
     """
-    order = join_order(rule.body, first, rows)
-    wanted = existential_free(rule) if not (explain or count_matches) else None
+    wanted = None if explain or count_matches else joining_variables(rule)
     bound: set[str] = set()
     bindings: DataFrame | None = None
-    for i in order:
+    for i in join_order(rule.body, first, rows, wanted):
         atom = rule.body[i]
         right = atom_bindings(relations[i], atom, premise(i) if explain else None)
+        kept = [v for v in atom.variables if wanted is None or v in wanted]
+        if len(kept) < len(atom.variables):
+            # Only the existence of the dropped variable matters. Removing duplicates here lets
+            # each task shrink a hot key to one row before the join shuffles it.
+            right = right.select(*map(column, kept)).distinct() if kept else right.limit(1)
+        shared = [v for v in kept if v in bound]
         if bindings is None:
             bindings = right
         elif not atom.variables:
             bindings = bindings.filter(right.exists())
             if explain:
                 bindings = bindings.withColumn(premise(i), constant_triple(atom))
+        elif not explain and first is None and len(shared) == len(kept):
+            bindings = bindings.join(right, shared, "left_semi")
         else:
-            shared = [v for v in atom.variables if v in bound]
-            fresh = [v for v in atom.variables if v not in bound]
-            tested = wanted is not None and not any(v in wanted for v in fresh)
-            # A membership test keeps or drops a binding. Starting from new facts, an inner join
-            # says the same (relations are sets) and leaves Spark free to broadcast the new side.
-            semi = not explain and (tested if fresh else first is None)
-            bindings = bindings.join(right.select(*map(column, shared)) if semi else right, shared, "left_semi" if semi else "inner")
-            if semi:
-                continue
-        bound.update(atom.variables)
+            # An atom that adds no variable keeps or drops a binding either way, relations being
+            # sets. Starting from new facts the inner join lets Spark broadcast the new side.
+            bindings = bindings.join(right, shared, "inner")
+        bound.update(kept)
     for call in rule.builtins:
         bindings = bindings.filter(builtin_condition(call))
     if explain:
@@ -75,15 +76,19 @@ def join_atoms(
     return bindings
 
 
-def join_order(body: Sequence[Atom], first: int | None, rows: Sequence[int] | None) -> list[int]:
+def join_order(
+    body: Sequence[Atom], first: int | None, rows: Sequence[int] | None, wanted: set[str] | None
+) -> list[int]:
     """Connected order, atoms without variables last; the smaller relation first when sizes are known."""
     waiting = [i for i, atom in enumerate(body) if atom.variables]
     ground = [i for i, atom in enumerate(body) if not atom.variables]
     if not waiting:
         return ground
-    start = first if first in waiting else waiting[0]
-    order = [start]
-    waiting.remove(start)
+    if first not in waiting:
+        # An atom with a variable that is only tested for existence makes a better semi-join.
+        first = min(waiting, key=lambda i: (wanted is not None and not set(body[i].variables) <= wanted, i))
+    order = [first]
+    waiting.remove(first)
     while waiting:
         bound = {v for i in order for v in body[i].variables}
         connected = [i for i in waiting if bound & set(body[i].variables)]
@@ -94,7 +99,7 @@ def join_order(body: Sequence[Atom], first: int | None, rows: Sequence[int] | No
     return order + ground
 
 
-def existential_free(rule: Rule) -> set[str]:
+def joining_variables(rule: Rule) -> set[str]:
     """Variables that the head, a builtin or a second atom needs."""
     needed = {v for atom in (rule.head, *rule.builtins) for v in atom.variables}
     seen: set[str] = set()
