@@ -40,6 +40,7 @@ class FactTables:
         self.folder = folder
         self.ids: dict[Key, int] = {key: i for i, key in enumerate(rules.keys)}
         self.staged = staged
+        self.explained = False
         self.base_rows: dict[Key, int] | None = None
         # Written folders of derived facts: per key, lists of folders by how often they were merged.
         self.older: dict[Key, list[list[str]]] = {}

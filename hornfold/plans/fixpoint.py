@@ -256,17 +256,18 @@ def write_explanations(
         for rule, matches in terms
     ]
     reduce(DataFrame.unionByName, tables).write.parquet(path)
+    facts.explained = True
     written = facts.spark.read.schema(f"{EXPLANATION_SCHEMA}, k int, slot int").parquet(path)
     return written.select("k", "slot", F.col("conclusion.s").alias("s"), F.col("conclusion.o").alias("o"))
 
 
 def read_explanations(facts: FactTables) -> DataFrame:
-    root = f"{facts.folder}/explanations"
-    return (
-        facts.spark.read.schema(f"{EXPLANATION_SCHEMA}, phase int")
-        .parquet(root)
-        .select("phase", "rule_id", "premises", "conclusion")
-    )
+    schema = f"{EXPLANATION_SCHEMA}, phase int"
+    if facts.explained:
+        table = facts.spark.read.schema(schema).parquet(f"{facts.folder}/explanations")
+    else:
+        table = facts.spark.createDataFrame([], schema)
+    return table.select("phase", "rule_id", "premises", "conclusion")
 
 
 def stats_table(facts: FactTables, rows: list[tuple[int, int, int, int, int]]) -> DataFrame:
