@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hornfold.functions.terms import RDF_TYPE, is_type, pred_key
 from hornfold.sources.rules import Key, RuleSet
-from hornfold.sources.triples import relation, rules_only, union_triples
+from hornfold.sources.triples import relation, rules_only, stored_by_key, union_triples
 
 PAIR_SCHEMA = "s string, o string"
 MERGE_EVERY = 16
@@ -36,7 +36,7 @@ class FactTables:
 
     def __init__(self, kb: DataFrame, rules: RuleSet, folder: str, *, staged: bool, distinct_input: bool):
         self.spark = kb.sparkSession
-        self.kb = kb
+        self.kb = kb if staged or distinct_input else kb.distinct()
         self.folder = folder
         self.ids: dict[Key, int] = {key: i for i, key in enumerate(rules.keys)}
         self.staged = staged
@@ -49,6 +49,8 @@ class FactTables:
         self.newest_rows: dict[Key, int] = {}
         if staged:
             self._stage(rules, distinct_input)
+        elif stored_by_key(kb):
+            self._count_stored(rules)
 
     def _stage(self, rules: RuleSet, distinct_input: bool) -> None:
         """Copy the facts the rules can use, once, into one directory per key."""
@@ -69,6 +71,12 @@ class FactTables:
         by_id = {row["k"]: row["count"] for row in counted}
         self.base_rows = {key: by_id.get(i, 0) for key, i in self.ids.items()}
 
+    def _count_stored(self, rules: RuleSet) -> None:
+        """Sizes of a table stored by key, read from its directories and file footers alone."""
+        rows = rules_only(self.kb, rules).groupBy("pred_key", "is_type").count().collect()
+        found = {(row["pred_key"], row["is_type"]): row["count"] for row in rows}
+        self.base_rows = {key: found.get(key, 0) for key in self.ids}
+
     def base(self, key: Key) -> DataFrame:
         if not self.staged:
             return relation(self.kb, *key)

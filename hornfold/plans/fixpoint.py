@@ -49,17 +49,23 @@ def infer(
     explain: bool = False,
     count_matches: bool = True,
     distinct_input: bool = False,
+    stage: bool | None = None,
     work_dir: str | None = None,
 ) -> Inference:
     """Apply ``rules`` to ``kb`` until a phase derives nothing new.
 
     All matches of a phase see the facts as they were at its start. ``count_matches=False`` lets
     ``matched`` count bindings with unneeded variables tested for existence only, which avoids
-    fan-out. ``distinct_input=True`` skips removing duplicates from ``kb``. Tables of the run are
-    written below ``work_dir`` or, by default, ``spark.checkpoint.dir``.
+    fan-out. ``distinct_input=True`` skips removing duplicates from ``kb``.
+
+    ``stage`` says whether the facts the rules can use are first copied into one table per key;
+    by default when several phases may read them. Pass ``stage=False`` for a table written by
+    ``save_triples``, which has that layout already. Tables of the run are written below
+    ``work_dir`` or, by default, ``spark.checkpoint.dir``.
     """
     folder = run_folder(kb.sparkSession, work_dir)
-    facts = FactTables(kb, rules, folder, staged=rules.feeds_itself, distinct_input=distinct_input)
+    staged = rules.feeds_itself if stage is None else stage
+    facts = FactTables(kb, rules, folder, staged=staged, distinct_input=distinct_input)
     slots = head_slots(rules)
     stats: list[tuple[int, int, int, int, int]] = []
     phases: list[tuple[int, list[int], int, int, float]] = []
@@ -158,7 +164,7 @@ def phase_terms(
     keys = [atom.key for atom in rule.body]
     if phase == 1:
         if all(facts.has_base(key) for key in keys):
-            rows = [facts.rows(key) for key in keys] if facts.staged else None
+            rows = [facts.rows(key) for key in keys] if facts.base_rows is not None else None
             yield join_atoms(
                 [facts.base(key) for key in keys], rule, rows=rows, explain=explain, count_matches=count_matches
             )
@@ -170,7 +176,8 @@ def phase_terms(
             facts.delta(k) if j == i else facts.old(k) if j < i else facts.all(k) for j, k in enumerate(keys)
         ]
         if all(rel is not None for rel in relations):
-            rows = [facts.rows(k, newest=j > i) for j, k in enumerate(keys)]
+            sized = facts.base_rows is not None
+            rows = [facts.rows(k, newest=j > i) for j, k in enumerate(keys)] if sized else None
             yield join_atoms(relations, rule, first=i, rows=rows, explain=explain, count_matches=count_matches)
 
 

@@ -53,9 +53,10 @@ def load_triples(
     if on_error not in ("drop", "fail", "quarantine"):
         raise ValueError(f"on_error must be drop, fail or quarantine, not {on_error!r}")
     if fmt == "parquet":
-        triples = spark.read.parquet(*([path] if isinstance(path, str) else path))
-        if {"is_type", "pred_key"} <= set(triples.columns):
-            triples = spark.read.schema(STORED_SCHEMA).parquet(*([path] if isinstance(path, str) else path))
+        paths = [path] if isinstance(path, str) else path
+        triples = spark.read.parquet(*paths)
+        if stored_by_key(triples):
+            triples = spark.read.schema(STORED_SCHEMA).parquet(*paths)
         else:
             triples = triples.select(*TRIPLE_COLUMNS)
         triples = triples.dropna(subset=list(TRIPLE_COLUMNS))
@@ -104,11 +105,16 @@ def write_triple_lines(triples: DataFrame, path: str, *, mode: str = "error") ->
     triples.select(F.concat_ws(" ", *TRIPLE_COLUMNS, F.lit(".")).alias("value")).write.mode(mode).text(path)
 
 
+def stored_by_key(triples: DataFrame) -> bool:
+    """Whether the columns of ``save_triples`` are there, so that directories can be pruned."""
+    return {"is_type", "pred_key"} <= set(triples.columns)
+
+
 def rules_only(triples: DataFrame, rules: RuleSet) -> DataFrame:
     """Keep the triples whose predicate or class some rule names."""
     properties = [key for key, of_type in rules.keys if not of_type]
     classes = [key for key, of_type in rules.keys if of_type]
-    if {"is_type", "pred_key"} <= set(triples.columns):
+    if stored_by_key(triples):
         wanted = (~F.col("is_type") & F.col("pred_key").isin(properties)) | (
             F.col("is_type") & F.col("pred_key").isin(classes)
         )
@@ -119,7 +125,7 @@ def rules_only(triples: DataFrame, rules: RuleSet) -> DataFrame:
 
 def relation(triples: DataFrame, key: str, of_type: bool) -> DataFrame:
     """Subjects and objects of one predicate key (F1); prunes directories of a stored table."""
-    if {"is_type", "pred_key"} <= set(triples.columns):
+    if stored_by_key(triples):
         chosen = (F.col("pred_key") == key) & (F.col("is_type") == F.lit(of_type))
     elif of_type:
         chosen = is_type(F.col("p")) & (F.col("o") == key)
