@@ -85,20 +85,37 @@ def join_order(
     if not waiting:
         return ground
     if first not in waiting:
-        # An atom with a variable that is only tested for existence makes a better semi-join.
-        first = min(waiting, key=lambda i: (wanted is not None and not set(body[i].variables) <= wanted, i))
+        # A constant narrows a relation most. An atom with a variable that is only tested for
+        # existence makes a better semi-join than a start.
+        first = min(
+            waiting,
+            key=lambda i: (not selective(body[i]), wanted is not None and not set(body[i].variables) <= wanted, i),
+        )
     order = [first]
     waiting.remove(first)
     while waiting:
         bound = {v for i in order for v in body[i].variables}
         connected = [i for i in waiting if bound & set(body[i].variables)]
         # An atom that adds no variable only narrows the bindings, so it never comes too early.
-        best = min(connected, key=lambda i: (not set(body[i].variables) <= bound, rows[i] if rows else 0, i))
+        best = min(
+            connected,
+            key=lambda i: (
+                not set(body[i].variables) <= bound,
+                not selective(body[i]),
+                rows[i] if rows else 0,
+                i,
+            ),
+        )
         order.append(best)
         waiting.remove(best)
     return order + ground
 
 
+def selective(atom: Atom) -> bool:
+    """Whether a property atom fixes its subject or object."""
+    return not atom.is_type and not (is_variable(atom.s) and is_variable(atom.o))
+
+
 def joining_variables(rule: Rule) -> set[str]:
     """Variables that the head, a builtin or a second atom needs."""
     needed = {v for atom in (rule.head, *rule.builtins) for v in atom.variables}

@@ -60,7 +60,8 @@ class FactTables:
         facts = (
             rules_only(self.kb, rules)
             .select("s", "o", is_type(F.col("p")).alias("is_type"), pred_key(F.col("p"), F.col("o")).alias("pred_key"))
-            .join(ids, ["pred_key", "is_type"])
+            # One row per key that a rule names: its size is bounded by the rule text.
+            .join(F.broadcast(ids), ["pred_key", "is_type"])
             .select("k", "s", "o")
         )
         facts = facts if distinct_input else facts.distinct()

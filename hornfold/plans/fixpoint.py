@@ -64,7 +64,7 @@ def infer(
     ``work_dir`` or, by default, ``spark.checkpoint.dir``.
     """
     folder = run_folder(kb.sparkSession, work_dir)
-    staged = rules.feeds_itself if stage is None else stage
+    staged = rules.feeds_itself and max_phases != 1 if stage is None else stage
     facts = FactTables(kb, rules, folder, staged=staged, distinct_input=distinct_input)
     slots = head_slots(rules)
     stats: list[tuple[int, int, int, int, int]] = []
