@@ -1,0 +1,158 @@
+"""Many rules of one shape as data: one scan or one join evaluates all of them.
+
+Rules with one atom, or with two atoms that share one variable, differ only in predicates,
+constants and in where the head takes its terms from. Held as rows, they are looked up by a fact's
+key id, so a rule set with dozens of such rules needs one join per phase instead of one per rule.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterable, Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hornfold.plans.facts import FactTables
+from hornfold.sources.rules import Atom, Rule, is_variable
+
+# Batches pay off for many rules over few new facts, where the cost of a join is its scheduling.
+# With more facts each rule gets its own join, whose two sides Spark can size separately.
+MIN_RULES = 4
+MAX_ROWS = 100_000
+
+_TESTS = "s_is:string,o_is:string"
+_HEAD = "head_k:int,slot:int,s_from:string,s_value:string,o_from:string,o_value:string"
+_SINGLE = f"array<array<struct<{_TESTS},{_HEAD}>>>"
+_NEAR = f"array<array<struct<{_TESTS},use:int,on_s:boolean,{_HEAD}>>>"
+_FAR = f"array<array<struct<{_TESTS},use:int,on_s:boolean>>>"
+
+
+def batchable(rule: Rule) -> bool:
+    if rule.builtins or len(rule.body) > 2:
+        return False
+    if any(not a.variables or (is_variable(a.s) and a.s == a.o) for a in rule.body):
+        return False
+    return len(rule.body) == 1 or len(shared_variables(rule)) == 1
+
+
+def shared_variables(rule: Rule) -> set[str]:
+    return set(rule.body[0].variables) & set(rule.body[1].variables)
+
+
+def choose(facts: FactTables, rules: Iterable[Rule], phase: int) -> list[Rule]:
+    """Rules of this phase to evaluate together; none when that would not pay off."""
+    if not facts.staged:
+        return []
+    chosen = [rule for rule in rules if batchable(rule) and can_match(facts, rule, phase)]
+    reading = facts.base_rows if phase == 1 else facts.newest_rows
+    if len(chosen) < MIN_RULES or sum(reading.values()) > MAX_ROWS:
+        return []
+    return chosen
+
+
+def can_match(facts: FactTables, rule: Rule, phase: int) -> bool:
+    keys = [atom.key for atom in rule.body]
+    if phase > 1 and not any(key in facts.newest_rows for key in keys):
+        return False
+    return all(facts.rows(key) > 0 for key in keys)
+
+
+def batch_heads(facts: FactTables, rules: Sequence[Rule], slots: dict[int, int], phase: int) -> list[DataFrame]:
+    """``(k, slot, s, o)``, one row per match that uses a fact of the latest phase."""
+    new = facts.keyed(older=False, newest=False) if phase == 1 else facts.keyed(base=False, older=False)
+    heads = []
+    if singles := [rule for rule in rules if len(rule.body) == 1]:
+        heads.append(single_heads(facts, new, singles, slots))
+    if pairs := [rule for rule in rules if len(rule.body) == 2]:
+        heads.append(pair_heads(facts, new, pairs, slots, phase))
+    return heads
+
+
+def single_heads(facts: FactTables, new: DataFrame, rules: Sequence[Rule], slots: dict[int, int]) -> DataFrame:
+    uses = []
+    for rule in rules:
+        atom = rule.body[0]
+        sources = {term: name for term, name in ((atom.o, "o"), (atom.s, "s")) if is_variable(term)}
+        uses.append((facts.ids[atom.key], tests(atom) | head_spec(facts, rule, slots, sources)))
+    return looked_up(facts, new, uses, _SINGLE).selectExpr(*head_columns("s", "o"))
+
+
+def pair_heads(
+    facts: FactTables, new: DataFrame, rules: Sequence[Rule], slots: dict[int, int], phase: int
+) -> DataFrame:
+    """Join new facts with those they may meet.
+
+    A use says which atom of which rule the new fact plays: even for the first atom, which then
+    meets all facts, odd for the second, which meets only older ones, so that a match of two new
+    facts is found once. In the first phase everything is new and even uses suffice.
+    """
+    near, far = [], []
+    for n, rule in enumerate(rules):
+        (variable,) = shared_variables(rule)
+        for side in (0, 1) if phase > 1 else (0,):
+            mine, other = rule.body[side], rule.body[1 - side]
+            sources = {f"?{v}": "near_o" for v in mine.variables} | {f"?{v}": "far_o" for v in other.variables}
+            sources[f"?{variable}"] = "j"
+            use = {"use": 2 * n + side}
+            near.append(
+                (facts.ids[mine.key], tests(mine) | use | on(mine, variable) | head_spec(facts, rule, slots, sources))
+            )
+            far.append((facts.ids[other.key], tests(other) | use | on(other, variable)))
+    joined = "if(on_s, s, o) AS j"
+    left = looked_up(facts, new, near, _NEAR).selectExpr(
+        "use", joined, "if(on_s, o, s) AS near_o", "head_k", "slot", "s_from", "s_value", "o_from", "o_value"
+    )
+    if phase == 1:
+        right = looked_up(facts, new, far, _FAR)
+    else:
+        first_atoms = [(k, use) for k, use in far if use["use"] % 2 == 0]
+        right = looked_up(facts, facts.keyed(newest=False), far, _FAR).unionByName(
+            looked_up(facts, new, first_atoms, _FAR)
+        )
+    right = right.selectExpr("use", joined, "if(on_s, o, s) AS far_o")
+    return left.join(right, ["use", "j"]).selectExpr(*head_columns("j", "near_o", "far_o"))
+
+
+def tests(atom: Atom) -> dict[str, str | None]:
+    """Constants of an atom; a class is part of its key."""
+    return {
+        "s_is": None if is_variable(atom.s) else atom.s,
+        "o_is": None if is_variable(atom.o) or atom.is_type else atom.o,
+    }
+
+
+def on(atom: Atom, variable: str) -> dict[str, bool]:
+    return {"on_s": atom.s == f"?{variable}"}
+
+
+def head_spec(facts: FactTables, rule: Rule, slots: dict[int, int], sources: dict[str, str]) -> dict[str, object]:
+    head = rule.head
+    return {
+        "head_k": facts.ids[head.key],
+        "slot": slots[rule.rule_id],
+        "s_from": sources.get(head.s),
+        "s_value": None if head.s in sources else head.s,
+        "o_from": sources.get(head.o),
+        "o_value": None if head.o in sources else head.o,
+    }
+
+
+def head_columns(*sources: str) -> list[str]:
+    def term(field: str) -> str:
+        choices = " ".join(f"WHEN '{source}' THEN {source}" for source in sources)
+        return f"CASE {field}_from {choices} ELSE {field}_value END AS {field}"
+
+    return ["head_k AS k", "slot", term("s"), term("o")]
+
+
+def looked_up(facts: FactTables, rows: DataFrame, uses: list[tuple[int, dict]], schema: str) -> DataFrame:
+    """Each fact once per use of its key whose constants it meets."""
+    by_key: list[list[dict]] = [[] for _ in facts.ids]
+    for k, use in uses:
+        by_key[k].append(use)
+    table = F.from_json(F.lit(json.dumps(by_key)), schema)
+    wanted = rows.filter(F.col("k").isin([k for k, found in enumerate(by_key) if found]))
+    return wanted.select("s", "o", F.inline(F.get(table, F.col("k")))).filter(
+        "(s_is IS NULL OR s = s_is) AND (o_is IS NULL OR o = o_is)"
+    )

@@ -42,11 +42,11 @@ class FactTables:
         self.staged = staged
         self.explained = False
         self.base_rows: dict[Key, int] | None = None
-        # Written folders of derived facts: per key, lists of folders by how often they were merged.
-        self.older: dict[Key, list[list[str]]] = {}
-        self.older_rows: dict[Key, int] = {}
-        self.newest: dict[Key, str] = {}
-        self.newest_rows: dict[Key, int] = {}
+        # Folders of derived facts, one directory per key in each, grouped by how often merged;
+        # ``rows_in`` has the keys of a folder with their number of facts.
+        self.levels: list[list[str]] = [[]]
+        self.newest: str | None = None
+        self.rows_in: dict[str, dict[Key, int]] = {}
         if staged:
             self._stage(rules, distinct_input)
         elif stored_by_key(kb):
@@ -86,61 +86,86 @@ class FactTables:
     def has_base(self, key: Key) -> bool:
         return self.base_rows is None or self.base_rows[key] > 0
 
+    @property
+    def older(self) -> list[str]:
+        return [folder for level in self.levels for folder in level]
+
+    @property
+    def newest_rows(self) -> dict[Key, int]:
+        return self.rows_in[self.newest] if self.newest else {}
+
     def rows(self, key: Key, *, newest: bool = True) -> int:
-        known = (self.base_rows or {}).get(key, 0) + self.older_rows.get(key, 0)
-        return known + (self.newest_rows.get(key, 0) if newest else 0)
+        """Known number of facts of a key; unknown base facts are left out."""
+        folders = self.older + ([self.newest] if newest and self.newest else [])
+        return (self.base_rows or {}).get(key, 0) + sum(self.rows_in[folder].get(key, 0) for folder in folders)
 
     def old(self, key: Key) -> DataFrame | None:
         """Facts known before the latest phase; None when there are none."""
-        return self._together(key, [path for level in self.older.get(key, []) for path in level])
+        return self._together(key, self.older)
 
     def all(self, key: Key) -> DataFrame | None:
-        paths = [path for level in self.older.get(key, []) for path in level]
-        return self._together(key, paths + ([self.newest[key]] if key in self.newest else []))
+        return self._together(key, self.older + ([self.newest] if self.newest else []))
 
     def delta(self, key: Key) -> DataFrame | None:
-        return self._read([self.newest[key]]) if key in self.newest else None
+        return self._derived(key, [self.newest]) if self.newest else None
 
-    def _together(self, key: Key, paths: list[str]) -> DataFrame | None:
+    def _together(self, key: Key, folders: list[str]) -> DataFrame | None:
+        derived = self._derived(key, folders)
         if not self.has_base(key):
-            return self._read(paths) if paths else None
-        return self.base(key).unionByName(self._read(paths)) if paths else self.base(key)
+            return derived
+        return self.base(key) if derived is None else self.base(key).unionByName(derived)
+
+    def _derived(self, key: Key, folders: list[str]) -> DataFrame | None:
+        paths = [f"{folder}/k={self.ids[key]}" for folder in folders if key in self.rows_in[folder]]
+        return self._read(paths) if paths else None
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(PAIR_SCHEMA).parquet(*paths)
 
+    def keyed(self, *, base: bool = True, older: bool = True, newest: bool = True) -> DataFrame:
+        """Facts of all keys as ``(s, o, k)``, of a staged run."""
+        folders = [f"{self.folder}/base"] if base else []
+        folders += self.older if older else []
+        folders += [self.newest] if newest and self.newest else []
+        return union_triples(*(self._read_keyed(folder) for folder in folders))
+
+    def _read_keyed(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(f"{PAIR_SCHEMA}, k int").parquet(folder)
+
     def advance(self, phase: int, new_rows: dict[Key, int], folder: str) -> None:
         """Make the new facts of a phase the newest ones."""
-        for key, path in self.newest.items():
-            levels = self.older.setdefault(key, [[]])
-            levels[0].append(path)
-            self.older_rows[key] = self.older_rows.get(key, 0) + self.newest_rows[key]
-            self._merge(phase, key, levels)
-        self.newest = {key: f"{folder}/is_new=true/k={self.ids[key]}" for key in new_rows}
-        self.newest_rows = dict(new_rows)
-
-    def _merge(self, phase: int, key: Key, levels: list[list[str]]) -> None:
+        if self.newest:
+            self.levels[0].append(self.newest)
+            self._merge(phase)
+        self.newest = None
+        if new_rows:
+            self.newest = f"{folder}/is_new=true"
+            self.rows_in[self.newest] = dict(new_rows)
+
+    def _merge(self, phase: int) -> None:
         """Rewrite many small tables as one, so the number of folders grows with log(phases)."""
-        for level, paths in enumerate(list(levels)):
-            if len(paths) < MERGE_EVERY:
+        for level, folders in enumerate(list(self.levels)):
+            if len(folders) < MERGE_EVERY:
                 continue
-            target = f"{self.folder}/merged/k{self.ids[key]}-phase{phase}-level{level}"
-            self._read(paths).hint("rebalance").write.parquet(target)
-            paths.clear()
-            if level + 1 == len(levels):
-                levels.append([])
-            levels[level + 1].append(target)
+            target = f"{self.folder}/merged/phase-{phase:06d}-level-{level}"
+            merged = union_triples(*map(self._read_keyed, folders))
+            merged.hint("rebalance", F.col("k")).write.partitionBy("k").parquet(target)
+            self.rows_in[target] = {
+                key: n for key in self.ids if (n := sum(self.rows_in[folder].get(key, 0) for folder in folders))
+            }
+            folders.clear()
+            if level + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[level + 1].append(target)
 
     def derived(self) -> DataFrame:
         """All derived facts as triples."""
+        folders = self.older + ([self.newest] if self.newest else [])
         parts = []
         for key, of_type in self.ids:
-            paths = [path for level in self.older.get((key, of_type), []) for path in level]
-            if (key, of_type) in self.newest:
-                paths.append(self.newest[(key, of_type)])
-            if paths:
-                p = RDF_TYPE if of_type else key
-                parts.append(self._read(paths).select("s", F.lit(p).alias("p"), "o"))
+            pairs = self._derived((key, of_type), folders)
+            if pairs is not None:
+                parts.append(pairs.select("s", F.lit(RDF_TYPE if of_type else key).alias("p"), "o"))
         return union_triples(*parts) if parts else self.spark.createDataFrame([], "s string, p string, o string")
 
 

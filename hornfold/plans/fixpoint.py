@@ -14,6 +14,7 @@ from hornfold.functions.terms import triple_struct
 from hornfold.operators.explain import EXPLANATION_SCHEMA, with_conclusion
 from hornfold.operators.heads import head_term
 from hornfold.operators.match import join_atoms
+from hornfold.plans.batch import batch_heads, choose
 from hornfold.plans.facts import FactTables, run_folder, tagged
 from hornfold.sources.rules import Key, Rule, RuleSet
 from hornfold.sources.triples import TRIPLE_COLUMNS
@@ -22,6 +23,9 @@ from hornfold.sources.triples import TRIPLE_COLUMNS
 # and, when they are small, broadcasts them past the known facts instead of shuffling those.
 CANDIDATES_FIRST = 5_000_000
 
+# Up to this many keys are read one by one, which tells Spark the size of each; more in one scan.
+FEW_KEYS = 4
+
 
 @dataclass(frozen=True)
 class Inference:
@@ -129,25 +133,30 @@ def run_phase(
     Returns per rule the matched, inferred and new counts, and per key the number of new facts;
     both are bounded by the number of rules.
     """
-    terms = [(rule, matches) for rule in triggered for matches in phase_terms(facts, rule, phase, explain, count_matches)]
-    if not terms:
+    batched = choose(facts, triggered, phase) if count_matches and not explain else []
+    terms = [
+        (rule, matches)
+        for rule in triggered
+        if rule not in batched
+        for matches in phase_terms(facts, rule, phase, explain, count_matches)
+    ]
+    if not terms and not batched:
         return {}, {}
     if explain:
         heads = write_explanations(facts, terms, slots, phase)
     else:
-        heads = reduce(DataFrame.unionByName, (head_rows(facts, rule, slots, matches) for rule, matches in terms))
-    live = {rule.rule_id: rule for rule, _ in terms}
+        parts = [head_rows(facts, rule, slots, matches) for rule, matches in terms]
+        parts += batch_heads(facts, batched, slots, phase) if batched else []
+        heads = reduce(DataFrame.unionByName, parts)
+    live = {rule.rule_id: rule for rule in [*batched, *(rule for rule, _ in terms)]}
     n_slots = 1 + max(slots[rule_id] for rule_id in live)
     candidates = heads.groupBy("k", "s", "o").agg(
         *(F.count_if(F.col("slot") == i).alias(f"matched_{i}") for i in range(n_slots))
     )
     target = phase_folder(facts, phase)
-    known = [
-        (facts.ids[key], rel)
-        for key in dict.fromkeys(rule.head.key for rule in live.values())
-        if (rel := facts.all(key)) is not None
-    ]
-    n_known = sum(facts.rows(key) for key in {rule.head.key for rule in live.values()})
+    head_keys = list(dict.fromkeys(rule.head.key for rule in live.values()))
+    known = known_facts(facts, head_keys)
+    n_known = sum(facts.rows(key) for key in head_keys)
     marked = mark_new(facts, candidates, known, n_known, n_slots, phase)
     marked.write.partitionBy("is_new", "k").parquet(target)
     return summarise(facts, target, live, slots, n_slots)
@@ -170,7 +179,7 @@ def phase_terms(
             )
         return
     for i, key in enumerate(keys):
-        if key not in facts.newest:
+        if key not in facts.newest_rows:
             continue
         relations = [
             facts.delta(k) if j == i else facts.old(k) if j < i else facts.all(k) for j, k in enumerate(keys)
@@ -190,27 +199,34 @@ def head_rows(facts: FactTables, rule: Rule, slots: dict[int, int], matches: Dat
     )
 
 
+def known_facts(facts: FactTables, keys: list[Key]) -> DataFrame | None:
+    """``(k, s, o)`` facts of some keys known before this phase; None when there are none."""
+    if facts.staged and len(keys) > FEW_KEYS:
+        return facts.keyed().filter(F.col("k").isin([facts.ids[key] for key in keys]))
+    found = [(facts.ids[key], rel) for key in keys if (rel := facts.all(key)) is not None]
+    return tagged(found) if found else None
+
+
 def mark_new(
     facts: FactTables,
     candidates: DataFrame,
-    known: list[tuple[int, DataFrame]],
+    known: DataFrame | None,
     n_known: int,
     n_slots: int,
     phase: int,
 ) -> DataFrame:
     """Add ``is_new``: whether a candidate was unknown before the phase."""
-    if not known:
+    if known is None:
         return candidates.withColumn("is_new", F.lit(True))
     on = ["k", "s", "o"]
-    known_facts = tagged(known)
     if n_known > CANDIDATES_FIRST:
         path = f"{facts.folder}/candidates/phase-{phase:06d}"
         candidates.write.parquet(path)
         counters = ", ".join(f"matched_{i} bigint" for i in range(n_slots))
         candidates = facts.spark.read.schema(f"k int, s string, o string, {counters}").parquet(path)
-        known_facts = known_facts.join(candidates.select(*on), on, "left_semi")
+        known = known.join(candidates.select(*on), on, "left_semi")
     return (
-        candidates.join(known_facts.withColumn("seen", F.lit(True)), on, "left")
+        candidates.join(known.withColumn("seen", F.lit(True)), on, "left")
         .withColumn("is_new", F.col("seen").isNull())
         .drop("seen")
     )
