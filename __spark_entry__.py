@@ -229,6 +229,19 @@ CHAINED = [
     "Domestic(?o) ^ placedBy(?o,?c) -> LocalBuyer(?c)",
     "LocalBuyer(?c) ^ inNation(?c,?n) -> hasLocalBuyer(?n,?c)",
 ]
+RULE_BOOK = [
+    "placedBy(?o,?c) -> placed(?c,?o)",
+    "suppliedBy(?o,?s) -> supplies(?s,?o)",
+    "inNation(?x,?n) -> hasResident(?n,?x)",
+    "inRegion(?n,?r) -> contains(?r,?n)",
+    "derivedFrom(?a,?b) -> derives(?b,?a)",
+    "next(?a,?b) -> previous(?b,?a)",
+    "Customer(?c) ^ placed(?c,?o) -> Buyer(?c)",
+    "Supplier(?s) ^ supplies(?s,?o) -> ActiveSupplier(?s)",
+    "contains(?r,?n) ^ hasResident(?n,?x) -> hasResident(?r,?x)",
+    "derives(?b,?a) ^ derives(?a,?c) -> grandDerives(?b,?c)",
+    "previous(?b,?a) ^ previous(?a,?z) -> twoBack(?b,?z)",
+]
 THREAD_SQL = f"""{KB}, started AS (
   SELECT s AS opening, o AS turn, s AS previous, 1 AS phase FROM kb WHERE p = '<next>' AND s LIKE '<turn/%/0>'
   UNION SELECT t.opening, n.o, n.s, t.phase + 1 FROM started t JOIN kb n ON n.p = '<next>' AND n.s = t.turn
@@ -257,6 +270,25 @@ CLOSURES: dict[str, tuple[list[str], str]] = {
         f"""{KB} SELECT s, '<linked>' AS p, o FROM kb WHERE p = '<derivedFrom>'
             UNION SELECT o AS s, '<linked>' AS p, s AS o FROM kb WHERE p = '<derivedFrom>'""",
     ),
+    "rule_book": (
+        RULE_BOOK,
+        f"""{KB} SELECT o AS s, '<placed>' AS p, s AS o FROM kb WHERE p = '<placedBy>'
+            UNION SELECT o, '<supplies>', s FROM kb WHERE p = '<suppliedBy>'
+            UNION SELECT o, '<hasResident>', s FROM kb WHERE p = '<inNation>'
+            UNION SELECT o, '<contains>', s FROM kb WHERE p = '<inRegion>'
+            UNION SELECT o, '<derives>', s FROM kb WHERE p = '<derivedFrom>'
+            UNION SELECT o, '<previous>', s FROM kb WHERE p = '<next>'
+            UNION SELECT o, {TYPE}, '<Buyer>' FROM kb WHERE p = '<placedBy>'
+              AND o IN (SELECT s FROM kb WHERE p = {TYPE} AND o = '<Customer>')
+            UNION SELECT o, {TYPE}, '<ActiveSupplier>' FROM kb WHERE p = '<suppliedBy>'
+              AND o IN (SELECT s FROM kb WHERE p = {TYPE} AND o = '<Supplier>')
+            UNION SELECT b.o, '<hasResident>', a.s FROM kb a JOIN kb b ON a.o = b.s
+              WHERE a.p = '<inNation>' AND b.p = '<inRegion>'
+            UNION SELECT b.o, '<grandDerives>', a.s FROM kb a JOIN kb b ON a.o = b.s
+              WHERE a.p = '<derivedFrom>' AND b.p = '<derivedFrom>'
+            UNION SELECT b.o, '<twoBack>', a.s FROM kb a JOIN kb b ON a.o = b.s
+              WHERE a.p = '<next>' AND b.p = '<next>'""",
+    ),
     "self_loop": (
         ["derivedFrom(?a,?p) ^ derivedFrom(?b,?p) -> sibling(?a,?b)", "sibling(?x,?x) -> Child(?x)"],
         f"""{KB} SELECT a.s AS s, '<sibling>' AS p, b.s AS o FROM kb a JOIN kb b ON a.o = b.o
