@@ -345,7 +345,11 @@ def explain_chain2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explain_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rendered = hf.render_explanations(run(THREAD, spark, sf_dir, explain=True).explanations)
+    """Explanations of a recursive rule set, saved per phase and read back."""
+    result = run(THREAD, spark, sf_dir, explain=True)
+    folder = f"{result.folder}/rendered"
+    hf.save_explanations(hf.render_explanations(result.explanations), folder)
+    rendered = spark.read.schema("phase int, rule_id int, premises array<string>, conclusion string").parquet(folder)
     return rendered.select("phase", "rule_id", F.array_join("premises", " ").alias("premises"), "conclusion")
 
 
@@ -381,6 +385,16 @@ def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hf.load_triples(spark, folder, on_error="fail")
 
 
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are not triples, among all facts and all document texts written as lines."""
+    folder = f"{run_folder(spark)}/lines"
+    hf.write_triple_lines(facts(spark, sf_dir), folder)
+    texts = spark.read.schema("text string").parquet(f"{sf_dir}/documents.parquet")
+    texts.write.mode("append").text(folder)
+    _, malformed = hf.load_triples(spark, folder, on_error="quarantine", distinct=False)
+    return malformed.groupBy(F.md5("value").alias("line")).agg(F.count("*").alias("times"))
+
+
 def stored_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store facts by predicate key, then answer a rule from the directories it needs."""
     rules = hf.rules_from_lines(spark, STEPS["class_join"][0])
@@ -405,6 +419,7 @@ def queries() -> dict[str, Query]:
         "predicate_usage": predicate_usage,
         "rule_triggers": rule_triggers,
         "text_round_trip": text_round_trip,
+        "quarantine": quarantine,
         "stored_partition": stored_partition,
     }
 
@@ -448,5 +463,9 @@ def oracle_sql() -> dict[str, str]:
         "predicate_usage": f"{KB} {usage}",
         "rule_triggers": f"{KB} {edge.format(src=1, p='<placedBy>')} UNION ALL {edge.format(src=2, p='<suppliedBy>')}",
         "text_round_trip": f"{KB} SELECT s, p, o FROM kb",
+        "quarantine": r"""SELECT md5(value) AS line, count(*) AS times
+            FROM (SELECT unnest(string_split_regex(text, '\r\n|\n|\r')) AS value FROM documents)
+            WHERE trim(value, ' ') <> '' AND NOT regexp_matches(value,
+              '^\s*(<[^>]*>|[^\s<"]\S*)\s+<[^>]*>\s+(<[^>]*>|"([^"\\]|\\.)*"|[^\s<"]\S*)') GROUP BY 1""",
         "stored_partition": f"{KB} {STEPS['class_join'][1]}",
     }

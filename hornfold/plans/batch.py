@@ -8,6 +8,7 @@ key id, so a rule set with dozens of such rules needs one join per phase instead
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,9 @@ from hornfold.sources.rules import Atom, Rule, is_variable
 MIN_RULES = 4
 MAX_ROWS = 100_000
 
+# New facts whose measured size, times the uses of a key, stays below this are broadcast.
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024
+
 _TESTS = "s_is:string,o_is:string"
 _HEAD = "head_k:int,slot:int,s_from:string,s_value:string,o_from:string,o_value:string"
 _SINGLE = f"array<array<struct<{_TESTS},{_HEAD}>>>"
@@ -111,9 +115,22 @@ def pair_heads(
             looked_up(facts, new, first_atoms, _FAR)
         )
     right = right.selectExpr("use", joined, "if(on_s, o, s) AS far_o")
+    if phase > 1 and term_bytes(new) * most_uses(near) <= MAX_BROADCAST_BYTES:
+        # The estimate Spark makes after the lookup is too coarse to see that this side is small,
+        # and the other side may be all facts there are.
+        left = F.broadcast(left)
     return left.join(right, ["use", "j"]).selectExpr(*head_columns("j", "near_o", "far_o"))
 
 
+def term_bytes(rows: DataFrame) -> int:
+    """Measured size of the terms of a few facts."""
+    return rows.agg(F.sum(F.octet_length("s") + F.octet_length("o"))).first()[0] or 0
+
+
+def most_uses(uses: list[tuple[int, dict]]) -> int:
+    return max(Counter(k for k, _ in uses).values())
+
+
 def tests(atom: Atom) -> dict[str, str | None]:
     """Constants of an atom; a class is part of its key."""
     return {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +20,8 @@ from hornfold.plans.facts import FactTables, run_folder, tagged
 from hornfold.sources.rules import Key, Rule, RuleSet
 from hornfold.sources.triples import TRIPLE_COLUMNS
 
+logger = logging.getLogger("hornfold")
+
 # Above this many known facts a phase first writes its candidates. Spark then sees their true size
 # and, when they are small, broadcasts them past the known facts instead of shuffling those.
 CANDIDATES_FIRST = 5_000_000
@@ -70,6 +73,7 @@ def infer(
     folder = run_folder(kb.sparkSession, work_dir)
     staged = rules.feeds_itself and max_phases != 1 if stage is None else stage
     facts = FactTables(kb, rules, folder, staged=staged, distinct_input=distinct_input)
+    warn_of_idle_atoms(facts, rules)
     slots = head_slots(rules)
     stats: list[tuple[int, int, int, int, int]] = []
     phases: list[tuple[int, list[int], int, int, float]] = []
@@ -102,6 +106,14 @@ def infer(
     )
 
 
+def warn_of_idle_atoms(facts: FactTables, rules: RuleSet) -> None:
+    """Name body atoms that no fact and no head can meet, such as a misspelt builtin."""
+    heads = {rule.head.key for rule in rules.rules}
+    for key in dict.fromkeys(atom.key for rule in rules.rules for atom in rule.body):
+        if key not in heads and not facts.has_base(key):
+            logger.warning("no facts for %s %s", "class" if key[1] else "predicate", key[0])
+
+
 def phase_folder(facts: FactTables, phase: int) -> str:
     return f"{facts.folder}/derived/phase-{phase:06d}"
 
