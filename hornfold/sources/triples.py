@@ -28,7 +28,9 @@ _SEPARATOR = "\n"
 def parse_triple_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Add ``s``, ``p``, ``o`` to text lines; all three are NULL on a malformed line."""
     joined = F.regexp_replace(F.col(column), _LINE, f"$1{_SEPARATOR}$2{_SEPARATOR}$3")
-    fields = lines.withColumn("_fields", F.split(joined, _SEPARATOR))
+    # A generator is never merged into the filters and projections that follow, so the pattern runs
+    # once per line however often its result is used.
+    fields = lines.select(*lines.columns, F.explode(F.array(F.split(joined, _SEPARATOR))).alias("_fields"))
     well_formed = F.size("_fields") == 3
     return fields.select(
         *lines.columns,
