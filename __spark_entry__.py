@@ -44,8 +44,11 @@ def node(kind: str, *ids: str) -> str:
     return f"concat('<{kind}/', {", '/', ".join(ids)}, '>')"
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All triples. Only the order-supplier edges can repeat; the others are one per primary key."""
+def facts(spark: SparkSession, sf_dir: str, *, as_set: bool = True) -> DataFrame:
+    """All triples. Only the order-supplier edges can repeat; the others are one per primary key.
+
+    ``as_set=False`` leaves repeated edges in, for uses that remove duplicates themselves.
+    """
     hf.tune(spark)
     nation, customer, supplier, orders, lineitem, part, conversations = (table(spark, sf_dir, name) for name in COLUMNS)
     turns = conversations.distinct()
@@ -59,7 +62,10 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         hf.member_triples(supplier, node("supplier", "s_suppkey"), "<Supplier>"),
         hf.edge_triples(orders, node("order", "o_orderkey"), "<placedBy>", node("customer", "o_custkey")),
         hf.edge_triples(
-            lineitem.distinct(), node("order", "l_orderkey"), "<suppliedBy>", node("supplier", "l_suppkey")
+            lineitem.distinct() if as_set else lineitem,
+            node("order", "l_orderkey"),
+            "<suppliedBy>",
+            node("supplier", "l_suppkey"),
         ),
         hf.edge_triples(part, node("part", "p_partkey"), "<size>", "concat('\"', p_size, '\"')"),
         hf.edge_triples(
@@ -308,7 +314,7 @@ CLOSURES: dict[str, tuple[list[str], str]] = {
 
 
 def step(rules: list[str]) -> Query:
-    return lambda spark, sf_dir: hf.apply_rules(facts(spark, sf_dir), hf.rules_from_lines(spark, rules))
+    return lambda spark, sf_dir: hf.apply_rules(facts(spark, sf_dir, as_set=False), hf.rules_from_lines(spark, rules))
 
 
 def program_facts(rules: list[str], spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,14 +387,14 @@ def rule_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{run_folder(spark)}/lines"
-    hf.write_triple_lines(facts(spark, sf_dir), folder)
+    hf.write_triple_lines(facts(spark, sf_dir, as_set=False), folder)
     return hf.load_triples(spark, folder, on_error="fail")
 
 
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are not triples, among all facts and all document texts written as lines."""
     folder = f"{run_folder(spark)}/lines"
-    hf.write_triple_lines(facts(spark, sf_dir), folder)
+    hf.write_triple_lines(facts(spark, sf_dir, as_set=False), folder)
     texts = spark.read.schema("text string").parquet(f"{sf_dir}/documents.parquet")
     texts.write.mode("append").text(folder)
     _, malformed = hf.load_triples(spark, folder, on_error="quarantine", distinct=False)

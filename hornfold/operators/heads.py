@@ -43,4 +43,4 @@ def apply_rules(kb: DataFrame, rules: RuleSet) -> DataFrame:
         distinct = reduce(DataFrame.unionByName, pairs).distinct()
         p, o = (F.lit(RDF_TYPE), F.lit(key)) if of_type else (F.lit(key), F.col("o"))
         parts.append(distinct.select("s", p.alias("p"), o.alias("o")))
-    return union_triples(*parts)
+    return union_triples(*parts) if parts else kb.select("s", "p", "o").filter(F.lit(False))

@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hornfold.functions.terms import triple_struct
 from hornfold.operators.explain import EXPLANATION_SCHEMA, with_conclusion
 from hornfold.operators.heads import head_term
 from hornfold.operators.match import join_atoms

@@ -89,7 +89,7 @@ def rules_from_lines(
     spark: SparkSession, lines: Iterable[str], prefixes: Mapping[str, str] | None = None
 ) -> RuleSet:
     """Like ``load_rules`` for rules given as strings."""
-    text = spark.range(0, 1, 1, 1).select(F.array(*map(F.lit, lines)).alias("lines"))
+    text = spark.range(0, 1, 1, 1).select(F.array(*map(F.lit, lines)).cast("array<string>").alias("lines"))
     return _rule_set(text, prefixes)
 
 

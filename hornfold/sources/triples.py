@@ -49,39 +49,43 @@ def load_triples(
     """Read triples from text lines or Parquet.
 
     ``on_error`` says what a malformed line does: ``drop`` skips it, ``fail`` fails the job,
-    ``quarantine`` returns ``(triples, malformed_lines)``. Blank lines are skipped.
+    ``quarantine`` returns ``(triples, malformed_lines)``. Blank lines are skipped. A Parquet row
+    with a NULL field counts as malformed.
     ``distinct=False`` leaves out the shuffle when the input is known to be a set.
     """
     if on_error not in ("drop", "fail", "quarantine"):
         raise ValueError(f"on_error must be drop, fail or quarantine, not {on_error!r}")
-    if fmt == "parquet":
-        paths = [path] if isinstance(path, str) else path
-        triples = spark.read.parquet(*paths)
-        if stored_by_key(triples):
-            triples = spark.read.schema(STORED_SCHEMA).parquet(*paths)
-        else:
-            triples = triples.select(*TRIPLE_COLUMNS)
-        triples = triples.dropna(subset=list(TRIPLE_COLUMNS))
-        triples = triples.distinct() if distinct else triples
-        return (triples, triples.select(F.col("s").alias("value")).limit(0)) if on_error == "quarantine" else triples
-    if fmt != "text":
+    if fmt not in ("text", "parquet"):
         raise ValueError(f"fmt must be text or parquet, not {fmt!r}")
-
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    parsed = parse_triple_lines(lines)
+    parsed = read_lines(spark, path) if fmt == "text" else read_parquet(spark, path)
+    complete = F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull()
+    columns = [name for name in parsed.columns if name != "value"]
     if on_error == "fail":
-        complaint = F.raise_error(F.concat(F.lit("malformed triple line: "), F.col("value")))
-        good = parsed.select(
-            *(F.coalesce(F.col(name), complaint.cast("string")).alias(name) for name in TRIPLE_COLUMNS)
-        )
+        complaint = F.raise_error(F.concat(F.lit("malformed triple line: "), F.col("value"))).cast("string")
+        required = {name: F.coalesce(F.col(name), complaint) for name in TRIPLE_COLUMNS}
+        good = parsed.withColumns(required).select(*columns)
     else:
-        good = parsed.filter(F.col("s").isNotNull()).select(*TRIPLE_COLUMNS)
+        good = parsed.filter(complete).select(*columns)
     good = good.distinct() if distinct else good
     if on_error == "quarantine":
-        return good, parsed.filter(F.col("s").isNull()).select("value")
+        return good, parsed.filter(~complete).select("value")
     return good
 
 
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return parse_triple_lines(spark.read.text(path).filter(F.trim("value") != ""))
+
+
+def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    paths = [path] if isinstance(path, str) else path
+    stored = spark.read.parquet(*paths)
+    if stored_by_key(stored):
+        stored = spark.read.schema(STORED_SCHEMA).parquet(*paths)
+    else:
+        stored = stored.select(*TRIPLE_COLUMNS)
+    return stored.withColumn("value", F.concat_ws(" ", *TRIPLE_COLUMNS))
+
+
 def save_triples(triples: DataFrame, path: str, *, rules: RuleSet | None = None, mode: str = "error") -> None:
     """Store triples as Parquet, one directory per predicate key (F1).
 
@@ -137,13 +141,18 @@ def relation(triples: DataFrame, key: str, of_type: bool) -> DataFrame:
 
 
 def edge_triples(table: DataFrame, subject: str, predicate: str, obj: str) -> DataFrame:
-    """One property triple per row of a table; ``subject`` and ``obj`` are SQL expressions."""
-    return table.select(F.expr(subject).alias("s"), F.lit(predicate).alias("p"), F.expr(obj).alias("o"))
+    """One property triple per row of a table; ``subject`` and ``obj`` are SQL expressions.
+
+    A row in which one of them is NULL states no fact.
+    """
+    edges = table.select(F.expr(subject).alias("s"), F.lit(predicate).alias("p"), F.expr(obj).alias("o"))
+    return edges.filter("s IS NOT NULL AND o IS NOT NULL")
 
 
 def member_triples(table: DataFrame, subject: str, class_iri: str) -> DataFrame:
     """One class membership triple per row of a table."""
-    return table.select(F.expr(subject).alias("s"), F.lit(RDF_TYPE).alias("p"), F.lit(class_iri).alias("o"))
+    members = table.select(F.expr(subject).alias("s"), F.lit(RDF_TYPE).alias("p"), F.lit(class_iri).alias("o"))
+    return members.filter("s IS NOT NULL")
 
 
 def union_triples(*parts: DataFrame) -> DataFrame:

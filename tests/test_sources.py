@@ -69,6 +69,15 @@ def test_text_and_parquet_round_trip(spark, tmp_path):
     assert as_set(hf.load_triples(spark, str(tmp_path / "flat"), fmt="parquet")) == GOOD
 
 
+def test_parquet_rows_with_a_missing_field_are_malformed(spark, tmp_path):
+    path = str(tmp_path / "holes")
+    spark.createDataFrame([("<a>", "<p>", "<b>"), ("<a>", "<p>", None)], "s string, p string, o string").write.parquet(path)
+    good, bad = hf.load_triples(spark, path, fmt="parquet", on_error="quarantine")
+    assert (as_set(good), [r["value"] for r in bad.collect()]) == ({("<a>", "<p>", "<b>")}, ["<a> <p>"])
+    with pytest.raises(Exception, match="malformed triple line"):
+        hf.load_triples(spark, path, fmt="parquet", on_error="fail").collect()
+
+
 def test_stored_by_key_keeps_classes_and_properties_apart(spark, tmp_path):
     kb = kb_of(spark, "a k b\na type k\na other b")
     path = str(tmp_path / "stored")
@@ -82,7 +91,7 @@ def test_stored_by_key_keeps_classes_and_properties_apart(spark, tmp_path):
 
 
 def test_triples_from_table_columns(spark):
-    people = spark.createDataFrame([(1, 2), (3, 4)], "id int, boss int")
+    people = spark.createDataFrame([(1, 2), (3, 4), (5, None)], "id int, boss int")
     kb = hf.union_triples(
         hf.edge_triples(people, "concat('<', id, '>')", "<boss>", "concat('<', boss, '>')"),
         hf.member_triples(people, "concat('<', id, '>')", "<Person>"),
@@ -92,6 +101,7 @@ def test_triples_from_table_columns(spark):
         ("<3>", "<boss>", "<4>"),
         ("<1>", hf.RDF_TYPE, "<Person>"),
         ("<3>", hf.RDF_TYPE, "<Person>"),
+        ("<5>", hf.RDF_TYPE, "<Person>"),
     }
 
 
