@@ -42,6 +42,7 @@ class FactTables:
         self.staged = staged
         self.explained = False
         self.base_rows: dict[Key, int] | None = None
+        self.base_frames: dict[Key, DataFrame] = {}
         # Folders of derived facts, one directory per key in each, grouped by how often merged;
         # ``rows_in`` has the keys of a folder with their number of facts.
         self.levels: list[list[str]] = [[]]
@@ -79,9 +80,11 @@ class FactTables:
         self.base_rows = {key: found.get(key, 0) for key in self.ids}
 
     def base(self, key: Key) -> DataFrame:
-        if not self.staged:
-            return relation(self.kb, *key)
-        return self._read([f"{self.folder}/base/k={self.ids[key]}"])
+        """Base facts of a key; the same frame every time, so files are listed once per run."""
+        if key not in self.base_frames:
+            path = f"{self.folder}/base/k={self.ids[key]}"
+            self.base_frames[key] = self._read([path]) if self.staged else relation(self.kb, *key)
+        return self.base_frames[key]
 
     def has_base(self, key: Key) -> bool:
         return self.base_rows is None or self.base_rows[key] > 0
