@@ -13,7 +13,7 @@ from hornfold.sources.triples import relation
 
 
 def column(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def premise(position: int) -> str:

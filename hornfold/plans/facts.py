@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hornfold.functions.terms import RDF_TYPE, is_type, pred_key
 from hornfold.sources.rules import Key, RuleSet
-from hornfold.sources.triples import relation, rules_only, stored_by_key, union_triples
+from hornfold.sources.triples import TRIPLE_COLUMNS, relation, rules_only, stored_by_key, union_triples
 
 PAIR_SCHEMA = "s string, o string"
 MERGE_EVERY = 16
@@ -36,7 +36,8 @@ class FactTables:
 
     def __init__(self, kb: DataFrame, rules: RuleSet, folder: str, *, staged: bool, distinct_input: bool):
         self.spark = kb.sparkSession
-        self.kb = kb if staged or distinct_input else kb.distinct()
+        columns = [*TRIPLE_COLUMNS, *(["is_type", "pred_key"] if stored_by_key(kb) else [])]
+        self.kb = kb if staged or distinct_input else kb.select(*columns).distinct()
         self.folder = folder
         self.ids: dict[Key, int] = {key: i for i, key in enumerate(rules.keys)}
         self.staged = staged

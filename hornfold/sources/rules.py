@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,7 +108,7 @@ def _rule_set(lines: DataFrame, prefixes: Mapping[str, str] | None) -> RuleSet:
     )
     for rule in rules:
         check_rule(rule)
-    return RuleSet(atoms, rules)
+    return RuleSet(atoms, tuple(map(with_separate_names, rules)))
 
 
 def normalised(token: str) -> str:
@@ -168,6 +168,25 @@ def rule_atoms(lines: DataFrame, prefixes: Mapping[str, str]) -> DataFrame:
     )
 
 
+def with_separate_names(rule: Rule) -> Rule:
+    """Rename variables that would clash as columns: names are compared without case."""
+    taken, names = {"premises"}, {}
+    for variable in dict.fromkeys(v for atom in rule.body for v in atom.variables):
+        name, n = variable, 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{variable}_{n}"
+        taken.add(name.lower())
+        names[f"?{variable}"] = f"?{name}"
+
+    def renamed(atom: Atom) -> Atom:
+        return replace(atom, s=names.get(atom.s, atom.s), o=names.get(atom.o, atom.o))
+
+    return replace(
+        rule, body=tuple(map(renamed, rule.body)), builtins=tuple(map(renamed, rule.builtins)), head=renamed(rule.head)
+    )
+
+
 def check_rule(rule: Rule) -> None:
     """Reject rules that have no finite or no safe reading."""
     where = f"rule {rule.rule_id}"

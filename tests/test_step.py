@@ -62,6 +62,8 @@ CASES = {
     "literal constant": ('p(?x,"two") -> q(?x,k)', 'a p "two"\nb p two', "a q k"),
     "unknown builtin name is a predicate": ("p(?x,?v)^lessthan(?v,20) -> q(?x,?v)", "a p 5", ""),
     "variables with odd names": ("p(?x.1,?y-2) -> q(?y-2,?x.1)", "a p b", "b q a"),
+    "odd names joined": ("p(?x.1,?`y) ^ r(?`y,?x.2) -> q(?x.1,?x.2)", "a p b\nb r c", "a q c"),
+    "names that differ in case": ("p(?x,?X) ^ r(?X,?premises) -> q(?x,?premises)", "a p b\nb r c", "a q c"),
     "two rules, one head": ("p(?x,?y) -> q(?x,?y)|r(?x,?y) -> q(?x,?y)", "a p b\na r b\nc r d", "a q b\nc q d"),
 }
 
@@ -111,6 +113,20 @@ def test_explanations_keep_premises_in_written_order(spark):
     assert rendered["conclusion"] == '(<x> <q> "w, and more")'
 
 
+def test_explained_variables_may_have_any_name(spark):
+    rules = rules_of(spark, "p(?x,?X) ^ r(?X,?premises) -> q(?x,?premises)")
+    row = hf.explain_matches(kb_of(spark, "a p b\nb r c"), rules).first()
+    assert tuple(row["conclusion"]) == ("<a>", "<q>", "<c>")
+
+
+def test_columns_beyond_the_triple_do_not_matter(spark):
+    kb = kb_of(spark, "a p b").selectExpr("*", "'g1' AS graph")
+    kb = kb.unionByName(kb_of(spark, "a p b").selectExpr("*", "'g2' AS graph"))
+    result = hf.infer(kb, rules_of(spark, "p(?x,?y) -> q(?x,?y)"))
+    assert [r["matched"] for r in result.stats.collect()] == [1]
+    assert as_set(result.kb) == triples("a p b\na q b")
+
+
 def test_metadata(spark):
     rules = rules_of(
         spark,
