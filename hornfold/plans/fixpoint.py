@@ -236,10 +236,14 @@ def mark_new(
         counters = ", ".join(f"matched_{i} bigint" for i in range(n_slots))
         candidates = facts.spark.read.schema(f"k int, s string, o string, {counters}").parquet(path)
         known = known.join(candidates.select(*on), on, "left_semi")
-    return (
-        candidates.join(known.withColumn("seen", F.lit(True)), on, "left")
-        .withColumn("is_new", F.col("seen").isNull())
-        .drop("seen")
+    marked = candidates.join(known.withColumn("seen", F.lit(True)), on, "left")
+    # Of a known candidate only the counters are needed, so its terms are not written again.
+    is_new = F.col("seen").isNull()
+    return marked.select(
+        "k",
+        *(F.when(is_new, F.col(name)).alias(name) for name in ("s", "o")),
+        *(f"matched_{i}" for i in range(n_slots)),
+        is_new.alias("is_new"),
     )
 
 
