@@ -77,7 +77,7 @@ def infer(
     stats: list[tuple[int, int, int, int, int]] = []
     phases: list[tuple[int, list[int], int, int, float]] = []
     triggered = list(rules.rules)
-    phase, converged = 0, False
+    phase = 0
     while triggered and (max_phases is None or phase < max_phases):
         phase += 1
         started = time.monotonic()
@@ -89,7 +89,6 @@ def infer(
         )
         facts.advance(phase, new_rows, phase_folder(facts, phase))
         triggered = [r for r in rules.rules if any(a.key in new_rows for a in r.body)]
-    converged = not triggered
     inferred = facts.derived()
     base = kb.select(*TRIPLE_COLUMNS)
     return Inference(
@@ -100,7 +99,7 @@ def infer(
         phases=facts.spark.createDataFrame(
             phases, "phase int, triggered array<int>, matched bigint, new bigint, seconds double"
         ),
-        converged=converged,
+        converged=not triggered,
         folder=folder,
     )
 

@@ -54,7 +54,7 @@ CASES = {
         "a is g",
     ),
     "head with object constant": ("p(?x,?y) -> q(?x,k)", "a p b\na p c", "a q k"),
-    "head with subject constant": ("gender(?b, r:1) -> brother(gon, ?b)", "tom gender r:1\nann gender r:2", "gon brother tom"),
+    "head with subject constant": ("gender(?b, r:1) -> brother(kim, ?b)", "tom gender r:1\nann gender r:2", "kim brother tom"),
     "class head": ("p(?x,?y) -> C(?x)", "a p b\na p c", "a type C"),
     "ground head": ('p(?x,?y) -> q(k,"yes")', "a p b\nc p d", 'k q "yes"'),
     "ground class head": ("p(?x,?y) -> C(k)", "a p b", "k type C"),
