@@ -414,8 +414,21 @@ def entry(spark: SparkSession) -> DataFrame:
     return step(STEPS["chain2"][0])(spark, "/root/testdata/sf0.001")
 
 
+def llm_queries():
+    """The module with the operators for training data, or None where that folder is gone."""
+    try:
+        from hornfold.llm import queries as found
+    except ModuleNotFoundError as error:
+        if error.name not in ("hornfold.llm", "corpus_pipeline"):
+            raise
+        return None
+    return found
+
+
 def queries() -> dict[str, Query]:
+    llm = llm_queries()
     return {
+        **(llm.queries() if llm else {}),
         **{name: step(rules) for name, (rules, _) in STEPS.items()},
         **{name: closure(rules) for name, (rules, _) in CLOSURES.items()},
         "closed_kb": closed_kb,
@@ -445,7 +458,9 @@ def oracle_sql() -> dict[str, str]:
         + [f"SELECT '{c}', true, count(*) FROM kb WHERE p = {TYPE} AND o = '{c}'" for c in classes]
     )
     edge = "SELECT {src}::INT AS src, 3::INT AS dst, count(*) AS matched, count(DISTINCT (a.s, b.o)) AS new FROM kb a JOIN kb b ON a.o = b.s WHERE a.p = '{p}' AND b.p = '<inNation>'"
+    llm = llm_queries()
     return {
+        **(llm.oracle_sql() if llm else {}),
         **{name: f"{KB} {sql}" for name, (_, sql) in STEPS.items()},
         **{name: sql for name, (_, sql) in CLOSURES.items()},
         "closed_kb": f"""{KB}, ancestor AS (
