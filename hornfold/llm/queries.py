@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hornfold.llm import exact_dedup, mixing, packing, sharding, token_files
+import corpus_pipeline
+from hornfold.llm import exact_dedup, html_text, line_templates, mixing, packing, quality, sharding, simhash, sketches, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +27,37 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir))
 
 
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_templates.drop_recurring(documents(spark, sf_dir))
+    return kept.select(
+        "doc_id",
+        "n_lines",
+        "dropped_lines",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"),
+    )
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.store(documents(spark, sf_dir))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies"
@@ -36,8 +65,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_exact_dedup, op3_sharding, op8_token_files, op10_mixing]
-    return {f.__name__: f for f in found}
+    found = [op1_packing, op2_exact_dedup, op3_sharding, op4_line_templates, op5_quality, op6_html_text, op7_sketches, op8_token_files, op9_simhash, op10_mixing]
+    return {**{f.__name__: f for f in found}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
