@@ -31,12 +31,13 @@ def sha256(text: Column) -> Column:
 
 def keyed_state(run: Run, landing: DataFrame, files_a_batch: int, state_partitions: int) -> DataFrame:
     """Stream the landing table through the state; per digest ``first`` (id, row, locator) and ``rows``."""
-    spark = run.spark
-    session: SparkSession = spark.newSession()  # the stream's settings stay in a session of their own
+    session: SparkSession = run.spark.newSession()  # the stream's settings stay in a session of their own
     settings = {
         "spark.sql.streaming.stateStore.providerClass": ROCKS,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MB),
+        # Without this every one of many small stores takes megabytes of disk in advance.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.metricsEnabled": "false",
         # Fixed when the state is made: its partitions are what a restart must find again.
         "spark.sql.shuffle.partitions": str(state_partitions),
@@ -59,7 +60,7 @@ def keyed_state(run: Run, landing: DataFrame, files_a_batch: int, state_partitio
         .start()
     )
     query.awaitTermination()
-    state = spark.read.format("statestore").load(checkpoint)
+    state = session.read.format("statestore").load(checkpoint)
     fields = state.schema["value"].dataType.fieldNames()
     return state.select(
         F.col("key.digest").alias("digest"),
