@@ -20,6 +20,8 @@ SHINGLE = 5
 SPACE = r"[\x20\x09-\x0D]+"
 LEAST = -(1 << 63)
 DRAWS = 64
+#: Ranges of ids for each partition, so that their hashes fill the partitions evenly.
+RANGES = 8
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -95,7 +97,7 @@ def with_next(docs: DataFrame, add: Callable[[DataFrame], DataFrame]) -> DataFra
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("__key")
     keys = docs.select(key)  # a scan of one column
     count, least = keys.agg(F.count("*"), F.min("__key")).first()
-    ranges = partitions(spark)
+    ranges = RANGES * partitions(spark)
     bounds = quantiles(draw(keys, ["__key"], F.lit(DRAWS * ranges / max(count, 1)), 7), ranges)
     bounds = [b for b in bounds if b[0] != least]
     own = binary_search(bounds, [F.col("__key")])
@@ -116,7 +118,7 @@ def with_next(docs: DataFrame, add: Callable[[DataFrame], DataFrame]) -> DataFra
         .withColumn("__own", own)
         .withColumn("__place", F.explode(F.filter(places, lambda p: p.isNotNull())))
         .select("doc_id", "text", "__key", F.col("__place.range").alias("__range"), F.col("__place.guest").alias("__guest"))
-        .repartition(ranges, "__range")
+        .repartition(partitions(spark), "__range")
     )
     described = add(placed)
     order = Window.partitionBy("__range").orderBy(

@@ -38,16 +38,20 @@ TAIL = struct.Struct("<QQQQQ4s")
 
 def planes(ids: np.ndarray) -> list[bytes]:
     """The bit planes of a block, lowest bit first; an all-zero plane is empty."""
-    bits = np.unpackbits(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    return [np.packbits(bits[:, i], bitorder="little").tobytes() if bits[:, i].any() else b"" for i in range(PLANES)]
+    used = int(np.bitwise_or.reduce(ids)) if len(ids) else 0
+    return [
+        np.packbits((ids >> np.uint32(i)).astype(np.uint8) & 1, bitorder="little").tobytes() if used >> i & 1 else b""
+        for i in range(PLANES)
+    ]
 
 
 def from_planes(found: list[bytes], count: int) -> np.ndarray:
-    bits = np.zeros((count, PLANES), np.uint8)
+    ids = np.zeros(count, "<u4")
     for i, plane in enumerate(found):
         if plane:
-            bits[:, i] = np.unpackbits(np.frombuffer(plane, np.uint8), count=count, bitorder="little")
-    return np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(-1)
+            bits = np.unpackbits(np.frombuffer(plane, np.uint8), count=count, bitorder="little")
+            ids |= bits.astype("<u4") << np.uint32(i)
+    return ids
 
 
 class Writer:

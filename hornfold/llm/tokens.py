@@ -14,7 +14,9 @@ import numpy as np
 #: Parts each worker remembers in either of two generations, so that frequent ones stay.
 REMEMBERED = 600_000
 TWO_SPACES = re.compile(r"\s\s")
+CLOSED = re.compile(r"([^\W\d_]+)([.,;:!?]{1,3})")
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+TOGETHER = 4096
 
 _encoders: dict[str, Encoder] = {}
 
@@ -29,7 +31,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # Strings of special tokens inside a text are ordinary text.
         self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        # Tokens that begin a word (with its space) or end one, as the vocabulary has it.
+        words = sorted(self.tokenizer.get_vocab().items(), key=lambda item: item[1])
+        self.begins = np.array([w.startswith("\u0120") for w, _ in words])
+        self.ends = np.array([w.endswith("</w>") for w, _ in words])
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -48,6 +54,19 @@ class Encoder:
         data = ids.tobytes()
         return [data[4 * i : 4 * j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def letters(self, parts: list[str]) -> list[bytes]:
+        """As ``spaced``, for parts of letters alone: each is one word, so its tokens show where it ends."""
+        whole = self.tokenizer.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0]
+        ids = np.asarray(whole.ids, "<u4")
+        if self.ends.any():
+            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+        else:
+            cuts = [*np.flatnonzero(self.begins[ids]).tolist(), len(ids)]
+        if len(cuts) != len(parts) + 1 or cuts[0] or cuts[-1] != len(ids):
+            return self.spaced(parts)
+        data = ids.tobytes()
+        return [data[4 * i : 4 * j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         split = [SAFE_CUT.split(t) if TWO_SPACES.search(t) else t.split(" ") for t in texts]
@@ -57,13 +76,26 @@ class Encoder:
         new, old = self.new, self.old
         unknown = set().union(*rest) - new.keys()
         new.update((part, old[part]) for part in unknown & old.keys())
-        missing = list(unknown - old.keys())
-        # Parts with white space in them may touch their neighbours: those are encoded alone.
-        alone = [part for part in missing if not part or part[0].isspace() or part[-1].isspace()]
-        new.update(zip(alone, self.plain([f" {part}" for part in alone]), strict=True))
-        joined = [part for part in missing if part not in new]
-        for i in range(0, len(joined), 4096):
-            new.update(zip(joined[i : i + 4096], self.spaced(joined[i : i + 4096]), strict=True))
+        missing = unknown - old.keys()
+        # Closing marks are cut from letters by both vocabularies, so only the word is new.
+        ended = [(part, found[1], found[2]) for part in missing if (found := CLOSED.fullmatch(part)) and found[1].isalpha()]
+        missing.difference_update(part for part, _, _ in ended)
+        for stem in {stem for _, stem, _ in ended}.difference(new, missing):
+            if stem in old:
+                new[stem] = old[stem]
+            else:
+                missing.add(stem)
+        # Parts with white space at an end may touch their neighbours: those are encoded alone.
+        kinds: tuple[list[str], ...] = ([], [], [])
+        for part in missing:
+            kinds[0 if part.isalpha() else 2 if not part or part[0].isspace() or part[-1].isspace() else 1].append(part)
+        for kind, how in zip(kinds, (self.letters, self.spaced, lambda parts: self.plain([f" {p}" for p in parts])), strict=True):
+            for i in range(0, len(kind), TOGETHER):
+                new.update(zip(kind[i : i + TOGETHER], how(kind[i : i + TOGETHER]), strict=True))
+        for part, stem, marks in ended:
+            if marks not in self.marks:
+                self.marks[marks] = self.plain([marks])[0]
+            new[part] = new[stem] + self.marks[marks]
         heads = self.plain([parts[0] for parts in split])
         return [head + b"".join(map(new.__getitem__, parts)) for head, parts in zip(heads, rest, strict=True)]
 
