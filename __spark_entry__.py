@@ -147,6 +147,11 @@ STEPS: dict[str, tuple[list[str], str]] = {
            FROM kb a JOIN kb b ON a.o = b.s JOIN kb c ON a.s = c.s JOIN kb d ON c.o = d.s AND b.o = d.o
            WHERE a.p = '<placedBy>' AND b.p = '<inNation>' AND c.p = '<suppliedBy>' AND d.p = '<inNation>'""",
     ),
+    "co_supply": (
+        ["suppliedBy(?o,?a) ^ suppliedBy(?o,?b) -> soldWith(?a,?b)"],
+        """SELECT DISTINCT a.o AS s, '<soldWith>' AS p, b.o AS o FROM kb a JOIN kb b ON a.s = b.s
+           WHERE a.p = '<suppliedBy>' AND b.p = '<suppliedBy>'""",
+    ),
     "builtin_le": (
         ["size(?p,?v) ^ lessthanorequal(?v,20) -> SmallPart(?p)"],
         f"SELECT DISTINCT a.s AS s, {TYPE} AS p, '<SmallPart>' AS o FROM kb a WHERE a.p = '<size>' AND {SIZE_A} <= 20",
@@ -313,6 +318,24 @@ CLOSURES: dict[str, tuple[list[str], str]] = {
 }
 
 
+DOMESTIC_REGION = "domesticIn(?o,?n) ^ inRegion(?n,?r) -> domesticRegion(?o,?r)"
+CYCLIC_SQL = f"""{KB}, domestic AS (
+              SELECT DISTINCT a.s, b.o
+              FROM kb a JOIN kb b ON a.o = b.s JOIN kb c ON a.s = c.s JOIN kb d ON c.o = d.s AND b.o = d.o
+              WHERE a.p = '<placedBy>' AND b.p = '<inNation>' AND c.p = '<suppliedBy>' AND d.p = '<inNation>')
+            SELECT s, '<domesticIn>' AS p, o FROM domestic
+            UNION SELECT d.s, '<domesticRegion>', r.o FROM domestic d JOIN kb r ON d.o = r.s AND r.p = '<inRegion>'"""
+# The same body in two orders: the engine's own order must not depend on the spelling.
+CLOSURES["cyclic_closure"] = (
+    ["placedBy(?o,?c) ^ inNation(?c,?n) ^ suppliedBy(?o,?s) ^ inNation(?s,?n) -> domesticIn(?o,?n)", DOMESTIC_REGION],
+    CYCLIC_SQL,
+)
+CLOSURES["cyclic_reordered"] = (
+    ["placedBy(?o,?c) ^ inNation(?c,?n) ^ inNation(?s,?n) ^ suppliedBy(?o,?s) -> domesticIn(?o,?n)", DOMESTIC_REGION],
+    CYCLIC_SQL,
+)
+
+
 def step(rules: list[str]) -> Query:
     return lambda spark, sf_dir: hf.apply_rules(facts(spark, sf_dir, as_set=False), hf.rules_from_lines(spark, rules))
 
@@ -341,7 +364,39 @@ def closed_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phase_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = run(THREAD, spark, sf_dir).stats
-    return stats.filter(F.col("matched") > 0).select("phase", "rule_id", "matched", "inferred", "new", "matched_so_far")
+    return stats.select("phase", "rule_id", "matched", "inferred", "new", "matched_so_far")
+
+
+def phase_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phases = run(THREAD, spark, sf_dir).phases
+    return phases.select("phase", F.size("triggered").alias("triggered"), "matched", "new")
+
+
+RULE_FILE = [
+    "# where orders come from",
+    "",
+    "sales:placedBy(?o,?c) ^ sales:inNation(?c,?n) -> geo:orderNation(?o,?n)",
+    "  # and one step further",
+    "geo:orderNation(?o,?n) ^ <inRegion>(?n,?r) -> geo:orderRegion(?o,?r)",
+]
+PREFIXES = {"sales": "", "geo": "http://example.org/geo/"}
+
+
+def rule_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules read from a file with comments, blank lines and prefixes."""
+    path = f"{run_folder(spark)}/rules"
+    spark.createDataFrame([("\n".join(RULE_FILE),)], "value string").coalesce(1).write.text(path)
+    rules = hf.load_rules(spark, path, PREFIXES)
+    return hf.infer(facts(spark, sf_dir), rules, distinct_input=True).inferred
+
+
+def literal_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as literals, written as lines and read back."""
+    path = f"{run_folder(spark)}/lines"
+    texts = spark.read.schema("doc_id bigint, text string").parquet(f"{sf_dir}/documents.parquet")
+    literals = hf.edge_triples(texts, node("doc", "doc_id"), "<text>", "concat('\"', text, '\"')")
+    hf.write_triple_lines(literals, path)
+    return hf.load_triples(spark, path)
 
 
 def explain_chain2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,6 +488,9 @@ def queries() -> dict[str, Query]:
         **{name: closure(rules) for name, (rules, _) in CLOSURES.items()},
         "closed_kb": closed_kb,
         "phase_stats": phase_stats,
+        "phase_totals": phase_totals,
+        "rule_file": rule_file,
+        "literal_round_trip": literal_round_trip,
         "explain_chain2": explain_chain2,
         "explain_thread": explain_thread,
         "predicate_usage": predicate_usage,
@@ -469,9 +527,19 @@ def oracle_sql() -> dict[str, str]:
             SELECT s, p, o FROM kb UNION ALL SELECT s, '<ancestor>', o FROM ancestor""",
         "phase_stats": f"""{THREAD_SQL}, per_rule AS (
               SELECT phase::INT AS phase, (CASE WHEN phase = 1 THEN 1 ELSE 2 END)::INT AS rule_id, count(*) AS matched
-              FROM started GROUP BY 1, 2)
+              FROM started GROUP BY 1, 2 UNION ALL SELECT 1, 2, 0
+              UNION ALL SELECT max(phase)::INT + 1, 2, 0 FROM started)
             SELECT phase, rule_id, matched, matched AS inferred, matched AS new,
                    sum(matched) OVER (PARTITION BY rule_id ORDER BY phase)::BIGINT AS matched_so_far FROM per_rule""",
+        "phase_totals": f"""{THREAD_SQL}, counted AS (SELECT phase::INT AS phase, count(*) AS matched FROM started GROUP BY 1
+              UNION ALL SELECT max(phase)::INT + 1, 0 FROM started)
+            SELECT phase, (CASE WHEN phase = 1 THEN 2 ELSE 1 END)::INT AS triggered, matched, matched AS new FROM counted""",
+        "rule_file": f"""{KB}, n AS (SELECT DISTINCT a.s, b.o FROM kb a JOIN kb b ON a.o = b.s
+              WHERE a.p = '<placedBy>' AND b.p = '<inNation>')
+            SELECT s, '<http://example.org/geo/orderNation>' AS p, o FROM n
+            UNION SELECT n.s, '<http://example.org/geo/orderRegion>', r.o FROM n JOIN kb r ON n.o = r.s AND r.p = '<inRegion>'""",
+        "literal_round_trip": """SELECT '<doc/' || doc_id || '>' AS s, '<text>' AS p, '"' || text || '"' AS o
+            FROM documents WHERE text IS NOT NULL""",
         "explain_chain2": f"""{KB} SELECT 1::INT AS rule_id,
               '(' || a.s || ' <inNation> ' || a.o || ') (' || b.s || ' <inRegion> ' || b.o || ')' AS premises,
               '(' || a.s || ' <inRegionOf> ' || b.o || ')' AS conclusion

@@ -11,6 +11,9 @@ from hornfold.functions.terms import BUILTINS, num, triple_struct
 from hornfold.sources.rules import Atom, Rule, is_variable
 from hornfold.sources.triples import relation
 
+#: Facts of a relation per distinct subject and per distinct object.
+FanOut = tuple[float, float]
+
 
 def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
@@ -35,18 +38,19 @@ def join_atoms(
     rule: Rule,
     *,
     first: int | None = None,
-    rows: Sequence[int] | None = None,
+    fanouts: Sequence[FanOut | None] | None = None,
     explain: bool = False,
     count_matches: bool = True,
 ) -> DataFrame:
     """Match a body whose i-th atom reads the ``(s, o)`` rows of ``relations[i]``.
 
-    ``first`` names the atom to start from (the one reading new facts), ``rows`` the known sizes.
+    ``first`` names the atom to start from (the one reading new facts); ``fanouts`` has what is known
+    of each relation's rows per subject and per object.
     """
     wanted = None if explain or count_matches else joining_variables(rule)
     bound: set[str] = set()
     bindings: DataFrame | None = None
-    for i in join_order(rule.body, first, rows, wanted):
+    for i in join_order(rule.body, first, fanouts, wanted):
         atom = rule.body[i]
         right = atom_bindings(relations[i], atom, premise(i) if explain else None)
         kept = [v for v in atom.variables if wanted is None or v in wanted]
@@ -77,9 +81,16 @@ def join_atoms(
 
 
 def join_order(
-    body: Sequence[Atom], first: int | None, rows: Sequence[int] | None, wanted: set[str] | None
+    body: Sequence[Atom],
+    first: int | None,
+    fanouts: Sequence[FanOut | None] | None,
+    wanted: set[str] | None,
 ) -> list[int]:
-    """Connected order, atoms without variables last; the smaller relation first when sizes are known."""
+    """Connected order, atoms without variables last; next the atom that adds fewest rows to a binding.
+
+    That is its facts per value of the bound side. Where this isn't known, an atom joined by its
+    subject comes before one joined by its object, of which many subjects tend to share one.
+    """
     waiting = [i for i, atom in enumerate(body) if atom.variables]
     ground = [i for i, atom in enumerate(body) if not atom.variables]
     if not waiting:
@@ -102,7 +113,7 @@ def join_order(
             key=lambda i: (
                 not set(body[i].variables) <= bound,
                 not selective(body[i]),
-                rows[i] if rows else 0,
+                expected_rows(body[i], bound, fanouts[i] if fanouts else None),
                 i,
             ),
         )
@@ -111,6 +122,12 @@ def join_order(
     return order + ground
 
 
+def expected_rows(atom: Atom, bound: set[str], fanout: FanOut | None) -> float:
+    """Facts of an atom for each binding of the variables it shares with ``bound``."""
+    sides = [per for term, per in zip((atom.s, atom.o), fanout or (1.0, 2.0), strict=True) if term[1:] in bound and is_variable(term)]
+    return min(sides, default=0.0)
+
+
 def selective(atom: Atom) -> bool:
     """Whether a property atom fixes its subject or object."""
     return not atom.is_type and not (is_variable(atom.s) and is_variable(atom.o))

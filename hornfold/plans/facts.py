@@ -6,11 +6,10 @@ phases and a lost executor costs a re-read of files, never a recomputation of ea
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from hornfold.functions.terms import RDF_TYPE, is_type, pred_key
@@ -22,15 +21,28 @@ MERGE_EVERY = 16
 
 
 def run_folder(spark: SparkSession, work_dir: str | None = None) -> str:
-    """A new folder for one run below ``spark.checkpoint.dir``."""
-    base = work_dir or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="hornfold-")
+    """A new folder for one run: below ``work_dir``, else ``spark.checkpoint.dir``, else the warehouse."""
+    base = (
+        work_dir
+        or spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.sql.warehouse.dir")
+    )
     return f"{base.rstrip('/')}/rules-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a run, on whatever file system it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def profile() -> list[Column]:
+    """Rows, distinct subjects and distinct objects of a key's facts."""
+    distinct = [F.approx_count_distinct(side).alias(name) for side, name in (("s", "subjects"), ("o", "objects"))]
+    return [F.count("*").alias("facts"), *distinct]
+
+
 class FactTables:
     """Base facts and the new facts of each phase, as ``(s, o)`` tables per predicate key."""
 
@@ -49,6 +61,8 @@ class FactTables:
         self.levels: list[list[str]] = [[]]
         self.newest: str | None = None
         self.rows_in: dict[str, dict[Key, int]] = {}
+        # Per key the most distinct subjects and objects seen in one table.
+        self.distinct: dict[Key, tuple[int, int]] = {}
         if staged:
             self._stage(rules, distinct_input)
         elif stored_by_key(kb):
@@ -70,15 +84,30 @@ class FactTables:
         path = f"{self.folder}/base"
         # Gathers each key into files of the advisory size and splits a key holding most rows.
         facts.hint("rebalance", F.col("k")).write.partitionBy("k").parquet(path)
-        counted = self.spark.read.schema(f"{PAIR_SCHEMA}, k int").parquet(path).groupBy("k").count().collect()
-        by_id = {row["k"]: row["count"] for row in counted}
-        self.base_rows = {key: by_id.get(i, 0) for key, i in self.ids.items()}
+        counted = self.spark.read.schema(f"{PAIR_SCHEMA}, k int").parquet(path).groupBy("k").agg(*profile()).collect()
+        by_id = {row["k"]: row for row in counted}
+        self._know({key: by_id[i] for key, i in self.ids.items() if i in by_id})
 
     def _count_stored(self, rules: RuleSet) -> None:
-        """Sizes of a table stored by key, read from its directories and file footers alone."""
-        rows = rules_only(self.kb, rules).groupBy("pred_key", "is_type").count().collect()
-        found = {(row["pred_key"], row["is_type"]): row["count"] for row in rows}
-        self.base_rows = {key: found.get(key, 0) for key in self.ids}
+        """Sizes and fan-outs of a table stored by key: one scan of the directories that the rules use."""
+        rows = rules_only(self.kb, rules).groupBy("pred_key", "is_type").agg(*profile()).collect()
+        self._know({(row["pred_key"], row["is_type"]): row for row in rows})
+
+    def _know(self, found: dict[Key, Row]) -> None:
+        self.base_rows = {key: found[key]["facts"] if key in found else 0 for key in self.ids}
+        for key, row in found.items():
+            self.learn(key, row["subjects"], row["objects"])
+
+    def learn(self, key: Key, subjects: int, objects: int) -> None:
+        known = self.distinct.get(key, (1, 1))
+        self.distinct[key] = (max(known[0], subjects), max(known[1], objects))
+
+    def fanout(self, key: Key) -> tuple[float, float] | None:
+        """Facts per distinct subject and object, where the facts of the key were counted."""
+        if self.base_rows is None or key not in self.distinct:
+            return None
+        subjects, objects = self.distinct[key]
+        return self.rows(key) / subjects, self.rows(key) / objects
 
     def base(self, key: Key) -> DataFrame:
         """Base facts of a key; the same frame every time, so files are listed once per run."""
@@ -157,6 +186,8 @@ class FactTables:
             self.rows_in[target] = {
                 key: n for key in self.ids if (n := sum(self.rows_in[folder].get(key, 0) for folder in folders))
             }
+            for folder in folders:  # copied, and no later phase reads them
+                remove_folder(self.spark, folder)
             folders.clear()
             if level + 1 == len(self.levels):
                 self.levels.append([])

@@ -14,21 +14,12 @@ from pyspark.sql import functions as F
 from hornfold.operators.explain import EXPLANATION_SCHEMA, with_conclusion
 from hornfold.operators.heads import head_term
 from hornfold.operators.match import join_atoms
-from hornfold.plans.batch import batch_heads, choose
-from hornfold.plans.facts import FactTables, run_folder, tagged
+from hornfold.plans.facts import FactTables, profile, remove_folder, run_folder, tagged
 from hornfold.sources.rules import Key, Rule, RuleSet
 from hornfold.sources.triples import TRIPLE_COLUMNS
 
 logger = logging.getLogger("hornfold")
 
-# Above this many known facts a phase first writes its candidates. Spark then sees their true size
-# and, when they are small, broadcasts them past the known facts instead of shuffling those.
-CANDIDATES_FIRST = 5_000_000
-
-# Up to this many keys are read one by one, which tells Spark the size of each; more in one scan.
-FEW_KEYS = 4
-
-
 @dataclass(frozen=True)
 class Inference:
     """``kb`` is the closure, ``inferred`` what was added to the input.
@@ -46,6 +37,10 @@ class Inference:
     converged: bool
     folder: str
 
+    def cleanup(self) -> None:
+        """Delete the tables of the run. Frames that read them, ``kb`` included, can't be used afterwards."""
+        remove_folder(self.stats.sparkSession, self.folder)
+
 
 def infer(
     kb: DataFrame,
@@ -143,31 +138,23 @@ def run_phase(
     Returns per rule the matched, inferred and new counts, and per key the number of new facts;
     both are bounded by the number of rules.
     """
-    batched = choose(facts, triggered, phase) if count_matches and not explain else []
     terms = [
-        (rule, matches)
-        for rule in triggered
-        if rule not in batched
-        for matches in phase_terms(facts, rule, phase, explain, count_matches)
+        (rule, matches) for rule in triggered for matches in phase_terms(facts, rule, phase, explain, count_matches)
     ]
-    if not terms and not batched:
+    if not terms:
         return {}, {}
     if explain:
         heads = write_explanations(facts, terms, slots, phase)
     else:
-        parts = [head_rows(facts, rule, slots, matches) for rule, matches in terms]
-        parts += batch_heads(facts, batched, slots, phase) if batched else []
-        heads = reduce(DataFrame.unionByName, parts)
-    live = {rule.rule_id: rule for rule in [*batched, *(rule for rule, _ in terms)]}
+        heads = reduce(DataFrame.unionByName, (head_rows(facts, rule, slots, matches) for rule, matches in terms))
+    live = {rule.rule_id: rule for rule, _ in terms}
     n_slots = 1 + max(slots[rule_id] for rule_id in live)
     candidates = heads.groupBy("k", "s", "o").agg(
         *(F.count_if(F.col("slot") == i).alias(f"matched_{i}") for i in range(n_slots))
     )
     target = phase_folder(facts, phase)
     head_keys = list(dict.fromkeys(rule.head.key for rule in live.values()))
-    known = known_facts(facts, head_keys)
-    n_known = sum(facts.rows(key) for key in head_keys)
-    marked = mark_new(facts, candidates, known, n_known, n_slots, phase)
+    marked = mark_new(candidates, known_facts(facts, head_keys), n_slots)
     marked.write.partitionBy("is_new", "k").parquet(target)
     return summarise(facts, target, live, slots, n_slots)
 
@@ -181,11 +168,11 @@ def phase_terms(
     atoms after it both. In the first phase all atoms read the base facts.
     """
     keys = [atom.key for atom in rule.body]
+    fanouts = [facts.fanout(key) for key in keys]
     if phase == 1:
         if all(facts.has_base(key) for key in keys):
-            rows = [facts.rows(key) for key in keys] if facts.base_rows is not None else None
             yield join_atoms(
-                [facts.base(key) for key in keys], rule, rows=rows, explain=explain, count_matches=count_matches
+                [facts.base(key) for key in keys], rule, fanouts=fanouts, explain=explain, count_matches=count_matches
             )
         return
     for i, key in enumerate(keys):
@@ -195,9 +182,7 @@ def phase_terms(
             facts.delta(k) if j == i else facts.old(k) if j < i else facts.all(k) for j, k in enumerate(keys)
         ]
         if all(rel is not None for rel in relations):
-            sized = facts.base_rows is not None
-            rows = [facts.rows(k, newest=j > i) for j, k in enumerate(keys)] if sized else None
-            yield join_atoms(relations, rule, first=i, rows=rows, explain=explain, count_matches=count_matches)
+            yield join_atoms(relations, rule, first=i, fanouts=fanouts, explain=explain, count_matches=count_matches)
 
 
 def head_rows(facts: FactTables, rule: Rule, slots: dict[int, int], matches: DataFrame) -> DataFrame:
@@ -211,30 +196,17 @@ def head_rows(facts: FactTables, rule: Rule, slots: dict[int, int], matches: Dat
 
 def known_facts(facts: FactTables, keys: list[Key]) -> DataFrame | None:
     """``(k, s, o)`` facts of some keys known before this phase; None when there are none."""
-    if facts.staged and len(keys) > FEW_KEYS:
+    if facts.staged:
         return facts.keyed().filter(F.col("k").isin([facts.ids[key] for key in keys]))
     found = [(facts.ids[key], rel) for key in keys if (rel := facts.all(key)) is not None]
     return tagged(found) if found else None
 
 
-def mark_new(
-    facts: FactTables,
-    candidates: DataFrame,
-    known: DataFrame | None,
-    n_known: int,
-    n_slots: int,
-    phase: int,
-) -> DataFrame:
+def mark_new(candidates: DataFrame, known: DataFrame | None, n_slots: int) -> DataFrame:
     """Add ``is_new``: whether a candidate was unknown before the phase."""
     if known is None:
         return candidates.withColumn("is_new", F.lit(True))
     on = ["k", "s", "o"]
-    if n_known > CANDIDATES_FIRST:
-        path = f"{facts.folder}/candidates/phase-{phase:06d}"
-        candidates.write.parquet(path)
-        counters = ", ".join(f"matched_{i} bigint" for i in range(n_slots))
-        candidates = facts.spark.read.schema(f"k int, s string, o string, {counters}").parquet(path)
-        known = known.join(candidates.select(*on), on, "left_semi")
     marked = candidates.join(known.withColumn("seen", F.lit(True)), on, "left")
     # Of a known candidate only the counters are needed, so its terms are not written again.
     is_new = F.col("seen").isNull()
@@ -261,7 +233,7 @@ def summarise(
         .parquet(target)
         .groupBy("k", "is_new")
         .agg(
-            F.count("*").alias("facts"),
+            *profile(),
             *(F.sum(c).alias(f"{c}_total") for c in counters),
             *(gave(c).alias(f"{c}_facts") for c in counters),
         )
@@ -277,6 +249,9 @@ def summarise(
             sum(part[f"{counter}_facts"] for part in parts.values()),
             parts[True][f"{counter}_facts"] if True in parts else 0,
         )
+    for key, i in facts.ids.items():
+        if (i, True) in by_part:
+            facts.learn(key, by_part[(i, True)]["subjects"], by_part[(i, True)]["objects"])
     new_rows = {key: by_part[(i, True)]["facts"] for key, i in facts.ids.items() if (i, True) in by_part}
     return counts, new_rows
 

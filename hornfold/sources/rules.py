@@ -100,7 +100,7 @@ def _rule_set(lines: DataFrame, prefixes: Mapping[str, str] | None) -> RuleSet:
     for row in rows:
         if row["role"] == "malformed":
             raise ValueError(f"rule {row['rule_id']}: cannot read {row['s']!r}")
-        atom = Atom(row["s"], row["p"], row["o"], row["is_type"], row["pred_key"])
+        atom = Atom(plain_literal(row["s"]), row["p"], plain_literal(row["o"]), row["is_type"], row["pred_key"])
         grouped.setdefault(row["rule_id"], {"body": [], "builtin": [], "head": []})[row["role"]].append(atom)
     rules = tuple(
         Rule(rule_id, tuple(parts["body"]), tuple(parts["builtin"]), parts["head"][0])
@@ -111,6 +111,16 @@ def _rule_set(lines: DataFrame, prefixes: Mapping[str, str] | None) -> RuleSet:
     return RuleSet(atoms, tuple(map(with_separate_names, rules)))
 
 
+def plain_literal(term: str | None) -> str | None:
+    """A literal of a rule as facts hold it, without escapes."""
+    if not term or not term.startswith('"') or "\\" not in term:
+        return term
+    parts = term.split("\\\\")
+    for escape, plain in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
+        parts = [part.replace(escape, plain) for part in parts]
+    return "\\".join(parts)
+
+
 def normalised(token: str) -> str:
     """SQL for a term: variables stay, literals lose their suffix, words become IRIs."""
     word = f"regexp_replace({token}, r'^<|>$', '')"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornfold.functions.terms import RDF_TYPE, is_type, pred_key
@@ -34,27 +34,57 @@ def parse_triple_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     well_formed = F.size("_fields") == 3
     return fields.select(
         *lines.columns,
-        *(F.when(well_formed, F.col("_fields")[i]).alias(name) for i, name in enumerate(TRIPLE_COLUMNS)),
+        *(F.when(well_formed, unescaped(F.col("_fields")[i])).alias(name) for i, name in enumerate(TRIPLE_COLUMNS)),
     )
 
 
+# The escapes of N-Triples inside a literal.
+_ESCAPES = (('"', r"\""), ("\n", r"\n"), ("\r", r"\r"), ("\t", r"\t"))
+
+
+def escaped(term: Column) -> Column:
+    """A term as it is written in a line: backslash, quote and control characters of a literal escaped."""
+    inner = F.replace(F.substring(term, F.lit(2), F.char_length(term) - 2), F.lit("\\"), F.lit("\\\\"))
+    for plain, written in _ESCAPES:
+        inner = F.replace(inner, F.lit(plain), F.lit(written))
+    return F.when(is_literal(term), F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(term)
+
+
+def unescaped(term: Column) -> Column:
+    """Undoes ``escaped``. What lies between two escaped backslashes has its other escapes undone alone."""
+
+    def undo(part: Column) -> Column:
+        for plain, written in _ESCAPES:
+            part = F.replace(part, F.lit(written), F.lit(plain))
+        return part
+
+    # Only a literal with a backslash needs this.
+    parts = F.split(term, r"\\\\", -1)
+    plain = F.array_join(F.transform(parts, undo), "\\")
+    return F.when(term.startswith('"') & term.contains("\\"), plain).otherwise(term)
+
+
+def is_literal(term: Column) -> Column:
+    return (F.char_length(term) > 1) & term.startswith('"') & term.endswith('"')
+
+
 def load_triples(
     spark: SparkSession,
     path: str | list[str],
     *,
     fmt: str = "text",
-    on_error: str = "drop",
+    on_error: str = "fail",
     distinct: bool = True,
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Read triples from text lines or Parquet.
 
-    ``on_error`` says what a malformed line does: ``drop`` skips it, ``fail`` fails the job,
+    ``on_error`` says what a malformed line does: ``fail`` fails the job, ``drop`` skips it,
     ``quarantine`` returns ``(triples, malformed_lines)``. Blank lines are skipped. A Parquet row
     with a NULL field counts as malformed.
     ``distinct=False`` leaves out the shuffle when the input is known to be a set.
     """
     if on_error not in ("drop", "fail", "quarantine"):
-        raise ValueError(f"on_error must be drop, fail or quarantine, not {on_error!r}")
+        raise ValueError(f"on_error must be fail, drop or quarantine, not {on_error!r}")
     if fmt not in ("text", "parquet"):
         raise ValueError(f"fmt must be text or parquet, not {fmt!r}")
     parsed = read_lines(spark, path) if fmt == "text" else read_parquet(spark, path)
@@ -107,8 +137,16 @@ def save_triples(triples: DataFrame, path: str, *, rules: RuleSet | None = None,
 
 
 def write_triple_lines(triples: DataFrame, path: str, *, mode: str = "error") -> None:
-    """Write triples as text lines that ``load_triples`` reads back."""
-    triples.select(F.concat_ws(" ", *TRIPLE_COLUMNS, F.lit(".")).alias("value")).write.mode(mode).text(path)
+    """Write triples as text lines that ``load_triples`` reads back as they are.
+
+    Literals are escaped. A triple that no line can hold, such as an IRI with a space before it or an
+    empty field, fails the job.
+    """
+    terms = [escaped(F.coalesce(name, F.lit(""))) for name in TRIPLE_COLUMNS]
+    line = F.concat_ws(" ", *terms, F.lit("."))
+    readable = F.regexp_replace(line, _LINE, f"$1{_SEPARATOR}$2{_SEPARATOR}$3") == F.concat_ws(_SEPARATOR, *terms)
+    complaint = F.raise_error(F.concat(F.lit("no line can hold the triple: "), line)).cast("string")
+    triples.select(F.when(readable, line).otherwise(complaint).alias("value")).write.mode(mode).text(path)
 
 
 def stored_by_key(triples: DataFrame) -> bool:
