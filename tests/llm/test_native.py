@@ -181,7 +181,7 @@ def test_sketches_merge(spark):
 def test_line_templates_drop_recurring_lines(spark):
     rows = []
     for i in range(30):
-        own = f"paragraph number of text {'xyzuvw'[i % 6] * (i + 1)} that no other document has at all"
+        own = " ".join("abcdefghij"[(7 * i + k * k) % 10] * (k + 1) for k in range(4 + i))
         rows.append((i, f"{own}\n\nPosted on 2021-0{i % 9}-11 by user{i}\nCall us today for {'abcdef'[i % 6]} offers now", "s", 0, "", 0.0))
     rows += [(100, None, "s", 0, "", 0.0), (101, LONG, "s", 0, "", 0.0), (102, "Posted on 9999-99-99 by user7\nkeep me", "s", 0, "", 0.0)]
     found = {r["doc_id"]: r for r in line_templates.drop_recurring(spark.createDataFrame(rows, SCHEMA)).collect()}
