@@ -13,14 +13,18 @@ import numpy as np
 
 #: Parts each worker remembers in either of two generations, so that frequent ones stay.
 REMEMBERED = 600_000
-TWO_SPACES = re.compile(r"\s\s")
-CLOSED = re.compile(r"([^\W\d_]+)([.,;:!?]{1,3})")
+MARKS = ".,;:!?"
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 TOGETHER = 4096
 
 _encoders: dict[str, Encoder] = {}
 
 
+def touches(part: str) -> bool:
+    """Could this part, cut at single spaces, belong to white space beside it?"""
+    return not part or part[0].isspace() or part[-1].isspace()
+
+
 class Encoder:
     """Ids as little-endian bytes, 4 for each id."""
 
@@ -32,6 +36,7 @@ class Encoder:
         # Strings of special tokens inside a text are ordinary text.
         self.tokenizer.encode_special_tokens = True
         self.marks: dict[str, bytes] = {}
+        self.touching: set[str] = set()
         # Tokens that begin a word (with its space) or end one, as the vocabulary has it.
         words = sorted(self.tokenizer.get_vocab().items(), key=lambda item: item[1])
         self.begins = np.array([w.startswith("\u0120") for w, _ in words])
@@ -69,26 +74,41 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        split = [SAFE_CUT.split(t) if TWO_SPACES.search(t) else t.split(" ") for t in texts]
-        rest = [parts[1:] for parts in split]
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
+        if len(self.touching) > REMEMBERED:
+            self.old, self.new, self.touching = {}, {}, set()
         new, old = self.new, self.old
-        unknown = set().union(*rest) - new.keys()
-        new.update((part, old[part]) for part in unknown & old.keys())
-        missing = unknown - old.keys()
+        split = [t.split(" ") for t in texts]
+        parts_met = set().union(*(parts[1:] for parts in split))
+        self.touching.update([part for part in parts_met if part not in new and part not in old and touches(part)])
+        if not self.touching.isdisjoint(parts_met):  # rare: a cut beside other white space isn't safe
+            split = [SAFE_CUT.split(t) if any(map(touches, parts)) else parts for t, parts in zip(texts, split, strict=True)]
+            parts_met = set().union(*(parts[1:] for parts in split))
+        rest = [parts[1:] for parts in split]
+        missing = set()
+        for part in parts_met:
+            if part not in new:
+                if part in old:
+                    new[part] = old[part]
+                else:
+                    missing.add(part)
         # Closing marks are cut from letters by both vocabularies, so only the word is new.
-        ended = [(part, found[1], found[2]) for part in missing if (found := CLOSED.fullmatch(part)) and found[1].isalpha()]
-        missing.difference_update(part for part, _, _ in ended)
-        for stem in {stem for _, stem, _ in ended}.difference(new, missing):
-            if stem in old:
-                new[stem] = old[stem]
-            else:
-                missing.add(stem)
+        ended = []
+        for part in missing:
+            if part[-1:] in MARKS and (stem := part.rstrip(MARKS)).isalpha():
+                ended.append((part, stem, part[len(stem) :]))
+        missing.difference_update([part for part, _, _ in ended])
+        for _, stem, _ in ended:
+            if stem not in new:
+                if stem in old:
+                    new[stem] = old[stem]
+                else:
+                    missing.add(stem)
         # Parts with white space at an end may touch their neighbours: those are encoded alone.
         kinds: tuple[list[str], ...] = ([], [], [])
         for part in missing:
-            kinds[0 if part.isalpha() else 2 if not part or part[0].isspace() or part[-1].isspace() else 1].append(part)
+            kinds[0 if part.isalpha() else 2 if touches(part) else 1].append(part)
         for kind, how in zip(kinds, (self.letters, self.spaced, lambda parts: self.plain([f" {p}" for p in parts])), strict=True):
             for i in range(0, len(kind), TOGETHER):
                 new.update(zip(kind[i : i + TOGETHER], how(kind[i : i + TOGETHER]), strict=True))
