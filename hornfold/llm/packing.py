@@ -22,7 +22,7 @@ from hornfold.llm.tokens import encoder, vocabulary
 
 CAPACITY = 1024
 END_ID = 2
-SLICE = 256
+SLICE = 1024
 
 
 class OpenBins:

@@ -32,7 +32,7 @@ BLOCK = 1 << 16
 PLANES = 32
 END_ID = 1
 LEVEL = 3
-SLICE = 256
+SLICE = 1024
 TAIL = struct.Struct("<QQQQQ4s")
 
 
