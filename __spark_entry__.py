@@ -473,7 +473,7 @@ def llm_queries():
     """The module with the operators for training data, or None where that folder is gone."""
     try:
         from hornfold.llm import queries as found
-    except ModuleNotFoundError as error:
+    except ImportError as error:
         if error.name not in ("hornfold.llm", "corpus_pipeline"):
             raise
         return None
