@@ -13,11 +13,14 @@ def con():
     return duck(SF_DIR)
 
 
-def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+def test_every_rule_query_has_sql():
+    # Operators for training data that SQL can't express have tests of their own.
+    llm = entry.llm_queries()
+    others = set(llm.queries()) - set(llm.oracle_sql()) if llm else set()
+    assert set(entry.queries()) - others == set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query_matches_sql(spark, con, name):
     ours, theirs = compare(spark, con, name, SF_DIR)
     assert ours == theirs
