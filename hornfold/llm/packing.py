@@ -99,7 +99,10 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32. Only documents over ``capacity`` are cut."""
+    """Per piece: doc_id, piece, start, length, ids_crc32.
+
+    Only documents over ``capacity`` are cut, into pieces of ``capacity``; the first may be shorter.
+    """
     rows = docs.select("doc_id", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,11 +115,13 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
                 owner, piece, start, length, check = [], [], [], [], []
                 for row, ids in enumerate(encoder(path).encode(texts)):
                     ids += end
-                    for no, first in enumerate(range(0, len(ids), 4 * capacity)):
-                        data = ids[first : first + 4 * capacity]
+                    # Whole pieces end a document that is cut; the first has what is left over.
+                    first_end = len(ids) % (4 * capacity) or 4 * capacity
+                    for no, stop in enumerate(range(first_end, len(ids) + 1, 4 * capacity)):
+                        data = ids[max(stop - 4 * capacity, 0) : stop]
                         owner.append(row)
                         piece.append(no)
-                        start.append(first // 4)
+                        start.append((stop - len(data)) // 4)
                         length.append(len(data) // 4)
                         check.append(zlib.crc32(data))
                 columns = [part.column(0).take(pa.array(owner, pa.int32())), pa.array(piece, pa.int32())]

@@ -69,12 +69,16 @@ def test_pack(spark, docs):
     whole = defaultdict(Counter)
     for doc_id, text, _ in ROWS:
         ids = ids_of("byte_bpe_50k.json", text, 2)
-        for no, start in enumerate(range(0, len(ids), 1024)):
-            whole[doc_id][(no, start, len(ids[start : start + 1024]), zlib.crc32(ids[start : start + 1024].tobytes()))] += 1
+        # Pieces of 1024 counted from the end: only the first may be shorter.
+        ends = list(range(len(ids), 0, -1024))[::-1]
+        for no, end in enumerate(ends):
+            part = ids[max(end - 1024, 0) : end]
+            whole[doc_id][(no, end - len(part), len(part), zlib.crc32(part.tobytes()))] += 1
     found = defaultdict(Counter)
     for r in rows:
         found[r["doc_id"]][(r["piece"], r["start"], r["length"], r["ids_crc32"])] += 1
     assert found == whole
+    assert all(r["length"] == 1024 for r in rows if r["piece"] > 0)
     assert packing.pack(docs.limit(0)).collect() == []
 
 
