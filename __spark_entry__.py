@@ -406,11 +406,9 @@ def explain_chain2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explain_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Explanations of a recursive rule set, saved per phase and read back."""
-    result = run(THREAD, spark, sf_dir, explain=True)
-    folder = f"{result.folder}/rendered"
-    hf.save_explanations(hf.render_explanations(result.explanations), folder)
-    rendered = spark.read.schema("phase int, rule_id int, premises array<string>, conclusion string").parquet(folder)
+    """Explanations of a recursive rule set, written once per phase to a folder of the user's and read back."""
+    result = run(THREAD, spark, sf_dir, explain_path=f"{run_folder(spark)}/explanations")
+    rendered = hf.render_explanations(result.explanations)
     return rendered.select("phase", "rule_id", F.array_join("premises", " ").alias("premises"), "conclusion")
 
 

@@ -37,6 +37,17 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def claim_folder(spark: SparkSession, path: str, mode: str) -> None:
+    """Make sure nothing is at ``path``: with mode ``error`` refuse what is there, with ``overwrite`` delete it."""
+    if mode not in ("error", "overwrite"):
+        raise ValueError(f"mode is error or overwrite, not {mode}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        if mode == "error":
+            raise FileExistsError(path)
+        remove_folder(spark, path)
+
+
 def profile() -> list[Column]:
     """Rows, distinct subjects and distinct objects of a key's facts."""
     distinct = [F.approx_count_distinct(side).alias(name) for side, name in (("s", "subjects"), ("o", "objects"))]
@@ -54,6 +65,7 @@ class FactTables:
         self.ids: dict[Key, int] = {key: i for i, key in enumerate(rules.keys)}
         self.staged = staged
         self.explained = False
+        self.explain_path = f"{folder}/explanations"
         self.base_rows: dict[Key, int] | None = None
         self.base_frames: dict[Key, DataFrame] = {}
         # Folders of derived facts, one directory per key in each, grouped by how often merged;

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hornfold.operators.explain import EXPLANATION_SCHEMA, with_conclusion
 from hornfold.operators.heads import head_term
 from hornfold.operators.match import join_atoms
-from hornfold.plans.facts import FactTables, profile, remove_folder, run_folder, tagged
+from hornfold.plans.facts import FactTables, claim_folder, profile, remove_folder, run_folder, tagged
 from hornfold.sources.rules import Key, Rule, RuleSet
 from hornfold.sources.triples import TRIPLE_COLUMNS
 
@@ -48,6 +48,8 @@ def infer(
     *,
     max_phases: int | None = None,
     explain: bool = False,
+    explain_path: str | None = None,
+    mode: str = "error",
     count_matches: bool = True,
     distinct_input: bool = False,
     stage: bool | None = None,
@@ -63,10 +65,17 @@ def infer(
     by default when several phases may read them. Pass ``stage=False`` for a table written by
     ``save_triples``, which has that layout already. Tables of the run are written below
     ``work_dir`` or, by default, ``spark.checkpoint.dir``.
+
+    With ``explain_path`` each phase writes its explanations to a directory of its own there, once;
+    ``mode`` is ``error`` or ``overwrite``, for a path where something is. ``cleanup`` leaves them.
     """
     folder = run_folder(kb.sparkSession, work_dir)
+    explain = explain or explain_path is not None
+    if explain_path is not None:
+        claim_folder(kb.sparkSession, explain_path, mode)
     staged = rules.feeds_itself and max_phases != 1 if stage is None else stage
     facts = FactTables(kb, rules, folder, staged=staged, distinct_input=distinct_input)
+    facts.explain_path = explain_path or facts.explain_path
     warn_of_idle_atoms(facts, rules)
     slots = head_slots(rules)
     stats: list[tuple[int, int, int, int, int]] = []
@@ -259,26 +268,29 @@ def summarise(
 def write_explanations(
     facts: FactTables, terms: list[tuple[Rule, DataFrame]], slots: dict[int, int], phase: int
 ) -> DataFrame:
-    """Write one explanation per match and return the head rows read back from them."""
-    path = f"{facts.folder}/explanations/phase={phase}"
-    tables = [
-        with_conclusion(matches, rule).withColumns(
-            {"k": F.lit(facts.ids[rule.head.key]), "slot": F.lit(slots[rule.rule_id])}
-        )
-        for rule, matches in terms
-    ]
-    reduce(DataFrame.unionByName, tables).write.parquet(path)
+    """Write one explanation per match (S6) and return the head rows read back from them."""
+    path = f"{facts.explain_path}/phase={phase}"
+    reduce(DataFrame.unionByName, (with_conclusion(matches, rule) for rule, matches in terms)).write.parquet(path)
     facts.explained = True
-    written = facts.spark.read.schema(f"{EXPLANATION_SCHEMA}, k int, slot int").parquet(path)
-    return written.select("k", "slot", F.col("conclusion.s").alias("s"), F.col("conclusion.o").alias("o"))
+    written = facts.spark.read.schema(EXPLANATION_SCHEMA).parquet(path)
+    rules = {rule.rule_id: rule for rule, _ in terms}
+    of_rule = {
+        "k": {i: facts.ids[rule.head.key] for i, rule in rules.items()},
+        "slot": {i: slots[i] for i in rules},
+    }
+    # One entry per rule.
+    numbers = [
+        F.create_map(*(F.lit(n) for pair in found.items() for n in pair))[F.col("rule_id")].alias(name)
+        for name, found in of_rule.items()
+    ]
+    return written.select(*numbers, F.col("conclusion.s").alias("s"), F.col("conclusion.o").alias("o"))
 
 
 def read_explanations(facts: FactTables) -> DataFrame:
     schema = f"{EXPLANATION_SCHEMA}, phase int"
-    if facts.explained:
-        table = facts.spark.read.schema(schema).parquet(f"{facts.folder}/explanations")
-    else:
-        table = facts.spark.createDataFrame([], schema)
+    if not facts.explained:
+        facts.spark.createDataFrame([], schema).write.partitionBy("phase").parquet(facts.explain_path)
+    table = facts.spark.read.schema(schema).parquet(facts.explain_path)
     return table.select("phase", "rule_id", "premises", "conclusion")
 
 
