@@ -143,9 +143,56 @@ def test_simhash_components(spark, tree_nodes):
     found = simhash.near_duplicates(docs, tree_nodes=tree_nodes).collect()
     assert {r["doc_id"]: r["fingerprint"] for r in found} == {i: f"{p:016x}" for i, p in prints.items()}
     assert {r["doc_id"]: r["component_id"] for r in found} == linked(prints)
+
+
+def similar_groups(texts, least=0.8):
+    """By comparing all pairs: the smallest id reachable over texts that share enough of their shingles."""
+    sets = {}
+    for i, text in texts.items():
+        words = (text or "").encode().lower().split()
+        sets[i] = {tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))} if words else set()
+    parent = {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if i < j and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: root(i) for i in texts}
+
+
+@pytest.mark.parametrize("tree_nodes", [1024, 3])
+def test_similar_texts(spark, tree_nodes):
+    rng = random.Random(4)
+    texts = dict(enumerate([None, "", " \n", "one", "ONE", "One two", "ÉTÉ", "été", LONG, LONG[:-2000]]))
+    shared = [f"s{i}" for i in range(60)]
+    for i in range(30):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice([20, 100, 400]))]
+        for copy in range(rng.choice([1, 1, 3, 12])):
+            changed = list(words)
+            for _ in range(rng.randint(0, copy) * len(words) // 100):
+                changed[rng.randrange(len(words))] = "edit"
+            texts[len(texts)] = " ".join(changed + shared * (i % 3 == 0))
+    docs = spark.createDataFrame([(i, t, "s", 0, "") for i, t in texts.items()], SCHEMA)
+    wanted = similar_groups(texts)
+    assert len(set(wanted.values())) < len(wanted)
+    found = simhash.similar(docs, tree_nodes=tree_nodes).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == wanted
     kept = simhash.representatives(docs)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == set(linked(prints).values())
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(wanted.values()))
+
+
+def test_similar_texts_of_odd_rows(docs):
+    found = simhash.similar(docs).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(doc_id for doc_id, _, _ in ROWS)
+    assert {r["component_id"] for r in found if r["doc_id"] in (1, 2, 7)} == {1}
+    assert simhash.similar(docs.limit(0)).collect() == []
 
 
 def test_chains_of_links_are_one_component(spark):
