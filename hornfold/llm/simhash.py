@@ -371,6 +371,13 @@ class CheckedForest(Forest):
         for root in roots:
             self.parent[root] = new
 
+    def ask(self, node: int, value: int, own: np.ndarray) -> list[tuple[int, int]]:
+        """A link to each group that a text from outside touches; through it these are one group from now on."""
+        roots = sorted(self.touched(value, own))
+        for root in roots[1:]:
+            self.parent[root] = roots[0]
+        return [(node, self.nodes[root]) for root in roots]
+
     def node_links(self) -> list[tuple[int, int]]:
         roots = [self.root(i) for i in range(len(self.parent))]
         return [(self.nodes[i], self.nodes[r]) for i, r in enumerate(roots) if i != r]
@@ -405,7 +412,7 @@ def checked_links(members: DataFrame, sets: DataFrame, radius: int, similarity:
                     block, forest = here, CheckedForest(radius, similarity)
                 value, own = fp.as_py() & 0xFFFFFFFFFFFFFFFF, np.frombuffer(data.as_py(), "<u4")
                 if asks.as_py():
-                    found += [(node.as_py(), forest.nodes[r]) for r in forest.touched(value, own)]
+                    found += forest.ask(node.as_py(), value, own)
                 else:
                     forest.add(node.as_py(), value, own, here[1] == here[2])
             yield pair_batch(found)
