@@ -30,7 +30,7 @@ SHINGLE = 3
 SEED = 42
 TREE_NODES = 2048
 KEPT_BLOCKS = 3
-# Of ``similar``: of 1,000 pairs at a similarity of 0.8, all bands miss one and the radius misses under ten.
+# Of ``similar``: all bands miss one pair in 1,300 at a similarity of 0.8; the radius missed 14 of 7,393 measured pairs.
 SIMILARITY = 0.8
 SIMILAR_SHINGLE = 5
 SIMILAR_RADIUS = 16
