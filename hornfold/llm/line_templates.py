@@ -4,6 +4,7 @@ A line goes down a tree of fixed depth: number of tokens, then its leading token
 variable from the start. In a leaf, a position where one token prevails is constant and any other
 variable; lines that agree with enough of the positions are of the leaf's template, and a line that
 doesn't is a template of its own. Templates that occur in many documents are dropped from all.
+Long lines are passages rather than templates: an exact one stays in its first document only.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from hornfold.llm.common import Run, text_or_empty
 
 #: Documents in which a template must occur to be dropped.
 LEAST_DOCUMENTS = 10
+#: Words that make a line a passage, which goes from the second document on.
+LONG_WORDS = 50
 #: Leading tokens on the way to a leaf.
 DEPTH = 2
 #: Share of a leaf's lines that makes a token constant, and of positions that a line must agree with.
@@ -22,6 +25,7 @@ PREVAILS = 0.5
 AGREES = 0.6
 NUMBER = "[0-9]+"
 SPACE = r"[\x20\x09\x0B-\x0D]+"
+SPACES = " \t\v\f\r"
 
 
 def lines(text: Column) -> Column:
@@ -45,6 +49,23 @@ def line_hash(line: Column) -> Column:
     return F.when(F.trim(line) != "", F.xxhash64(line))
 
 
+def passage_hash(line: Column) -> Column:
+    """Of a line as it is, without the white space around it."""
+    return F.xxhash64(F.btrim(line, F.lit(SPACES)))
+
+
+def repeated_passages(run: Run, docs: DataFrame, long_words: int) -> DataFrame:
+    """doc_id and the hashes of its long lines that a document before it, by doc_id, has too."""
+    # A line of n words has 2 n - 1 characters at least.
+    long = lambda x: (F.length(x) >= 2 * long_words - 1) & (F.size(tokens(x)) >= long_words)
+    each = docs.select("doc_id", F.explode(F.array_distinct(F.filter(lines(text_or_empty()), long))).alias("__line"))
+    each = each.select("doc_id", passage_hash(F.col("__line")).alias("passage")).distinct()
+    each = run.table(each, "passages")
+    again = each.groupBy("passage").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    later = each.join(again, "passage").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    return later.groupBy("doc_id").agg(F.collect_set("passage").alias("__again"))
+
+
 def occurrences(docs: DataFrame, depth: int) -> DataFrame:
     """doc_id, leaf and line hash of every distinct masked line of a document."""
     line = F.explode(F.array_distinct(lines(masked(text_or_empty())))).alias("__line")
@@ -106,22 +127,30 @@ def drop_recurring(
     depth: int = DEPTH,
     prevails: float = PREVAILS,
     agrees: float = AGREES,
+    long_words: int = LONG_WORDS,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, text (without lines of recurring templates), n_lines, dropped_lines.
 
     Null counts as empty, which is one blank line; blank lines stay. A line repeated inside one
     document counts once for it. Rows that share a doc_id count as one document, and lose the lines
-    of any of them. An empty table gives an empty result. Columns beside doc_id and text are not
+    of any of them. A line of ``long_words`` or more that isn't dropped from all documents stays in the
+    one with the smallest doc_id, and goes from the others. An empty table gives an empty result. Columns beside doc_id and text are not
     looked at. A line that a third of all rows share is merged before the shuffle.
     """
     run = Run(docs.sparkSession, "lines")
     gone = dropped_lines(run, docs, least, depth, prevails, agrees).withColumnRenamed("doc_id", "__doc")
     texts = docs.select("doc_id", text_or_empty().alias("__text"))
     found = texts.join(gone, texts["doc_id"].eqNullSafe(gone["__doc"]), "left")
+    again = repeated_passages(run, docs, long_words).withColumnRenamed("doc_id", "__later")
+    found = found.join(again, found["doc_id"].eqNullSafe(again["__later"]), "left")
     none = F.array().cast("array<bigint>")
-    is_gone = lambda x: F.coalesce(F.array_contains(F.coalesce("__gone", none), line_hash(masked(x))), F.lit(False))
+    is_template = lambda x: F.coalesce(F.array_contains(F.coalesce("__gone", none), line_hash(masked(x))), F.lit(False))
+    is_again = lambda x: F.coalesce(F.array_contains("__again", passage_hash(x)), F.lit(False))
     found = found.withColumn("__all", lines(F.col("__text")))
-    found = found.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__all")).otherwise(F.filter("__all", lambda x: ~is_gone(x))))
+    kept = F.when(F.col("__gone").isNull(), F.col("__all")).otherwise(F.filter("__all", lambda x: ~is_template(x)))
+    found = found.withColumn("__some", kept)
+    kept = F.when(F.col("__again").isNull(), F.col("__some")).otherwise(F.filter("__some", lambda x: ~is_again(x)))
+    found = found.withColumn("__kept", kept)
     return found.select(
         "doc_id",
         F.array_join("__kept", "\n").alias("text"),

@@ -189,3 +189,13 @@ def test_line_templates_drop_recurring_lines(spark):
         assert found[i]["text"] == rows[i][1].split("\n")[0] + "\n"
         assert (found[i]["n_lines"], found[i]["dropped_lines"]) == (4, 2)
     assert found[100]["text"] == "" and found[101]["text"] == LONG and found[102]["text"] == "keep me"
+
+
+def test_long_lines_stay_in_their_first_document_only(spark):
+    passage = " ".join(f"p{'abcdefghij'[i % 10] * (i // 10 + 1)}" for i in range(50))
+    short = passage.rsplit(" ", 1)[0]
+    texts = {3: f"own three\n{passage}", 5: f"{short}\n  {passage}\t\nown five\n{passage}", 7: f"{short}\nown seven", None: passage, 9: f"{passage} 1", 11: f"{passage} 2"}
+    rows = [(i, text, "s", 0, "", 0.0) for i, text in texts.items()]
+    found = {r["doc_id"]: r for r in line_templates.drop_recurring(spark.createDataFrame([*rows, rows[0]], SCHEMA)).collect()}
+    assert {i: r["text"] for i, r in found.items()} == texts | {5: f"{short}\nown five", None: ""}
+    assert found[5]["dropped_lines"] == 2
