@@ -1,9 +1,10 @@
 """Line deduplication by a tree of line templates, with DataFrame functions only.
 
 A line goes down a tree of fixed depth: number of tokens, then its leading tokens. Numbers are
-variable from the start. In a leaf, a position where one token prevails is constant and any other
-variable; lines that agree with enough of the positions are of the leaf's template, and a line that
-doesn't is a template of its own. Templates that occur in many documents are dropped from all.
+variable from the start. A leaf is a group of lines, in which a position where one token prevails is
+constant and any other variable; lines that agree with enough of the positions are of the group's
+template. The others are grouped again, each by its most frequent token that doesn't prevail, until
+their groups have templates or are too small; what is left are templates of their own. Templates that occur in many documents are dropped from all.
 Long lines are passages rather than templates: an exact one stays in its first document only.
 """
 
@@ -75,6 +76,56 @@ def occurrences(docs: DataFrame, depth: int) -> DataFrame:
     )
 
 
+def grouped(run: Run, kinds: DataFrame, least: int, prevails: float, agrees: float) -> DataFrame:
+    """line and group, of the lines that agree with their group's template; ``kinds`` has line, leaf, tokens, docs.
+
+    A round tests every group and deals what doesn't agree to groups of at most half the documents, so
+    the rounds are as many as the largest leaf can be halved before it is below ``least``.
+    """
+    active, done, no = kinds.withColumn("group", F.col("leaf")), [], 0
+    while True:
+        total = active.groupBy("group").agg(F.sum("docs").alias("all")).where(F.col("all") >= least)
+        places = (
+            active.select("group", "docs", F.posexplode("tokens").alias("at", "token"))
+            .groupBy("group", "at", "token")
+            .agg(F.sum("docs").alias("n"))
+            .where(F.col("n") > prevails * least)
+            .join(total, "group")
+        )
+        places = run.table(places.withColumn("constant", F.col("n") > prevails * F.col("all")), f"places-{no}")
+        constant = (
+            places.where("constant")
+            .groupBy("group")
+            .agg(F.map_from_entries(F.collect_list(F.struct("at", "token"))).alias("constant"))
+        )
+        alike = F.size(F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.col("constant")[i] == F.col("tokens")[i]))
+        general = F.coalesce(alike >= agrees * F.size("tokens"), F.lit(False))
+        tested = active.join(total, "group").join(constant, "group", "left")
+        tested = run.table(tested.withColumn("general", general).drop("constant"), f"tested-{no}")
+        done.append(tested.where("general").select("line", "group"))
+        # Where most of a group agree the others stay together; else each goes by its most frequent token.
+        told = tested.groupBy("group").agg(F.sum(F.when(F.col("general"), F.col("docs")).otherwise(0)).alias("told"))
+        rest = tested.where("NOT general").join(told, "group")
+        rest = rest.withColumn("whole", F.col("told") >= (1 - prevails) * F.col("all")).drop("general", "told", "all")
+        best = (
+            rest.where("NOT whole")
+            .select("group", "line", F.posexplode("tokens").alias("at", "token"))
+            .join(places.where(~F.col("constant") & (F.col("n") >= least)).select("group", "at", "token", "n"), ["group", "at", "token"])
+            .groupBy("line")
+            .agg(F.max(F.struct("n", "at", "token")).alias("best"))
+        )
+        together = rest.where("whole").withColumn("group", F.xxhash64("group"))
+        apart = rest.where("NOT whole").join(best, "line").withColumn("group", F.xxhash64("group", "best.at", "best.token"))
+        active = run.table(together.drop("whole").unionByName(apart.drop("whole", "best")), f"active-{no}")
+        if active.isEmpty():
+            break
+        no += 1
+    found = done[0]
+    for more in done[1:]:
+        found = found.union(more)
+    return found
+
+
 def dropped_lines(run: Run, docs: DataFrame, least: int, depth: int, prevails: float, agrees: float) -> DataFrame:
     """doc_id and the hashes of its lines that are dropped."""
     seen = run.table(occurrences(docs, depth), "seen")
@@ -90,25 +141,15 @@ def dropped_lines(run: Run, docs: DataFrame, least: int, depth: int, prevails: f
         texts.select(F.explode(own).alias("__line"))
         .groupBy("__line")
         .agg(F.lit(1))
-        .select(line_hash(F.col("__line")).alias("line"), tokens(F.col("__line")).alias("tokens"))
+        .select(
+            line_hash(F.col("__line")).alias("line"),
+            F.transform(tokens(F.col("__line")), lambda x: F.xxhash64(x)).alias("tokens"),
+        )
     )
     kinds = run.table(kinds.join(counted, "line"), "kinds")
-    # Which tokens prevail at which place of a leaf.
-    total = kinds.groupBy("leaf").agg(F.sum("docs").alias("all"))
-    places = kinds.select("leaf", "docs", F.posexplode("tokens").alias("at", "token"))
-    constant = (
-        places.groupBy("leaf", "at", "token")
-        .agg(F.sum("docs").alias("n"))
-        .join(total, "leaf")
-        .where((F.col("n") > prevails * F.col("all")))
-        .groupBy("leaf")
-        .agg(F.map_from_entries(F.collect_list(F.struct("at", "token"))).alias("constant"))
-    )
-    alike = F.size(F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.col("constant")[i] == F.col("tokens")[i]))
-    general = F.coalesce(alike >= agrees * F.size("tokens"), F.lit(False))
-    parted = kinds.join(constant, "leaf", "left").select("leaf", "line", general.alias("general"))
-    template = F.struct("leaf", F.when(~F.col("general"), F.col("line")).alias("own"))
-    parted = run.table(parted.withColumn("template", template), "parted")
+    settled = grouped(run, kinds, least, prevails, agrees)
+    template = F.struct("group", F.when(F.col("group").isNull(), F.col("line")).alias("own")).alias("template")
+    parted = run.table(kinds.join(settled, "line", "left").select("leaf", "line", template), "parted")
     met = inside.join(parted.select("leaf", "line", "template"), ["leaf", "line"])
     recurring = (
         met.groupBy("template", "doc_id")

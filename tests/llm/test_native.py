@@ -199,3 +199,17 @@ def test_long_lines_stay_in_their_first_document_only(spark):
     found = {r["doc_id"]: r for r in line_templates.drop_recurring(spark.createDataFrame([*rows, rows[0]], SCHEMA)).collect()}
     assert {i: r["text"] for i, r in found.items()} == texts | {5: f"{short}\nown five", None: ""}
     assert found[5]["dropped_lines"] == 2
+
+
+def test_a_leaf_holds_several_templates(spark):
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(1000 + i))
+    kinds = ["we are glad that {} reads our pages", "we are open when {} closes its doors", "we are only half of {} in june", "we are {} to all who come by"]
+    often = [12, 12, 12, 4]
+    rows = [(100 * k + i, f"{kind.format(name(100 * k + i))}\nown{name(100 * k + i)}", "s", 0, "", 0.0) for k, kind in enumerate(kinds) for i in range(often[k])]
+    # One template has most lines of its leaf, another recurs as well.
+    rows += [(1000 + i, f"you can {name(i)} the site each day", "s", 0, "", 0.0) for i in range(40)]
+    rows += [(2000 + i, f"you can write to {name(i)} in haste", "s", 0, "", 0.0) for i in range(12)]
+    found = {r["doc_id"]: r for r in line_templates.drop_recurring(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for doc_id, text, *_ in rows:
+        stays = text if 300 <= doc_id < 400 else text.split("\n")[1] if doc_id < 300 else ""
+        assert found[doc_id]["text"] == stays
