@@ -7,15 +7,17 @@ No tree grows past a fixed number of nodes: a larger shard is dealt to several t
 fingerprint searches all trees of its shard. Trees go to the tasks of their shards by a shuffle; a
 broadcast of all trees would have no size bound.
 
-``similar`` looks for pairs that share 0.8 of their five-word shingles. Their fingerprints differ in up
-to 14 bits, too many for shards by equal bits; so there the shards are bands of minimum hashes, which
-such pairs share with near certainty, and the trees' finds are checked on the shingles themselves.
+``similar`` looks for pairs that share 0.8 of their five-word shingles. Fingerprints of the distinct
+shingles differ in about 10 of 64 bits then, too many for shards by equal bits; so there the shards are
+bands of minimum hashes, which such pairs share with near certainty, the radius is one that hardly any
+such pair exceeds, and the trees' finds are checked on the shingles themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,12 @@ SHINGLE = 3
 SEED = 42
 TREE_NODES = 2048
 KEPT_BLOCKS = 3
-# Of ``similar``: all bands miss one pair in 1,300 at a similarity of 0.8; the radius missed 14 of 7,393 measured pairs.
+# Of ``similar``: all bands miss one pair in 1,300 at a similarity of 0.8, the radius one in a million at most.
 SIMILARITY = 0.8
 SIMILAR_SHINGLE = 5
-SIMILAR_RADIUS = 16
+RADIUS_MISSES = 1e-6
+#: Sets of so few shingles are checked whatever the distance of their fingerprints.
+FEW_SHINGLES = 16
 SIMILAR_TREE = 1024
 BANDS, BAND_HASHES = 10, 3
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -117,6 +121,25 @@ class BKTree:
             node = self.children[node].setdefault((self.values[node] ^ value).bit_count(), new)
 
 
+class WideTree(BKTree):
+    """For radii above the number of a node's children: it goes through these, not through the distances."""
+
+    def search(self, value: int) -> list[int]:
+        if not self.values:
+            return []
+        found, open_, radius = [], [0], self.radius
+        values, children = self.values, self.children
+        while open_:
+            node = open_.pop()
+            distance = (values[node] ^ value).bit_count()
+            if distance <= radius:
+                found.append(node)
+            for edge, child in children[node].items():
+                if -radius <= edge - distance <= radius:
+                    open_.append(child)
+        return found
+
+
 class Forest:
     """One shard's tree: links as a spanning forest, so a dense group of n gives n - 1 links."""
 
@@ -304,17 +327,16 @@ def compact(distinct: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, ``at`` (a hash of the text), ``same`` (digest of the set of shingles), fp, bands."""
+    """doc_id, ``at`` (a hash of the text), ``same`` (digest of the set of shingles), and of that set fp and bands."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "at", "same", "fp", "bands"]
         for batch in batches:
             same, fps, keys = [], [], []
             for text in batch.column(2).cast(pa.binary()):
-                hashes = shingles(text.as_py(), size)
-                distinct = np.unique(hashes)
+                distinct = np.unique(shingles(text.as_py(), size))
                 same.append(xxhash.xxh128_digest(distinct.tobytes()))
-                fps.append(majority(hashes))
+                fps.append(majority(distinct))
                 keys.append(bands(distinct))
             columns = [batch.column(0), batch.column(1), pa.array(same, pa.binary())]
             columns += [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
@@ -336,11 +358,26 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("node", text_or_empty()).mapInArrow(of, "node long, set binary")
 
 
+def wide_radius(similarity: float, misses: float = RADIUS_MISSES) -> int:
+    """Bits that fingerprints of sets this similar differ in at most, but for a share ``misses`` of the pairs.
+
+    A bit of two majorities over random signs with correlation c differs with probability acos(c) / pi,
+    and c is least where the sets are of one size; ties add up to 0.005 above FEW_SHINGLES shingles.
+    """
+    p, above = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi + 0.005, 0.0
+    for bits in range(64, 0, -1):
+        above += comb(64, bits) * p**bits * (1 - p) ** (64 - bits)
+        if above > misses:
+            return bits
+    return 0
+
+
 class CheckedForest(Forest):
     """A forest of texts: what the tree finds counts only if the texts' sets are similar enough."""
 
     def __init__(self, radius: int, similarity: float):
         super().__init__(radius)
+        self.tree = WideTree(radius)
         self.similarity = similarity
         self.nodes: list[int] = []
         self.sets: list[np.ndarray] = []
@@ -354,7 +391,8 @@ class CheckedForest(Forest):
     def touched(self, value: int, own: np.ndarray) -> set[int]:
         """The groups, by root, that hold a text like ``own``; nearest fingerprints are tried first."""
         values, roots = self.tree.values, set()
-        for node in sorted(self.tree.search(value), key=lambda n: (values[n] ^ value).bit_count()):
+        near = range(len(values)) if len(own) <= FEW_SHINGLES else self.tree.search(value)
+        for node in sorted(near, key=lambda n: (values[n] ^ value).bit_count()):
             root = self.root(node)
             if root not in roots and self.alike(own, self.sets[node]):
                 roots.add(root)
@@ -425,14 +463,15 @@ def checked_links(members: DataFrame, sets: DataFrame, radius: int, similarity:
 def similar(
     docs: DataFrame,
     similarity: float = SIMILARITY,
-    radius: int = SIMILAR_RADIUS,
+    radius: int | None = None,
     size: int = SIMILAR_SHINGLE,
     tree_nodes: int = SIMILAR_TREE,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, component_id, the smallest doc_id reachable over similar texts.
 
     Two texts are similar if they share ``similarity`` of all their distinct shingles of ``size``
-    words (A-Z in lower case; a shorter text is one shingle). Null and empty texts and texts without
+    words (A-Z in lower case; a shorter text is one shingle). Without a ``radius``, it is that of the
+    similarity. Null and empty texts and texts without
     words are alike. A null doc_id is never the smallest unless there is no other. Texts with the
     same shingles are merged first, so a group of copies of any size counts as one. An empty table
     gives an empty result. Columns beside doc_id and text are not looked at.
@@ -457,7 +496,7 @@ def similar(
     texts = texts.join(wanted, (texts["at"] == wanted["at"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"]))
     sets = shingle_sets(texts.select("node", "text"), size).groupBy("node").agg(F.any_value("set").alias("set"))
     sets = run.table(sets, "sets")
-    edges = checked_links(members, sets, radius, similarity)
+    edges = checked_links(members, sets, wide_radius(similarity) if radius is None else radius, similarity)
     found = components(run, edges, distinct.select(F.col("node").alias("fp"), "id"))
     found = distinct.select("same", F.col("node").alias("fp")).join(found, "fp")
     return marked.join(found, "same").select("doc_id", "component_id")

@@ -188,6 +188,22 @@ def test_similar_texts(spark, tree_nodes):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(wanted.values()))
 
 
+def test_similar_texts_with_repeats_and_short_ones(spark):
+    texts = {}
+    for i in range(40):
+        line = " ".join(f"r{i}x{j}" for j in range(12))
+        own = [f"o{i}x{j}" for j in range(250)]
+        edited = [*own[:100], f"e{i}", *own[101:]]
+        # At exactly 0.8 the bands themselves miss one pair in 1,300; none of these.
+        short = [f"s{i}x{j}" for j in range(9)]
+        for words in ([*own, *[line] * 40], [*edited, line], short, short[:8]):
+            texts[len(texts)] = " ".join(words)
+    wanted = similar_groups(texts)
+    assert len(set(wanted.values())) == 80
+    docs = spark.createDataFrame([(i, t, "s", 0, "") for i, t in texts.items()], SCHEMA)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()} == wanted
+
+
 def test_similar_texts_of_odd_rows(docs):
     found = simhash.similar(docs).collect()
     assert Counter(r["doc_id"] for r in found) == Counter(doc_id for doc_id, _, _ in ROWS)
