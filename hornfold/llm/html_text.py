@@ -62,6 +62,10 @@ NOT_MAIN = re.compile(
     r"recommended|recirc|outbrain|taboola|skip|search)(?:$|[\s_-])",
     re.I,
 )
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])", re.I)
+#: An element whose class says it is beside the main text is a wrapper of it if it holds over so much of the page's
+#: text outside links; one of comments only if next to nothing is elsewhere.
+WRAPS, WRAPS_COMMENTS = 0.5, 0.9
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -140,34 +144,72 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def is_main(node: Node, in_article: bool) -> bool:
+def attributes(node: Node) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(node.attrs)}
+
+
+def is_shown(attrs: dict[str, str]) -> bool:
+    """Is an element with these attributes neither hidden nor of a role beside the main text?"""
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or HIDDEN.search(attrs.get("style", "")):
+        return False
+    return attrs.get("role", "").lower() not in ROLES
+
+
+def named(node: Node, attrs: dict[str, str], pattern: re.Pattern[str]) -> bool:
+    """Does the class or id of this element match?"""
+    if node.tag in ("html", "body", "article", "main"):
+        return False
+    return any(pattern.search(attrs.get(name, "")) for name in ("class", "id"))
+
+
+def wraps(node: Node, root: Node, share: float) -> bool:
+    return node.chars - node.links > share * (root.chars - root.links)
+
+
+def is_main(node: Node, in_article: bool, root: Node) -> bool:
     """Can this element, by its name and attributes, be part of the main text?"""
     if node.tag in NOT_TEXT or (node.tag == "header" and not in_article):
         return False
     if not node.attrs.strip():
         return True
-    attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(node.attrs)}
-    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or HIDDEN.search(attrs.get("style", "")):
-        return False
-    if attrs.get("role", "").lower() in ROLES:
+    attrs = attributes(node)
+    if not is_shown(attrs):
         return False
-    if node.tag in ("html", "body", "article", "main"):
+    if not named(node, attrs, NOT_MAIN):
         return True
-    return not any(NOT_MAIN.search(attrs.get(name, "")) for name in ("class", "id"))
+    return wraps(node, root, WRAPS_COMMENTS if named(node, attrs, COMMENTS) else WRAPS)
 
 
 def regions(root: Node) -> tuple[list[Node], bool]:
-    """The outermost articles, else main elements, else the whole page; and whether the page marks them."""
+    """The outermost articles, else main elements, else the whole page; and whether the page marks them.
+
+    They are looked for in elements of any class but those of comments. Where the class names something
+    beside the main text, they count if they have at least half the text of the largest one, and of what
+    stands outside articles and such elements: teasers in a box of related pages don't, an article in a
+    wrapper named after its sidebar does.
+    """
     for wanted in ("article", "main"):
-        found, open_ = [], [root]
+        found: list[tuple[Node, bool]] = []
+        loose, open_ = 0, [(root, False, False)]
         while open_:
-            node = open_.pop()
+            node, beside, linked = open_.pop()
             if node.tag == wanted and node.chars:
-                found.append(node)
-            elif node is root or is_main(node, False) or node.tag in ("form",):
-                open_ += [k for k in reversed(node.kids) if not isinstance(k, str)]
-        if found:
-            return found, True
+                found.append((node, beside))
+                continue
+            if node is not root:
+                attrs = attributes(node)
+                if (node.tag in NOT_TEXT and node.tag != "form") or not is_shown(attrs):
+                    continue
+                if named(node, attrs, COMMENTS) and not wraps(node, root, WRAPS_COMMENTS):
+                    continue
+                beside = beside or (named(node, attrs, NOT_MAIN) and not wraps(node, root, WRAPS))
+                linked = linked or node.tag == "a"
+            if not beside and not linked:
+                loose += sum(len(" ".join(k.split())) for k in node.kids if isinstance(k, str))
+            open_ += [(k, beside, linked) for k in reversed(node.kids) if not isinstance(k, str)]
+        most = max([loose, *(node.chars - node.links for node, _ in found)])
+        if main := [node for node, beside in found if not beside or 2 * (node.chars - node.links) >= most]:
+            return main, True
     return [root], False
 
 
@@ -198,7 +240,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
             elif item.tag in ("br", "td", "th", "img", "wbr"):
                 words.append(" " if item.tag != "wbr" else "")
                 open_ += [(kid, above) for kid in reversed(item.kids)]
-            elif item is place or is_main(item, marked):
+            elif item is place or is_main(item, marked, root):
                 if deletable(item, marked):
                     hashes[item.hash] = None
                 inside = [*above, item.hash] if deletable(item, marked) else above

@@ -264,6 +264,19 @@ def test_html_blocks():
     assert html_text.host("HTTP://user@Ex.org:80/a?b#c") == "ex.org" and html_text.host(None) == ""
 
 
+@pytest.mark.parametrize("name", ['class="content-sidebar-wrap"', "class='has-sidebar'", 'id="page-with-menu"', 'class="comments-open"'])
+def test_html_wrappers_named_after_something_else(name):
+    text, teaser = "The text of this page has several words. " * 4, "<div class=related><article>Read this</article></div>"
+    menu, more = "<div class=menu><a href=/>Home of all these pages</a> now</div>", "<div class=comments><p>me first</p></div>"
+    for tag in ("article", "main", "div"):
+        page = f"<body><div {name}><{tag}><p>{text}</p></{tag}>{teaser if tag != 'main' else ''}{more}</div>{menu}</body>"
+        assert [t for t, _ in html_text.blocks(page)[0]] == [text.strip()]
+        page = f"<body><div {name}><{tag}><p>{text}</p></{tag}>{more}</div>{menu}</body>"
+        assert [t for t, _ in html_text.blocks(page)[0]] == [text.strip()]
+    far = f"<div class='has-sidebar'><article>{text}</article></div><div>{text + text[:40]}</div>"
+    assert [t for t, _ in html_text.blocks(far)[0]] == [text.strip()]
+
+
 def test_recurring_subtrees_go_by_host(spark):
     rows = [(i, f"http://a.org/{i}", BARE.format(i), 0) for i in range(20)] + [(50, "http://b.org/", BARE.format(1), 0)]
     rows += [(60, None, None, 0), (61, "http://a.org/x", "", 0), (62, "http://a.org/y", PAGE, 0), (0, "http://a.org/0", BARE.format(0), 0)]
