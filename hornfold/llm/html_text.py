@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from hornfold.llm.common import Run
 
-#: A subtree is template if it occurs on so many pages of its host and so large a share of them.
+#: A subtree is template if it occurs on so many pages of its host and so large a share of them, or on enough pages
+#: whatever the host's size.
 LEAST_PAGES = 8
 LEAST_SHARE = 0.02
+ENOUGH_PAGES = 20
 SLICE = 256
 
 TOKEN = re.compile(
@@ -294,7 +296,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(of, schema)
 
 
-def template(run: Run, pages: DataFrame, least_pages: int, least_share: float) -> DataFrame:
+def template(run: Run, pages: DataFrame, least_pages: int, least_share: float, enough_pages: int) -> DataFrame:
     """page_id and ``gone``, the hashes of its subtrees that recur on its host."""
     found = run.table(subtrees(pages), "subtrees")
     sizes = found.groupBy("host", "page_id").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("pages"))
@@ -303,14 +305,19 @@ def template(run: Run, pages: DataFrame, least_pages: int, least_share: float) -
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= least_pages)
         .join(sizes, "host")
-        .where(F.col("n") >= least_share * F.col("pages"))
+        .where((F.col("n") >= least_share * F.col("pages")) | (F.col("n") >= enough_pages))
         .select("host", "hash")
     )
     # A page's own subtrees bound each list.
     return found.join(recurring, ["host", "hash"]).groupBy("page_id").agg(F.collect_set("hash").alias("gone"))
 
 
-def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def main_text(
+    pages: DataFrame,
+    least_pages: int = LEAST_PAGES,
+    least_share: float = LEAST_SHARE,
+    enough_pages: int = ENOUGH_PAGES,
+) -> DataFrame:
     """Per row of ``pages``: page_id, url, text, n_chars.
 
     Blocks are joined in page order by two line feeds; white space within one is one space. Null and
@@ -319,7 +326,7 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     beside page_id, url and html are not looked at.
     """
     run = Run(pages.sparkSession, "html")
-    gone = template(run, pages, least_pages, least_share).withColumnRenamed("page_id", "__page")
+    gone = template(run, pages, least_pages, least_share, enough_pages).withColumnRenamed("page_id", "__page")
     rows = parsed(pages)
     joined = rows.join(gone, rows["page_id"].eqNullSafe(gone["__page"]), "left")
     none = F.array().cast("array<bigint>")

@@ -291,6 +291,13 @@ def test_recurring_subtrees_go_by_host(spark):
     assert html_text.main_text(pages.limit(0)).collect() == []
 
 
+def test_template_of_a_section_goes_on_large_hosts(spark):
+    notice = "<div>Terms of this section <i>apply</i></div>"
+    rows = [(i, f"http://a.org/{i}", f"<p>Own text {i}</p>{notice if i < 20 else ''}") for i in range(1500)]
+    found = html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert all(r["text"] == f"Own text {r['page_id']}" for r in found)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
