@@ -35,7 +35,9 @@ ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg".split())
+# Without an end tag these take the rest of the page; other raw ones are left out alone.
+TO_END = frozenset({"script", "style"})
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot "
@@ -84,6 +86,7 @@ def parse(page: str) -> Node:
     """The element tree of a page, forgiving unclosed and stray tags. Scripts, styles and the like are left out."""
     root = Node("", "")
     stack, at = [root], 0
+    unclosed: set[str] = set()
 
     def close(names: set[str] | frozenset[str], limits: set[str] | frozenset[str]) -> None:
         """End the lowest open element of ``names``, and all within it, unless one of ``limits`` lies between."""
@@ -102,9 +105,13 @@ def parse(page: str) -> Node:
             tag = tag.lower()
             attrs = found["attrs"] or ""
             if tag in RAW:
-                if not attrs.endswith("/") or tag not in ("svg", "math"):
-                    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                    at = end.end() if end else len(page)
+                if tag not in unclosed and not (tag == "svg" and attrs.endswith("/")):
+                    if end := re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at):
+                        at = end.end()
+                    elif tag in TO_END:
+                        at = len(page)
+                    else:
+                        unclosed.add(tag)
                 continue
             if tag in ENDS_P:
                 close({"p"}, {"table", "td", "th", "button", "object"})
@@ -112,7 +119,7 @@ def parse(page: str) -> Node:
                 close(*IMPLIED[tag])
             node = Node(tag, attrs)
             stack[-1].kids.append(node)
-            if tag not in VOID:
+            if tag not in VOID and not (tag == "math" and attrs.endswith("/")):
                 stack.append(node)
         elif tag := found["end"]:
             close({tag.lower()}, frozenset())

@@ -277,6 +277,15 @@ def test_html_wrappers_named_after_something_else(name):
     assert [t for t, _ in html_text.blocks(far)[0]] == [text.strip()]
 
 
+def test_html_formulas_and_unclosed_elements():
+    said = lambda page: [t for t, _ in html_text.blocks(page)[0]]
+    assert said("<article><p>As <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds</p><math/><p>so</p></article>") == ["As a=2 holds", "so"]
+    for tag in ("svg", "noscript", "iframe", "template", "textarea", "xmp"):
+        assert said(f"<p>one</p><{tag} id=x><p>two</p><{tag}><p>three</p>") == ["one", "two", "three"]
+        assert said(f"<p>one</p><{tag}>no</{tag}><p>two</p>") == ["one", "two"]
+    assert said("<p>one</p><script>var two;<p>three</p>") == said("<p>one</p><style>two<p>three</p>") == ["one"]
+
+
 def test_recurring_subtrees_go_by_host(spark):
     rows = [(i, f"http://a.org/{i}", BARE.format(i), 0) for i in range(20)] + [(50, "http://b.org/", BARE.format(1), 0)]
     rows += [(60, None, None, 0), (61, "http://a.org/x", "", 0), (62, "http://a.org/y", PAGE, 0), (0, "http://a.org/0", BARE.format(0), 0)]
