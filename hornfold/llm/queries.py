@@ -51,7 +51,7 @@ def op7_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.store(documents(spark, sf_dir))
+    return token_files.store(documents(spark, sf_dir), null_ids=True)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,11 +64,11 @@ class Writer:
         self.zstd = zstandard.ZstdCompressor(level=LEVEL)
         self.at, self.tokens, self.waiting = len(MAGIC), 0, []
         self.held = 0
-        self.ids: list[int] = []
+        self.ids: list[int | None] = []
         self.lengths: list[int] = []
         self.blocks: list[tuple[int, ...]] = []
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.ids.append(doc_id)
         self.lengths.append(len(ids))
         self.waiting.append(ids)
@@ -90,7 +90,10 @@ class Writer:
     def close(self) -> None:
         if self.held:
             self._block(np.concatenate(self.waiting))
-        index = self.zstd.compress(np.asarray(self.ids, "<i8").tobytes() + np.asarray(self.lengths, "<u8").tobytes())
+        index = np.asarray([i or 0 for i in self.ids], "<i8").tobytes() + np.asarray(self.lengths, "<u8").tobytes()
+        if None in self.ids:  # a flag for each document, only where one has no id
+            index += np.asarray([i is None for i in self.ids], "u1").tobytes()
+        index = self.zstd.compress(index)
         blocks = self.zstd.compress(np.asarray(self.blocks, "<u8").tobytes())
         self.out.write(index + blocks + TAIL.pack(self.at, len(index), len(blocks), len(self.ids), self.tokens, MAGIC))
         self.out.close()
@@ -108,6 +111,7 @@ class Reader:
         found = self.zstd.decompress(self._bytes(at, index))
         self.ids = np.frombuffer(found, "<i8", docs)
         self.lengths = np.frombuffer(found, "<u8", docs, 8 * docs).astype(np.int64)
+        self.nulls = np.frombuffer(found, "u1", docs, 16 * docs) if len(found) > 16 * docs else np.zeros(docs, "u1")
         self.blocks = np.frombuffer(self.zstd.decompress(self._bytes(at + index, blocks)), "<u8").reshape(-1, 2 + PLANES)
 
     def _bytes(self, at: int, size: int) -> bytes:
@@ -122,10 +126,11 @@ class Reader:
             place += size
         return from_planes(found, count)
 
-    def documents(self) -> Iterator[tuple[int, np.ndarray]]:
+    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """(doc_id, ids) in the order written; holds one block and one document at a time."""
         held, no = np.zeros(0, "<u4"), 0
-        for doc_id, length in zip(self.ids.tolist(), self.lengths.tolist(), strict=True):
+        ids = (None if null else i for i, null in zip(self.ids.tolist(), self.nulls.tolist(), strict=True))
+        for doc_id, length in zip(ids, self.lengths.tolist(), strict=True):
             parts, missing = [], length
             while missing > len(held):
                 parts.append(held)
@@ -137,15 +142,15 @@ class Reader:
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
-    """Writes files in ascending doc_id order; per file ``shard``, ``path``, ``docs``, ``tokens``.
+    """Writes files in ascending doc_id order, null first; per file ``shard``, ``path``, ``docs``, ``tokens``.
 
     ``folder`` is a URI of shared storage that pyarrow's file systems know (local, hdfs, s3, gs).
     A task that runs twice writes the same file twice under its one name.
     """
     ordered = (
         docs.select("doc_id", "text")
-        .where("doc_id IS NOT NULL")
-        .repartitionByRange(partitions(docs.sparkSession), "doc_id")
+        # The start of the text splits an id, or null, that many rows share.
+        .repartitionByRange(partitions(docs.sparkSession), "doc_id", F.substring("text", 1, 64))
         .sortWithinPartitions("doc_id", "text")
         .select(F.spark_partition_id().alias("shard"), F.col("doc_id").cast("long"), "text")
     )
@@ -180,7 +185,7 @@ def read(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found: list[tuple[int, int, int, int]] = []
+                found: list[tuple[int | None, int, int, int]] = []
                 for doc_id, ids in Reader(fs, path).documents():
                     found.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
                     start += len(ids)
@@ -191,16 +196,18 @@ def read(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
     return spread.mapInArrow(from_file, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def store(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def store(
+    docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = END_ID, null_ids: bool = False
+) -> DataFrame:
     """Write all texts as token files and read them back; per document doc_id, start, n_tokens, ids_crc32.
 
     ``start`` counts the ids of all documents before it in ascending doc_id order. Null and empty
     texts are the end id alone. Rows that share a doc_id are ordered by text. Rows without a doc_id
-    have no place in that order and are refused. An empty table makes no file and gives an empty
+    come first with ``null_ids``, else they are refused. An empty table makes no file and gives an empty
     result. Columns beside doc_id and text are not looked at.
     """
     spark = docs.sparkSession
-    if not docs.where("doc_id IS NULL").isEmpty():
+    if not null_ids and not docs.where("doc_id IS NULL").isEmpty():
         raise ValueError("documents without a doc_id can't be put in order")
     run = Run(spark, "tokens")
     base = folder or run.path

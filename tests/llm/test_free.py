@@ -96,6 +96,20 @@ def test_token_files(spark, docs, tmp_path):
         token_files.store(docs)
 
 
+def test_token_files_of_rows_without_an_id(spark, tmp_path):
+    from hornfold.llm import queries
+
+    rows = [(i, text, "s", 0, "") for i, text in [*((r[0], r[1]) for r in ROWS), (None, None), (None, "a b"), (-5, "c"), (0, "d")]]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    start, expected = 0, []
+    for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = ids_of("word_bpe_49k.json", text, 1)
+        expected.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    found = queries.op8_token_files(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found), key=lambda r: r[1]) == expected
+
+
 def test_planes_round_trip():
     ids = np.random.default_rng(1).integers(0, 2**32, 1000, dtype=np.uint64).astype("<u4")
     for part in (ids, ids[:0], ids[:7] & 0xFF, np.zeros(9, "<u4")):
