@@ -221,7 +221,10 @@ def paths(rows: DataFrame, size: int) -> DataFrame:
     """conv_id, segment, first (rank), is_last and the ways through it, for every ``size`` rows of a conversation."""
     row = F.struct("rank", code(F.substring("role", 1, 1), F.col("fault")).alias("code"))
     found = (
-        rows.groupBy("conv_id", F.expr(f"place div {size}").alias("segment"))
+        rows.withColumn("segment", F.expr(f"place div {size}"))
+        # A stated number of partitions: few bytes, but each row takes a search.
+        .repartition(partitions(rows.sparkSession), "conv_id", "segment")
+        .groupBy("conv_id", "segment")
         .agg(F.sort_array(F.collect_list(row)).alias("found"), F.max("is_last").alias("is_last"))
         .select("conv_id", "segment", F.col("found.rank")[0].alias("first"), "is_last", F.array_join("found.code", "").alias("codes"))
     )
