@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import hornfold as hf
 from hornfold.functions.terms import is_type, pred_key
-from hornfold.plans.facts import run_folder
+from hornfold.sources.folders import run_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -336,6 +336,11 @@ CLOSURES["cyclic_reordered"] = (
 )
 
 
+# The spelling that starts with two customers or suppliers of one nation.
+WORST = ["inNation(?s,?n) ^ inNation(?c,?n) ^ placedBy(?o,?c) ^ suppliedBy(?o,?s) -> domesticIn(?o,?n)"]
+STEPS["cyclic_worst"] = (WORST, STEPS["cyclic"][1])
+
+
 def step(rules: list[str]) -> Query:
     return lambda spark, sf_dir: hf.apply_rules(facts(spark, sf_dir, as_set=False), hf.rules_from_lines(spark, rules))
 
@@ -362,6 +367,48 @@ def closed_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(CLOSURE_DERIVED, spark, sf_dir).kb
 
 
+def closure_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``closure_derived`` by path doubling."""
+    return run(CLOSURE_DERIVED, spark, sf_dir, doubling=True).inferred
+
+
+def append_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ancestors of half of the parts, and then of all: the other half is added to the closed facts."""
+    rules, parts = hf.rules_from_lines(spark, CLOSURE_DERIVED), table(spark, sf_dir, "part").filter("p_partkey >= 2")
+    # Whole edges, odd parts first: every chain of ancestors has both.
+    odd, even = (
+        hf.edge_triples(parts.filter(half), node("part", "p_partkey"), "<derivedFrom>", node("part", "p_partkey div 2"))
+        for half in ("p_partkey % 2 = 1", "p_partkey % 2 = 0")
+    )
+    hf.tune(spark)
+    closed = hf.infer(odd, rules, distinct_input=True)
+    return hf.extend(closed, even, rules).kb
+
+
+def reduced_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of joins of which most rows find no partner, reduced by semi-joins first."""
+    return hf.apply_rules(facts(spark, sf_dir, as_set=False), hf.rules_from_lines(spark, REDUCED), reduce=True)
+
+
+REDUCED = ["suppliedBy(?o,?s) ^ placedBy(?o,?c) ^ inNation(?c,?n) ^ inRegion(?n,<region/1>) -> soldTo(?s,?n)"]
+
+
+def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule over three predicates of a text source, which is parsed once."""
+    folder = run_folder(spark)
+    hf.write_triple_lines(facts(spark, sf_dir, as_set=False), f"{folder}/lines")
+    rules = hf.rules_from_lines(spark, STEPS["multi_join"][0])
+    return hf.apply_rules(hf.load_triples(spark, f"{folder}/lines", distinct=False), rules, stage=True, work_dir=folder)
+
+
+def stored_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric comparisons over a stored table: the scan skips row groups out of range."""
+    rules = hf.rules_from_lines(spark, [*STEPS["builtin_le"][0], "size(?p,?v) ^ equal(40,?v) -> Size40(?p)"])
+    folder = f"{run_folder(spark)}/stored"
+    hf.save_triples(facts(spark, sf_dir), folder, rules=rules)
+    return hf.apply_rules(hf.load_triples(spark, folder, fmt="parquet", distinct=False), rules)
+
+
 def phase_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = run(THREAD, spark, sf_dir).stats
     return stats.select("phase", "rule_id", "matched", "inferred", "new", "matched_so_far")
@@ -468,13 +515,14 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def llm_queries():
-    """The module with the operators for training data, or None where that folder is gone."""
+    """The module with the operators for training data, or None where it can't be imported."""
     try:
         from hornfold.llm import queries as found
     except ImportError as error:
-        if error.name not in ("hornfold.llm", "corpus_pipeline"):
-            raise
-        return None
+        # The folder may be gone, or a library that only its operators need.
+        if error.name is None or error.name.split(".")[0] != "hornfold" or error.name.startswith("hornfold.llm"):
+            return None
+        raise
     return found
 
 
@@ -485,6 +533,11 @@ def queries() -> dict[str, Query]:
         **{name: step(rules) for name, (rules, _) in STEPS.items()},
         **{name: closure(rules) for name, (rules, _) in CLOSURES.items()},
         "closed_kb": closed_kb,
+        "closure_doubling": closure_doubling,
+        "append_closure": append_closure,
+        "reduced_join": reduced_join,
+        "text_rules": text_rules,
+        "stored_numbers": stored_numbers,
         "phase_stats": phase_stats,
         "phase_totals": phase_totals,
         "rule_file": rule_file,
@@ -523,6 +576,18 @@ def oracle_sql() -> dict[str, str]:
               SELECT s, o FROM kb WHERE p = '<derivedFrom>'
               UNION SELECT a.s, d.o FROM ancestor a JOIN kb d ON d.p = '<derivedFrom>' AND a.o = d.s)
             SELECT s, p, o FROM kb UNION ALL SELECT s, '<ancestor>', o FROM ancestor""",
+        "closure_doubling": CLOSURES["closure_derived"][1],
+        "append_closure": """WITH RECURSIVE edge AS (
+              SELECT '<part/' || p_partkey || '>' AS s, '<part/' || CAST(floor(p_partkey / 2) AS BIGINT) || '>' AS o
+              FROM part WHERE p_partkey >= 2), ancestor AS (
+              SELECT s, o FROM edge UNION SELECT a.s, e.o FROM ancestor a JOIN edge e ON a.o = e.s)
+            SELECT s, '<derivedFrom>' AS p, o FROM edge UNION ALL SELECT s, '<ancestor>', o FROM ancestor""",
+        "reduced_join": f"""{KB} SELECT DISTINCT a.o AS s, '<soldTo>' AS p, c.o AS o
+            FROM kb a JOIN kb b ON a.s = b.s JOIN kb c ON b.o = c.s JOIN kb d ON c.o = d.s
+            WHERE a.p = '<suppliedBy>' AND b.p = '<placedBy>' AND c.p = '<inNation>' AND d.p = '<inRegion>' AND d.o = '<region/1>'""",
+        "text_rules": f"{KB} {STEPS['multi_join'][1]}",
+        "stored_numbers": f"""{KB} {STEPS['builtin_le'][1]}
+            UNION SELECT a.s, {TYPE}, '<Size40>' FROM kb a WHERE a.p = '<size>' AND {SIZE_A} = 40""",
         "phase_stats": f"""{THREAD_SQL}, per_rule AS (
               SELECT phase::INT AS phase, (CASE WHEN phase = 1 THEN 1 ELSE 2 END)::INT AS rule_id, count(*) AS matched
               FROM started GROUP BY 1, 2 UNION ALL SELECT 1, 2, 0

@@ -4,7 +4,8 @@ from hornfold.functions.terms import RDF_TYPE
 from hornfold.operators.explain import explain_matches, render_explanations, save_explanations
 from hornfold.operators.heads import apply_rules, instantiate
 from hornfold.operators.match import match_body
-from hornfold.plans.fixpoint import Inference, infer
+from hornfold.plans.doubling import doubled
+from hornfold.plans.fixpoint import Inference, extend, infer
 from hornfold.plans.metadata import predicates, rule_deps, triggered_rules
 from hornfold.plans.session import tune
 from hornfold.sources.rules import Atom, Rule, RuleSet, load_rules, rules_from_lines
@@ -25,8 +26,10 @@ __all__ = [
     "Rule",
     "RuleSet",
     "apply_rules",
+    "doubled",
     "edge_triples",
     "explain_matches",
+    "extend",
     "infer",
     "instantiate",
     "load_rules",

@@ -11,8 +11,10 @@ from hornfold.functions.terms import BUILTINS, num, triple_struct
 from hornfold.sources.rules import Atom, Rule, is_variable
 from hornfold.sources.triples import relation
 
-#: Facts of a relation per distinct subject and per distinct object.
-FanOut = tuple[float, float]
+#: Facts of a relation per distinct subject, per distinct object, and in all.
+FanOut = tuple[float, float, float]
+#: Where nothing was counted: subjects tend to have one fact each, objects to be shared.
+UNKNOWN: FanOut = (1.0, 2.0, 1000.0)
 
 
 def column(name: str) -> Column:
@@ -23,14 +25,18 @@ def premise(position: int) -> str:
     return f"premise {position}"
 
 
-def match_body(kb: DataFrame, rule: Rule, *, explain: bool = False, count_matches: bool = True) -> DataFrame:
+def match_body(
+    kb: DataFrame, rule: Rule, *, explain: bool = False, count_matches: bool = True, reduce: bool = False
+) -> DataFrame:
     """All matches of a rule body: one column per variable.
 
     With ``explain`` the ordered body triples come along as ``premises``. With
     ``count_matches=False`` a variable used nowhere else is only tested for existence, so the rows
-    give the same conclusions without one row per match.
+    give the same conclusions without one row per match. With ``reduce`` the relations are reduced by
+    semi-joins first (``reduced``).
     """
-    return join_atoms([relation(kb, *atom.key) for atom in rule.body], rule, explain=explain, count_matches=count_matches)
+    relations = [relation(kb, *atom.key) for atom in rule.body]
+    return join_atoms(relations, rule, explain=explain, count_matches=count_matches, reduce=reduce)
 
 
 def join_atoms(
@@ -41,6 +47,7 @@ def join_atoms(
     fanouts: Sequence[FanOut | None] | None = None,
     explain: bool = False,
     count_matches: bool = True,
+    reduce: bool = False,
 ) -> DataFrame:
     """Match a body whose i-th atom reads the ``(s, o)`` rows of ``relations[i]``.
 
@@ -50,14 +57,23 @@ def join_atoms(
     wanted = None if explain or count_matches else joining_variables(rule)
     bound: set[str] = set()
     bindings: DataFrame | None = None
-    for i in join_order(rule.body, first, fanouts, wanted):
-        atom = rule.body[i]
-        right = atom_bindings(relations[i], atom, premise(i) if explain else None)
+    rights = []
+    for i, atom in enumerate(rule.body):
+        rel = numbers_within(relations[i], atom, rule.builtins)
+        right = atom_bindings(rel, atom, premise(i) if explain else None)
         kept = [v for v in atom.variables if wanted is None or v in wanted]
         if len(kept) < len(atom.variables):
             # Only the existence of the dropped variable matters. Removing duplicates here lets
             # each task shrink a hot key to one row before the join shuffles it.
             right = right.select(*map(column, kept)).distinct() if kept else right.limit(1)
+        rights.append(right)
+    order = join_order(rule.body, first, fanouts, wanted)
+    if reduce:
+        kept = [set(a.variables) if wanted is None else set(a.variables) & wanted for a in rule.body]
+        rights, order = reduced(rights, kept, order)
+    for i in order:
+        atom, right = rule.body[i], rights[i]
+        kept = [v for v in atom.variables if wanted is None or v in wanted]
         shared = [v for v in kept if v in bound]
         if bindings is None:
             bindings = right
@@ -89,45 +105,119 @@ def join_order(
     """Connected order, atoms without variables last; next the atom that adds fewest rows to a binding.
 
     That is its facts per value of the bound side. Where this isn't known, an atom joined by its
-    subject comes before one joined by its object, of which many subjects tend to share one.
+    subject comes before one joined by its object, of which many subjects tend to share one. The start,
+    unless it is given, is the atom from which such an order has the fewest rows in all.
     """
+    known = [(fanouts[i] if fanouts else None) or UNKNOWN for i in range(len(body))]
     waiting = [i for i, atom in enumerate(body) if atom.variables]
     ground = [i for i, atom in enumerate(body) if not atom.variables]
     if not waiting:
         return ground
-    if first not in waiting:
-        # A constant narrows a relation most. An atom with a variable that is only tested for
-        # existence makes a better semi-join than a start.
-        first = min(
-            waiting,
-            key=lambda i: (not selective(body[i]), wanted is not None and not set(body[i].variables) <= wanted, i),
-        )
-    order = [first]
-    waiting.remove(first)
-    while waiting:
+    if first in waiting:
+        return order_from(first, body, waiting, known)[0] + ground
+    found = {}
+    for i in waiting:
+        # An atom with a variable that is only tested for existence makes a better semi-join than a start.
+        late = wanted is not None and not set(body[i].variables) <= wanted and not selective(body[i])
+        order, rows = order_from(i, body, waiting, known)
+        found[late, rows, i] = order
+    return found[min(found)] + ground
+
+
+def order_from(start: int, body: Sequence[Atom], waiting: list[int], known: list[FanOut]) -> tuple[list[int], float]:
+    """The order from a start, and the rows of all its steps."""
+    order, rows = [start], start_rows(body[start], known[start])
+    total, rest = rows, [i for i in waiting if i != start]
+    while rest:
         bound = {v for i in order for v in body[i].variables}
-        connected = [i for i in waiting if bound & set(body[i].variables)]
+        connected = [i for i in rest if bound & set(body[i].variables)]
         # An atom that adds no variable only narrows the bindings, so it never comes too early.
         best = min(
             connected,
             key=lambda i: (
                 not set(body[i].variables) <= bound,
                 not selective(body[i]),
-                expected_rows(body[i], bound, fanouts[i] if fanouts else None),
+                expected_rows(body[i], bound, known[i]),
                 i,
             ),
         )
+        if not set(body[best].variables) <= bound:
+            rows *= expected_rows(body[best], bound, known[best])
+        total += rows
         order.append(best)
-        waiting.remove(best)
-    return order + ground
+        rest.remove(best)
+    return order, total
 
 
-def expected_rows(atom: Atom, bound: set[str], fanout: FanOut | None) -> float:
+def start_rows(atom: Atom, known: FanOut) -> float:
+    """Facts of an atom by itself: of one value where it fixes its subject or object."""
+    sides = [per for term, per in zip((atom.s, atom.o), known[:2], strict=True) if not is_variable(term)]
+    return known[2] if atom.is_type else min(sides, default=known[2])
+
+
+def expected_rows(atom: Atom, bound: set[str], known: FanOut) -> float:
     """Facts of an atom for each binding of the variables it shares with ``bound``."""
-    sides = [per for term, per in zip((atom.s, atom.o), fanout or (1.0, 2.0), strict=True) if term[1:] in bound and is_variable(term)]
+    sides = [per for term, per in zip((atom.s, atom.o), known[:2], strict=True) if term[1:] in bound and is_variable(term)]
     return min(sides, default=0.0)
 
 
+def ears(variables: Sequence[set[str]], root: int) -> list[tuple[int, int]]:
+    """(ear, the atom it hangs on) in an order of removal: what an ear shares with the rest is all in that atom.
+
+    Of an acyclic body all atoms but the root are removed, of a cyclic one the branches that hang on its cycle.
+    """
+    rest, found = [i for i, vs in enumerate(variables) if vs], []
+    while True:
+        for ear in rest:
+            shared = variables[ear] & set().union(*(variables[i] for i in rest if i != ear))
+            hosts = [i for i in rest if i != ear and shared <= variables[i]]
+            if ear != root and shared and hosts:
+                found.append((ear, hosts[0]))
+                rest.remove(ear)
+                break
+        else:
+            return found
+
+
+def reduced(
+    rights: Sequence[DataFrame], variables: Sequence[set[str]], order: Sequence[int]
+) -> tuple[list[DataFrame], list[int]]:
+    """Each atom's rows without those that find no partner further out in the join tree, and the order to join in.
+
+    Semi-joins go up the tree, ears first, to the atom that the joins start from. Joined outwards from
+    there, every row that is made is part of a match of an acyclic body, so a downward pass isn't needed.
+    It pays where most rows find no partner; each semi-join shuffles keys alone.
+    """
+    rights = list(rights)
+    tree = ears(variables, order[0])
+    for ear, host in tree:
+        on = sorted(variables[ear] & variables[host])
+        rights[host] = rights[host].join(rights[ear].select(*map(column, on)), on, "left_semi")
+    outer = [ear for ear, _ in reversed(tree)]
+    core = [i for i in order if variables[i] and i not in outer]
+    return rights, core + outer + [i for i in order if not variables[i]]
+
+
+def numbers_within(rel: DataFrame, atom: Atom, builtins: Sequence[Atom]) -> DataFrame:
+    """The rows whose ``number``, where the relation has it, meets the comparisons of the object with constants.
+
+    A stored table is sorted by it, so files and row groups outside the range aren't read.
+    """
+    if "number" not in rel.columns or not is_variable(atom.o):
+        return rel
+    for call in builtins:
+        constants = [t for t in (call.s, call.o) if not is_variable(t)]
+        if atom.o not in (call.s, call.o) or len(constants) != 1:
+            continue
+        try:
+            value = F.lit(int(constants[0].strip('<>"')))
+        except ValueError:
+            continue  # matches nothing, as the comparison itself finds
+        sides = [F.col("number") if is_variable(t) else value for t in (call.s, call.o)]
+        rel = rel.filter(BUILTINS[call.p](*sides))
+    return rel
+
+
 def selective(atom: Atom) -> bool:
     """Whether a property atom fixes its subject or object."""
     return not atom.is_type and not (is_variable(atom.s) and is_variable(atom.o))

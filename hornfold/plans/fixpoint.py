@@ -4,22 +4,25 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import reduce as reduce_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from hornfold.operators.explain import EXPLANATION_SCHEMA, with_conclusion
 from hornfold.operators.heads import head_term
 from hornfold.operators.match import join_atoms
-from hornfold.plans.facts import FactTables, claim_folder, profile, remove_folder, run_folder, tagged
+from hornfold.plans.doubling import doubled
+from hornfold.plans.facts import FACT, FactTables, key_metrics
+from hornfold.sources.folders import claim_folder, remove_folder, run_folder
 from hornfold.sources.rules import Key, Rule, RuleSet
 from hornfold.sources.triples import TRIPLE_COLUMNS
 
 logger = logging.getLogger("hornfold")
 
+
 @dataclass(frozen=True)
 class Inference:
     """``kb`` is the closure, ``inferred`` what was added to the input.
@@ -36,12 +39,27 @@ class Inference:
     phases: DataFrame
     converged: bool
     folder: str
+    base: DataFrame
+    staged: bool
 
     def cleanup(self) -> None:
         """Delete the tables of the run. Frames that read them, ``kb`` included, can't be used afterwards."""
         remove_folder(self.stats.sparkSession, self.folder)
 
 
+@dataclass
+class Progress:
+    """Where the phase loop is."""
+
+    phase: int
+    triggered: list[Rule]
+    stats: list[tuple[int, int, int, int, int]]
+    phases: list[tuple[int, list[int], int, int, float]]
+
+    def record(self) -> dict[str, object]:
+        return {"triggered": [rule.rule_id for rule in self.triggered], "stats": self.stats, "phases": self.phases}
+
+
 def infer(
     kb: DataFrame,
     rules: RuleSet,
@@ -54,6 +72,9 @@ def infer(
     distinct_input: bool = False,
     stage: bool | None = None,
     work_dir: str | None = None,
+    reduce: bool = False,
+    doubling: bool = False,
+    resume: str | None = None,
 ) -> Inference:
     """Apply ``rules`` to ``kb`` until a phase derives nothing new.
 
@@ -68,43 +89,134 @@ def infer(
 
     With ``explain_path`` each phase writes its explanations to a directory of its own there, once;
     ``mode`` is ``error`` or ``overwrite``, for a path where something is. ``cleanup`` leaves them.
+
+    ``reduce=True`` reduces the relations of each body by semi-joins before they are joined.
+    ``doubling=True`` joins a transitive closure with itself (see ``doubled``), which takes phases by the
+    logarithm of the depth and gives the same facts. The matches are then other ones, so it excludes
+    explanations. Whether a predicate has base facts must be known: facts that are neither staged nor
+    stored by key count as having some.
+
+    ``resume`` is the ``folder`` of a run over the same facts and rules that was lost: its finished phases
+    are read from there, and the run goes on.
     """
-    folder = run_folder(kb.sparkSession, work_dir)
     explain = explain or explain_path is not None
-    if explain_path is not None:
-        claim_folder(kb.sparkSession, explain_path, mode)
+    if doubling and explain:
+        raise ValueError("explanations are of the rules as they are written: leave doubling out")
     staged = rules.feeds_itself and max_phases != 1 if stage is None else stage
+    folder = resume or run_folder(kb.sparkSession, work_dir)
     facts = FactTables(kb, rules, folder, staged=staged, distinct_input=distinct_input)
-    facts.explain_path = explain_path or facts.explain_path
-    warn_of_idle_atoms(facts, rules)
+    progress = Progress(0, list(rules.rules), [], [])
+    found = facts.last_manifest() if resume else None
+    if resume and found is None:
+        remove_folder(kb.sparkSession, folder)  # lost before the facts were staged
+    if found:
+        take_up(facts, rules, found, progress)
+    elif explain_path is not None:
+        claim_folder(kb.sparkSession, explain_path, mode)
+    if not found:
+        facts.explain_path = explain_path or facts.explain_path
+    facts.create()
+    try:
+        if not found:
+            facts.prepare()
+            warn_of_idle_atoms(facts, rules)
+            facts.save_manifest(0, progress.record())
+        if doubling:
+            rules = doubled(rules, facts.has_base)
+            progress.triggered = [r for r in rules.rules if r.rule_id in {t.rule_id for t in progress.triggered}]
+        run_phases(facts, rules, progress, max_phases, explain, count_matches, reduce)
+    finally:
+        facts.forget()
+    base = kb.select(*TRIPLE_COLUMNS)
+    return inference(facts, progress, base if distinct_input else base.distinct(), explain)
+
+
+def extend(
+    result: Inference,
+    added: DataFrame,
+    rules: RuleSet,
+    *,
+    count_matches: bool = True,
+    reduce: bool = False,
+) -> Inference:
+    """Add facts to the closure of a finished run and close it again, with the run's own ``rules``.
+
+    The first phase takes the added facts that weren't known as the new ones, so no match among old
+    facts is repeated, and nothing is copied. The run goes on in its folder: of ``result`` the frames stay
+    valid, but only one of the two can be cleaned up. ``stats`` and ``phases`` are those of both.
+    """
+    facts = FactTables(result.base, rules, result.folder, staged=result.staged, distinct_input=True)
+    found = facts.last_manifest()
+    if found is None or not result.converged:
+        raise ValueError("only a run that has come to its end can be extended")
+    progress = Progress(0, [], [], [])
+    take_up(facts, rules, found, progress)
+    facts.create()
+    try:
+        facts.add(added.select(*TRIPLE_COLUMNS), progress.phase)
+        progress.triggered = fed_by(rules, facts.newest_rows)
+        facts.save_manifest(progress.phase, progress.record())
+        run_phases(facts, rules, progress, None, False, count_matches, reduce)
+    finally:
+        facts.forget()
+    fresh = added.select(*TRIPLE_COLUMNS).distinct().join(result.kb, list(TRIPLE_COLUMNS), "left_anti")
+    return inference(facts, progress, result.kb.unionByName(fresh), False)
+
+
+def run_phases(
+    facts: FactTables,
+    rules: RuleSet,
+    progress: Progress,
+    max_phases: int | None,
+    explain: bool,
+    count_matches: bool,
+    reduce: bool,
+) -> None:
     slots = head_slots(rules)
-    stats: list[tuple[int, int, int, int, int]] = []
-    phases: list[tuple[int, list[int], int, int, float]] = []
-    triggered = list(rules.rules)
-    phase = 0
-    while triggered and (max_phases is None or phase < max_phases):
-        phase += 1
+    while progress.triggered and (max_phases is None or progress.phase < max_phases):
+        progress.phase += 1
         started = time.monotonic()
-        counts, new_rows = run_phase(facts, triggered, slots, phase, explain, count_matches)
-        stats += [(phase, rule.rule_id, *counts.get(rule.rule_id, (0, 0, 0))) for rule in triggered]
+        triggered = progress.triggered
+        counts, new_rows = run_phase(facts, triggered, slots, progress.phase, explain, count_matches, reduce)
+        progress.stats += [(progress.phase, r.rule_id, *counts.get(r.rule_id, (0, 0, 0))) for r in triggered]
         matched = sum(n for n, _, _ in counts.values())
-        phases.append(
-            (phase, [r.rule_id for r in triggered], matched, sum(new_rows.values()), time.monotonic() - started)
-        )
-        facts.advance(phase, new_rows, phase_folder(facts, phase))
-        triggered = [r for r in rules.rules if any(a.key in new_rows for a in r.body)]
+        seconds = time.monotonic() - started
+        progress.phases.append((progress.phase, [r.rule_id for r in triggered], matched, sum(new_rows.values()), seconds))
+        facts.advance(progress.phase, new_rows)
+        progress.triggered = fed_by(rules, new_rows)
+        facts.save_manifest(progress.phase, progress.record())
+        facts.drop_copied()
+
+
+def fed_by(rules: RuleSet, keys: Iterable[Key]) -> list[Rule]:
+    """The rules whose bodies read one of ``keys``."""
+    return [rule for rule in rules.rules if any(atom.key in keys for atom in rule.body)]
+
+
+def take_up(facts: FactTables, rules: RuleSet, found: dict, progress: Progress) -> None:
+    """Go back to where a manifest was written."""
+    facts.restore(found["facts"])
+    facts.clear_unrecorded()
+    progress.phase = found["phase"]
+    progress.triggered = [rule for rule in rules.rules if rule.rule_id in found["triggered"]]
+    progress.stats = [tuple(row) for row in found["stats"]]
+    progress.phases = [tuple(row) for row in found["phases"]]
+
+
+def inference(facts: FactTables, progress: Progress, base: DataFrame, explain: bool) -> Inference:
     inferred = facts.derived()
-    base = kb.select(*TRIPLE_COLUMNS)
     return Inference(
-        kb=(base if distinct_input else base.distinct()).unionByName(inferred),
+        kb=base.unionByName(inferred),
         inferred=inferred,
         explanations=read_explanations(facts) if explain else None,
-        stats=stats_table(facts, stats),
+        stats=stats_table(facts, progress.stats),
         phases=facts.spark.createDataFrame(
-            phases, "phase int, triggered array<int>, matched bigint, new bigint, seconds double"
+            progress.phases, "phase int, triggered array<int>, matched bigint, new bigint, seconds double"
         ),
-        converged=not triggered,
-        folder=folder,
+        converged=not progress.triggered,
+        folder=facts.folder,
+        base=facts.kb,
+        staged=facts.staged,
     )
 
 
@@ -116,10 +228,6 @@ def warn_of_idle_atoms(facts: FactTables, rules: RuleSet) -> None:
             logger.warning("no facts for %s %s", "class" if key[1] else "predicate", key[0])
 
 
-def phase_folder(facts: FactTables, phase: int) -> str:
-    return f"{facts.folder}/derived/phase-{phase:06d}"
-
-
 def head_slots(rules: RuleSet) -> dict[int, int]:
     """Number each rule among those sharing its head key.
 
@@ -141,48 +249,54 @@ def run_phase(
     phase: int,
     explain: bool,
     count_matches: bool,
+    reduce: bool,
 ) -> tuple[dict[int, tuple[int, int, int]], dict[Key, int]]:
-    """Write the candidates of a phase, marked new or known.
+    """Write the new facts of a phase.
 
-    Returns per rule the matched, inferred and new counts, and per key the number of new facts;
-    both are bounded by the number of rules.
+    Returns per rule the matched, inferred and new counts, and per key the number of new facts; both
+    are bounded by the number of rules and reported by the write itself.
     """
     terms = [
-        (rule, matches) for rule in triggered for matches in phase_terms(facts, rule, phase, explain, count_matches)
+        (rule, matches)
+        for rule in triggered
+        for matches in phase_terms(facts, rule, phase, explain, count_matches, reduce)
     ]
     if not terms:
         return {}, {}
     if explain:
         heads = write_explanations(facts, terms, slots, phase)
     else:
-        heads = reduce(DataFrame.unionByName, (head_rows(facts, rule, slots, matches) for rule, matches in terms))
+        heads = reduce_(DataFrame.unionByName, (head_rows(facts, rule, slots, matches) for rule, matches in terms))
     live = {rule.rule_id: rule for rule, _ in terms}
-    n_slots = 1 + max(slots[rule_id] for rule_id in live)
-    candidates = heads.groupBy("k", "s", "o").agg(
-        *(F.count_if(F.col("slot") == i).alias(f"matched_{i}") for i in range(n_slots))
-    )
-    target = phase_folder(facts, phase)
+    counters = [f"matched_{i}" for i in range(1 + max(slots[rule_id] for rule_id in live))]
+    candidates = heads.groupBy(*FACT).agg(*(F.count_if(F.col("slot") == i).alias(c) for i, c in enumerate(counters)))
     head_keys = list(dict.fromkeys(rule.head.key for rule in live.values()))
-    marked = mark_new(candidates, known_facts(facts, head_keys), n_slots)
-    marked.write.partitionBy("is_new", "k").parquet(target)
-    return summarise(facts, target, live, slots, n_slots)
+    marked = mark_new(candidates, facts.known(head_keys))
+    seen = Observation(f"phase {phase}")
+    metrics = key_metrics([facts.ids[key] for key in head_keys], F.col("is_new"))
+    metrics += [m for rule in live.values() for m in rule_metrics(facts, rule, slots)]
+    facts.write(marked.observe(seen, *metrics).filter("is_new"), phase)
+    return counted(facts, seen.get, live, head_keys)
 
 
 def phase_terms(
-    facts: FactTables, rule: Rule, phase: int, explain: bool, count_matches: bool
+    facts: FactTables, rule: Rule, phase: int, explain: bool, count_matches: bool, reduce: bool
 ) -> Iterator[DataFrame]:
     """Body matches that use at least one fact of the latest phase, each exactly once.
 
     For every atom with new facts: that atom reads the new ones, atoms before it the older ones,
-    atoms after it both. In the first phase all atoms read the base facts.
+    atoms after it both. In the first phase of a run all atoms read the base facts.
     """
     keys = [atom.key for atom in rule.body]
-    fanouts = [facts.fanout(key) for key in keys]
+    options = {
+        "fanouts": [facts.fanout(key) for key in keys],
+        "explain": explain,
+        "count_matches": count_matches,
+        "reduce": reduce,
+    }
     if phase == 1:
         if all(facts.has_base(key) for key in keys):
-            yield join_atoms(
-                [facts.base(key) for key in keys], rule, fanouts=fanouts, explain=explain, count_matches=count_matches
-            )
+            yield join_atoms([facts.base(key) for key in keys], rule, **options)
         return
     for i, key in enumerate(keys):
         if key not in facts.newest_rows:
@@ -191,7 +305,7 @@ def phase_terms(
             facts.delta(k) if j == i else facts.old(k) if j < i else facts.all(k) for j, k in enumerate(keys)
         ]
         if all(rel is not None for rel in relations):
-            yield join_atoms(relations, rule, first=i, fanouts=fanouts, explain=explain, count_matches=count_matches)
+            yield join_atoms(relations, rule, first=i, **options)
 
 
 def head_rows(facts: FactTables, rule: Rule, slots: dict[int, int], matches: DataFrame) -> DataFrame:
@@ -203,65 +317,37 @@ def head_rows(facts: FactTables, rule: Rule, slots: dict[int, int], matches: Dat
     )
 
 
-def known_facts(facts: FactTables, keys: list[Key]) -> DataFrame | None:
-    """``(k, s, o)`` facts of some keys known before this phase; None when there are none."""
-    if facts.staged:
-        return facts.keyed().filter(F.col("k").isin([facts.ids[key] for key in keys]))
-    found = [(facts.ids[key], rel) for key in keys if (rel := facts.all(key)) is not None]
-    return tagged(found) if found else None
-
-
-def mark_new(candidates: DataFrame, known: DataFrame | None, n_slots: int) -> DataFrame:
+def mark_new(candidates: DataFrame, known: DataFrame | None) -> DataFrame:
     """Add ``is_new``: whether a candidate was unknown before the phase."""
     if known is None:
         return candidates.withColumn("is_new", F.lit(True))
-    on = ["k", "s", "o"]
-    marked = candidates.join(known.withColumn("seen", F.lit(True)), on, "left")
-    # Of a known candidate only the counters are needed, so its terms are not written again.
-    is_new = F.col("seen").isNull()
-    return marked.select(
-        "k",
-        *(F.when(is_new, F.col(name)).alias(name) for name in ("s", "o")),
-        *(f"matched_{i}" for i in range(n_slots)),
-        is_new.alias("is_new"),
-    )
+    marked = candidates.join(known.withColumn("seen", F.lit(True)), FACT, "left")
+    return marked.withColumn("is_new", F.col("seen").isNull()).drop("seen")
+
+
+def rule_metrics(facts: FactTables, rule: Rule, slots: dict[int, int]) -> list[Column]:
+    """Matches of a rule, facts they give and how many of those are new, as metrics of the write (A1-A3)."""
+    i, of_key = rule.rule_id, F.col("k") == facts.ids[rule.head.key]
+    counter = F.col(f"matched_{slots[i]}")
+    gave = of_key & (counter > 0)
+    return [
+        F.sum(F.when(of_key, counter)).alias(f"matched by {i}"),
+        F.count_if(gave).alias(f"inferred by {i}"),
+        F.count_if(gave & F.col("is_new")).alias(f"new by {i}"),
+    ]
 
 
-def summarise(
-    facts: FactTables, target: str, live: dict[int, Rule], slots: dict[int, int], n_slots: int
+def counted(
+    facts: FactTables, metrics: dict[str, int], live: dict[int, Rule], head_keys: list[Key]
 ) -> tuple[dict[int, tuple[int, int, int]], dict[Key, int]]:
-    """Counts per rule and per key from the table of a phase (A1-A3)."""
-    counters = [f"matched_{i}" for i in range(n_slots)]
-    schema = "s string, o string, " + "".join(f"{c} bigint, " for c in counters) + "is_new boolean, k int"
-
-    def gave(counter: str) -> Column:
-        return F.count_if(F.col(counter) > 0)
-
-    rows = (
-        facts.spark.read.schema(schema)
-        .parquet(target)
-        .groupBy("k", "is_new")
-        .agg(
-            *profile(),
-            *(F.sum(c).alias(f"{c}_total") for c in counters),
-            *(gave(c).alias(f"{c}_facts") for c in counters),
-        )
-        .collect()
-    )
-    by_part = {(row["k"], row["is_new"]): row for row in rows}
-    counts = {}
-    for rule_id, rule in live.items():
-        k, counter = facts.ids[rule.head.key], counters[slots[rule_id]]
-        parts = {new: by_part[(k, new)] for new in (True, False) if (k, new) in by_part}
-        counts[rule_id] = (
-            sum(part[f"{counter}_total"] for part in parts.values()),
-            sum(part[f"{counter}_facts"] for part in parts.values()),
-            parts[True][f"{counter}_facts"] if True in parts else 0,
-        )
-    for key, i in facts.ids.items():
-        if (i, True) in by_part:
-            facts.learn(key, by_part[(i, True)]["subjects"], by_part[(i, True)]["objects"])
-    new_rows = {key: by_part[(i, True)]["facts"] for key, i in facts.ids.items() if (i, True) in by_part}
+    """Counts per rule and per key from the metrics of a phase's write."""
+    counts = {i: tuple(metrics[f"{name} by {i}"] or 0 for name in ("matched", "inferred", "new")) for i in live}
+    new_rows = {}
+    for key in head_keys:
+        found = facts.profile_of(metrics, facts.ids[key])
+        if found["facts"]:
+            new_rows[key] = found["facts"]
+            facts.learn(key, found["subjects"], found["objects"])
     return counts, new_rows
 
 
@@ -270,7 +356,8 @@ def write_explanations(
 ) -> DataFrame:
     """Write one explanation per match (S6) and return the head rows read back from them."""
     path = f"{facts.explain_path}/phase={phase}"
-    reduce(DataFrame.unionByName, (with_conclusion(matches, rule) for rule, matches in terms)).write.parquet(path)
+    remove_folder(facts.spark, path)  # of a run that was lost in this phase
+    reduce_(DataFrame.unionByName, (with_conclusion(matches, rule) for rule, matches in terms)).write.parquet(path)
     facts.explained = True
     written = facts.spark.read.schema(EXPLANATION_SCHEMA).parquet(path)
     rules = {rule.rule_id: rule for rule, _ in terms}

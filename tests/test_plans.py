@@ -1,12 +1,20 @@
 """Physical plans: what is read, what is shuffled, how skew is met."""
 
+import random
 import re
+from itertools import permutations
+from pathlib import Path
 
 import pytest
 from helpers import as_set, brute_closure, iri, kb_of, rules_of, triples
+from pyarrow import parquet
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import hornfold as hf
+from hornfold.operators.match import ears, join_order
+from hornfold.plans.facts import FactTables
+from hornfold.plans.fixpoint import mark_new, run_phase
 
 SF_DIR = "/root/testdata/sf0.001"
 NO_EQUI_KEY = ("CartesianProduct", "BroadcastNestedLoopJoin")
@@ -105,13 +113,122 @@ def test_results_do_not_depend_on_broadcasting(spark, conf):
 
 
 def test_a_predicate_holding_most_facts_is_staged_in_many_files(spark, conf, tmp_path):
-    conf(adaptive__advisoryPartitionSizeInBytes="20KB")
+    conf(shuffle__partitions=7)
     hot = spark.range(0, 20_000, 1, 8).selectExpr("concat('<a', id, '>') AS s", "'<hot>' AS p", "concat('<b', id % 97, '>') AS o")
     rules = rules_of(spark, "hot(?x,?y) ^ cold(?y,?z) -> t(?x,?z)", "t(?x,?y) -> hot(?x,?y)")
     result = hf.infer(hot.unionByName(kb_of(spark, "b1 cold c")), rules, work_dir=str(tmp_path), distinct_input=True)
-    files = {path.name: len(list(path.glob("*.parquet"))) for path in (tmp_path / result.folder / "base").glob("k=*")}
-    assert files["k=0"] > 4
-    assert files["k=1"] == 1
+    files = {path.parent.name: len(list(path.glob("*.parquet"))) for path in (tmp_path / result.folder / "facts").glob("kp=*/phase=0")}
+    assert files == {"kp=0": 7, "kp=1": 1}
+
+
+@pytest.fixture
+def staged(spark, conf, tmp_path):
+    conf(autoBroadcastJoinThreshold=-1, adaptive__autoBroadcastJoinThreshold=-1)
+    rules = rules_of(spark, "e(?x,?y) -> t(?x,?y)", "t(?x,?y)^e(?y,?z) -> t(?x,?z)")
+    facts = FactTables(kb_of(spark, "a e b\nb e c\nc e d"), rules, str(tmp_path / "run"), staged=True, distinct_input=False)
+    facts.create()
+    facts.prepare()
+    yield facts
+    facts.forget()
+
+
+def test_known_facts_are_not_shuffled(spark, staged):
+    edge, path = staged.ids
+    more = spark.createDataFrame([(1, "<a>", "<b>"), (1, "<b>", "<c>")], "k int, s string, o string")
+    for phase in (1, 2):  # the table has facts of several phases
+        staged.write(staged.bucketed(more.filter(F.lit(phase) == 1)), phase)
+    heads = spark.createDataFrame([(1, "<a>", "<b>", 0), (1, "<a>", "<d>", 0), (0, "<a>", "<b>", 0)], "k int, s string, o string, slot int")
+    marked = mark_new(heads.groupBy("k", "s", "o").agg(F.count("*").alias("n")), staged.known([edge, path]))
+    assert {(r["s"], r["o"], r["k"]): r["is_new"] for r in marked.collect()} == {
+        ("<a>", "<b>", 1): False, ("<a>", "<d>", 1): True, ("<a>", "<b>", 0): False,
+    }
+    initial = plan(marked).split("== Initial Plan ==")[-1]
+    assert initial.count("FileScan") == 1 and "Bucketed: true" in initial
+    # One exchange in all: that of the candidates.
+    assert initial.count("Exchange hashpartitioning") == 1
+
+
+def test_a_phase_is_one_write_and_no_other_job(spark, staged, monkeypatch):
+    jobs, write = [], FactTables.write
+    monkeypatch.setattr(FactTables, "write", lambda self, facts, phase: (jobs.append(phase), write(self, facts, phase)))
+    for name in ("collect", "count", "isEmpty", "first", "toPandas"):
+        monkeypatch.setattr(type(staged.kb), name, lambda *_: pytest.fail("a phase runs no other job"))
+    counts, new = run_phase(staged, list(staged.rules.rules), {1: 0, 2: 1}, 1, False, True, False)
+    assert jobs == [1] and counts == {1: (3, 3, 3)} and list(new.values()) == [3]
+
+
+def test_nothing_derived_is_counted_too(spark, staged):
+    assert run_phase(staged, list(staged.rules.rules), {1: 0, 2: 1}, 1, False, True, False)[0] == {1: (3, 3, 3)}
+    empty = kb_of(spark, "a e b").filter("s = 'none'")
+    result = hf.infer(empty, staged.rules)
+    assert result.converged and result.inferred.count() == 0
+
+
+BODY = ["placedBy(?o,?c)", "inNation(?c,?n)", "suppliedBy(?o,?s)", "inNation(?s,?n)"]
+
+
+@pytest.mark.parametrize("counted", [False, True])
+def test_no_spelling_of_a_ring_joins_on_its_hot_variable_alone(spark, counted):
+    spellings = list(permutations(BODY))
+    rules = rules_of(spark, *(" ^ ".join(body) + " -> domestic(?o,?n)" for body in spellings))
+    fanouts = {"<placedBy>": (1.0, 10.0, 15000.0), "<inNation>": (1.0, 66.0, 1600.0), "<suppliedBy>": (4.0, 600.0, 60000.0)}
+    for rule in rules.rules:
+        order = join_order(rule.body, None, [fanouts[a.pred_key] for a in rule.body] if counted else None, None)
+        bound = set(rule.body[order[0]].variables)
+        for i in order[1:]:
+            assert bound & set(rule.body[i].variables) != {"n"}, (rule.body, order)
+            bound |= set(rule.body[i].variables)
+
+
+def test_bodies_are_reduced_before_they_are_joined(spark, conf):
+    conf(autoBroadcastJoinThreshold=-1)
+    rng = random.Random(9)
+    facts = {(iri(f"a{rng.randrange(40)}"), iri(p), iri(f"a{rng.randrange(40)}")) for p in "pqrs" for _ in range(40)}
+    rule = "p(?x,?y) ^ q(?y,?z) ^ r(?z,?w) ^ s(?z,?v) -> t(?x,?w)"
+    rules = rules_of(spark, rule)
+    kb = kb_of(spark, facts)
+    plain, reduced = (hf.match_body(kb, rules.rules[0], reduce=reduce) for reduce in (False, True))
+    assert sorted(map(str, plain.select(*sorted(plain.columns)).collect())) == sorted(map(str, reduced.select(*sorted(plain.columns)).collect()))
+    assert "LeftSemi" in plan(reduced) and "LeftSemi" not in plan(plain)
+    assert ears([{"x", "y"}, {"y", "z"}, {"z", "x"}], 0) == [] == ears([{"x"}], 0)
+    assert ears([{"x", "y"}, {"y", "z"}, {"z", "x"}, {"z", "u"}], 0) == [(3, 1)]
+    assert [ear for ear, _ in ears([{"x", "y"}, {"y", "z"}, {"z", "w"}], 1)] == [0, 2]
+    assert as_set(hf.apply_rules(kb, rules, reduce=True)) == as_set(hf.apply_rules(kb, rules))
+
+
+def test_a_text_source_is_parsed_once_for_many_keys(spark, tmp_path):
+    rules = rules_of(spark, "p(?x,?y) ^ q(?y,?z) ^ r(?z,?w) -> t(?x,?w)")
+    facts = triples("a p b\nb q c\nc r d\na p c\nb other d")
+    hf.write_triple_lines(kb_of(spark, facts), str(tmp_path / "lines"))
+    kb = hf.load_triples(spark, str(tmp_path / "lines"), distinct=False)
+    assert plan(hf.apply_rules(kb, rules)).count("FileScan text") == 3
+    frame = hf.apply_rules(kb, rules, stage=True, work_dir=str(tmp_path))
+    assert "FileScan text" not in plan(frame) and plan(frame).count("FileScan parquet") == 3
+    assert as_set(frame) == triples("a t d")
+
+
+def test_numbers_of_a_stored_table_reach_the_scan(spark, tmp_path):
+    rows = spark.range(0, 20_000, 1, 4).selectExpr("concat('<x', id, '>') AS s", "'<size>' AS p", "concat('\"', id * 7 % 20000, '\"') AS o")
+    path = str(tmp_path / "stored")
+    spark._jsc.hadoopConfiguration().set("parquet.block.size", "16384")
+    try:
+        hf.save_triples(rows.unionByName(kb_of(spark, "y size big")), path)
+    finally:
+        spark._jsc.hadoopConfiguration().unset("parquet.block.size")
+    stored = hf.load_triples(spark, path, fmt="parquet", distinct=False)
+    rules = rules_of(spark, "size(?x,?v) ^ lessthanorequal(?v,20) -> Small(?x)", "size(?x,?v) ^ equal(19990,?v) -> Large(?x)", "size(?x,?v) ^ equal(?v,k) -> Odd(?x)")
+    frame = hf.apply_rules(stored, rules)
+    assert {r["o"]: r["n"] for r in frame.groupBy("o").agg(F.count("*").alias("n")).collect()} == {"<Small>": 21, "<Large>": 1}
+    assert re.search(r"PushedFilters: \[[^\]]*LessThanOrEqual\(number,20\)", plan(hf.apply_rules(stored, rules)))
+    groups = matching = 0
+    for file in Path(path).rglob("*.parquet"):
+        meta = parquet.ParquetFile(file).metadata
+        column = meta.schema.names.index("number")
+        for i in range(meta.num_row_groups):
+            groups += 1
+            stats = meta.row_group(i).column(column).statistics
+            matching += bool(stats and stats.has_min_max and stats.min <= 20)
+    assert matching < groups
 
 
 def test_a_table_stored_by_key_is_used_in_place(spark, tmp_path):

@@ -119,21 +119,21 @@ def test_triples_from_table_columns(spark):
 def test_rule_file_becomes_a_table_of_atoms(spark, tmp_path):
     path = tmp_path / "rules.txt"
     path.write_text(
-        "# comment\n\np:hasParent(?b, ?f) ^ c:Person(?b)^p:age(?b,?v) ^ equal( ?v , 20 )-> p:hasChild(?f, ?b)\r\n"
+        "# comment\n\np:rents(?desk, ?firm) ^ c:Desk(?desk)^p:seats(?desk,?n) ^ equal( ?n , 20 )-> p:housed(?firm, ?desk)\r\n"
         'p:says(?a,"x, (y) ^ z"@en) -> c:Talker(?a)\n'
     )
     rules = hf.load_rules(spark, str(path), PREFIXES)
     rows = {(r["rule_id"], r["pos"]): r for r in rules.atoms.collect()}
     assert rules.atoms.columns == ["rule_id", "role", "pos", "s", "p", "o", "is_type", "pred_key"]
     assert [(rows[1, i]["role"], rows[1, i]["s"], rows[1, i]["o"]) for i in range(5)] == [
-        ("body", "?b", "?f"),
-        ("body", "?b", iri("c:Person")),
-        ("body", "?b", "?v"),
-        ("builtin", "?v", "<20>"),
-        ("head", "?f", "?b"),
+        ("body", "?desk", "?firm"),
+        ("body", "?desk", iri("c:Desk")),
+        ("body", "?desk", "?n"),
+        ("builtin", "?n", "<20>"),
+        ("head", "?firm", "?desk"),
     ]
-    assert (rows[1, 1]["p"], rows[1, 1]["is_type"], rows[1, 1]["pred_key"]) == (hf.RDF_TYPE, True, iri("c:Person"))
-    assert (rows[1, 0]["p"], rows[1, 0]["is_type"], rows[1, 0]["pred_key"]) == (iri("p:hasParent"), False, iri("p:hasParent"))
+    assert (rows[1, 1]["p"], rows[1, 1]["is_type"], rows[1, 1]["pred_key"]) == (hf.RDF_TYPE, True, iri("c:Desk"))
+    assert (rows[1, 0]["p"], rows[1, 0]["is_type"], rows[1, 0]["pred_key"]) == (iri("p:rents"), False, iri("p:rents"))
     assert rows[2, 0]["o"] == '"x, (y) ^ z"'
     assert rows[2, 1]["pred_key"] == iri("c:Talker")
 
@@ -146,10 +146,10 @@ def test_several_rule_files_are_numbered_in_order(spark, tmp_path):
 
 
 def test_class_atoms_in_all_spellings(spark):
-    spellings = ["c:show(?b)", "rdf:type c:show(?b)", "rdf:type(?b, c:show)", f"{hf.RDF_TYPE}(?b, c:show)"]
+    spellings = ["c:Tower(?b)", "rdf:type c:Tower(?b)", "rdf:type(?b, c:Tower)", f"{hf.RDF_TYPE}(?b, c:Tower)"]
     rules = rules_of(spark, *(f"{atom} -> q(?b, x)" for atom in spellings))
     assert {(r.body[0].s, r.body[0].p, r.body[0].o, r.body[0].is_type) for r in rules.rules} == {
-        ("?b", hf.RDF_TYPE, iri("c:show"), True)
+        ("?b", hf.RDF_TYPE, iri("c:Tower"), True)
     }
 
 
@@ -178,5 +178,9 @@ def test_rules_without_a_safe_reading_are_rejected(spark, rule, message):
         rules_of(spark, rule)
 
 
+def test_a_body_may_be_a_long_chain(spark):
+    assert len(rules_of(spark, "p(?a,?b) ^ p(?b,?c) ^ p(?c,?d) ^ p(?d,?e) ^ p(?e,f) -> q(?a,?e)").rules[0].body) == 5
+
+
 def test_a_ground_atom_is_not_a_disconnected_body(spark):
     assert len(rules_of(spark, "C(a) ^ p(?x,?y) -> q(?x,?y)").rules[0].body) == 2
