@@ -1,28 +1,33 @@
 """Token ids of whole texts by the tokenizers library, with a memory of the words seen.
 
 Both public vocabularies split a text at white space before they merge, so the ids of a text are
-those of its parts, cut before every single space. A part met before costs one look-up.
+those of its parts, cut at every single space and before every single line feed. A part met before
+costs one look-up.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
 #: Parts each worker remembers in either of two generations, so that frequent ones stay.
 REMEMBERED = 600_000
-MARKS = ".,;:!?"
-SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+# Closing marks: both vocabularies cut them from letters. An apostrophe may begin a token with letters after it.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+SAFE_CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 TOGETHER = 4096
 
 _encoders: dict[str, Encoder] = {}
 
 
 def touches(part: str) -> bool:
-    """Could this part, cut at single spaces, belong to white space beside it?"""
-    return not part or part[0].isspace() or part[-1].isspace()
+    """Could this part, cut at single spaces or before a line feed, belong to white space beside it?"""
+    body = part[1:] if part[:1] == "\n" else part
+    return not body or body[0].isspace() or body[-1].isspace()
 
 
 class Encoder:
@@ -59,65 +64,94 @@ class Encoder:
         data = ids.tobytes()
         return [data[4 * i : 4 * j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def letters(self, parts: list[str]) -> list[bytes]:
+    def letters(self, parts: list[str], lead: str = " ") -> list[bytes]:
         """As ``spaced``, for parts of letters alone: each is one word, so its tokens show where it ends."""
-        whole = self.tokenizer.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0]
+        whole = self.tokenizer.encode_batch_fast([lead + lead.join(parts)], add_special_tokens=False)[0]
         ids = np.asarray(whole.ids, "<u4")
         if self.ends.any():
             cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
-        else:
+        elif lead == " ":
             cuts = [*np.flatnonzero(self.begins[ids]).tolist(), len(ids)]
+        else:  # a line feed is a token of its own
+            cuts = [*np.flatnonzero(ids == ids[0]).tolist(), len(ids)]
         if len(cuts) != len(parts) + 1 or cuts[0] or cuts[-1] != len(ids):
-            return self.spaced(parts)
+            return self.spaced(parts) if lead == " " else self.plain([lead + part for part in parts])
         data = ids.tobytes()
         return [data[4 * i : 4 * j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
+        # Millions of strings without a cycle among them: looking for cycles would take a fifth of the time.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self.encoded(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " \n").split(" ") for t in texts]
+        heads = [parts.pop(0) for parts in split]
+        met = set().union(*split)
         if len(self.touching) > REMEMBERED:
             self.old, self.new, self.touching = {}, {}, set()
+        missing = met.difference(self.new)
+        self.touching.update([part for part in missing if touches(part)])
+        if not self.touching.isdisjoint(met):  # rare: a cut beside other white space isn't safe
+            for i, text in enumerate(texts):
+                if any(map(touches, [heads[i], *split[i]])):
+                    heads[i], *split[i] = SAFE_CUT.split(text)
+            met = set().union(*split)
+            missing = met.difference(self.new)
+        if missing:
+            self.learn(missing)
+        look_up = self.new.__getitem__
+        found = [head + b"".join(map(look_up, parts)) for head, parts in zip(self.plain(heads), split, strict=True)]
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        return found
+
+    def learn(self, missing: set[str]) -> None:
+        """Ids of parts that aren't in the younger memory, from the older one or the library."""
         new, old = self.new, self.old
-        split = [t.split(" ") for t in texts]
-        parts_met = set().union(*(parts[1:] for parts in split))
-        self.touching.update([part for part in parts_met if part not in new and part not in old and touches(part)])
-        if not self.touching.isdisjoint(parts_met):  # rare: a cut beside other white space isn't safe
-            split = [SAFE_CUT.split(t) if any(map(touches, parts)) else parts for t, parts in zip(texts, split, strict=True)]
-            parts_met = set().union(*(parts[1:] for parts in split))
-        rest = [parts[1:] for parts in split]
-        missing = set()
-        for part in parts_met:
-            if part not in new:
+        # Words and their closing marks are learned apart, so that only the word is new.
+        ended, words, lines, others = [], set(), set(), []
+        for part in missing:
+            if part in old:
+                new[part] = old[part]
+                continue
+            body = part[1:] if part[0:1] == "\n" else part
+            stem = body.rstrip(MARKS)
+            if not stem.isalpha():
+                others.append(part)
+                continue
+            if len(stem) < len(body):
+                ended.append((part, body, stem))
+                part = part[: len(part) - len(body) + len(stem)]
+                if part in new:
+                    continue
                 if part in old:
                     new[part] = old[part]
-                else:
-                    missing.add(part)
-        # Closing marks are cut from letters by both vocabularies, so only the word is new.
-        ended = []
-        for part in missing:
-            if part[-1:] in MARKS and (stem := part.rstrip(MARKS)).isalpha():
-                ended.append((part, stem, part[len(stem) :]))
-        missing.difference_update([part for part, _, _ in ended])
-        for _, stem, _ in ended:
-            if stem not in new:
-                if stem in old:
-                    new[stem] = old[stem]
-                else:
-                    missing.add(stem)
+                    continue
+            (words if part is body or part[0] != "\n" else lines).add(stem)
+        self.keep(list(words), "", self.letters)
+        self.keep(list(lines), "\n", lambda parts: self.letters(parts, "\n"))
         # Parts with white space at an end may touch their neighbours: those are encoded alone.
-        kinds: tuple[list[str], ...] = ([], [], [])
-        for part in missing:
-            kinds[0 if part.isalpha() else 2 if touches(part) else 1].append(part)
-        for kind, how in zip(kinds, (self.letters, self.spaced, lambda parts: self.plain([f" {p}" for p in parts])), strict=True):
-            for i in range(0, len(kind), TOGETHER):
-                new.update(zip(kind[i : i + TOGETHER], how(kind[i : i + TOGETHER]), strict=True))
-        for part, stem, marks in ended:
+        alone = [part for part in others if part[:1] == "\n" or touches(part)]
+        spaced = [part for part in others if not (part[:1] == "\n" or touches(part))]
+        self.keep(alone, "", lambda parts: self.plain([p if p[:1] == "\n" else f" {p}" for p in parts]))
+        self.keep(spaced, "", self.spaced)
+        for part, body, stem in ended:
+            marks = body[len(stem) :]
             if marks not in self.marks:
                 self.marks[marks] = self.plain([marks])[0]
-            new[part] = new[stem] + self.marks[marks]
-        heads = self.plain([parts[0] for parts in split])
-        return [head + b"".join(map(new.__getitem__, parts)) for head, parts in zip(heads, rest, strict=True)]
+            new[part] = new[part[: len(part) - len(marks)]] + self.marks[marks]
+
+    def keep(self, parts: list[str], lead: str, how: Callable[[list[str]], list[bytes]]) -> None:
+        for i in range(0, len(parts), TOGETHER):
+            some = parts[i : i + TOGETHER]
+            self.new.update(zip([lead + part for part in some] if lead else some, how(some), strict=True))
 
 
 def encoder(path: str) -> Encoder:
