@@ -1,15 +1,20 @@
 """Main text of web pages by site template removal.
 
-Every page is parsed to a small tree and each element's subtree is hashed. Spark counts on how many
-pages of its host a subtree occurs; those that recur on many are the site's template and are deleted.
-What is left of the article, or of the page where it marks none, is joined block by block.
+Every page is parsed once, to a small tree, and the subtree of every element with text is hashed. Spark
+counts on how many pages of its host a subtree occurs; those that recur on many are the site's template
+and are deleted. What is left of the article, or of the page where it marks none, is joined block by
+block. Names of elements and classes only settle what recurrence can't: a menu that is on one page, an
+advert that differs from page to page. Within a marked article no heading, section or paragraph goes by
+its class or id, and a subtree goes as template only if it is on a large share of the host's pages.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
@@ -23,6 +28,8 @@ from hornfold.llm.common import Run
 LEAST_PAGES = 8
 LEAST_SHARE = 0.02
 ENOUGH_PAGES = 20
+#: The share of the host's pages for a subtree within a marked article that isn't made of links: passages may recur.
+ARTICLE_SHARE = 0.2
 SLICE = 256
 
 TOKEN = re.compile(
@@ -66,6 +73,13 @@ NOT_MAIN = re.compile(
     r"recommended|recirc|outbrain|taboola|skip|search)(?:$|[\s_-])",
     re.I,
 )
+#: In a marked article an element of these names goes if one of its classes is one of these words.
+BOXES = frozenset("div aside ul ol dl figure table span ins center".split())
+BOX_CLASSES = frozenset(
+    "ad ads advert adverts advertisement adsense sponsored sponsor promo promotion newsletter subscribe signup comments "
+    "comment commentlist disqus replies respond sidebar widget widgets menu nav navbar breadcrumb breadcrumbs footer toolbar "
+    "pagination pager share sharing social related recommended outbrain taboola popup modal cookie cookies banner notice".split()
+)
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])", re.I)
 #: An element whose class says it is beside the main text is a wrapper of it if it holds over so much of the page's
 #: text outside links; one of comments only if next to nothing is elsewhere.
@@ -74,12 +88,13 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "hash", "links", "chars")
+    __slots__ = ("tag", "attrs", "kids", "hash", "links", "chars", "number")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.attrs = tag, attrs
         self.kids: list[Node | str] = []
         self.hash = self.links = self.chars = 0
+        self.number = -1
 
 
 def parse(page: str) -> Node:
@@ -87,17 +102,22 @@ def parse(page: str) -> Node:
     root = Node("", "")
     stack, at = [root], 0
     unclosed: set[str] = set()
+    opened: Counter[str] = Counter()  # so that the stack is only searched for what is on it
 
     def close(names: set[str] | frozenset[str], limits: set[str] | frozenset[str]) -> None:
         """End the lowest open element of ``names``, and all within it, unless one of ``limits`` lies between."""
+        if not any(opened[name] for name in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
+                opened.subtract(node.tag for node in stack[i:])
                 del stack[i:]
                 return
             if stack[i].tag in limits:
                 return
 
-    while found := TOKEN.search(page, at):
+    last = page.rfind(">") + 1  # no tag ends after it, so none is looked for
+    while found := TOKEN.search(page, at, max(last, at)):
         if found.start() > at:
             stack[-1].kids.append(page[at : found.start()])
         at = found.end()
@@ -121,6 +141,7 @@ def parse(page: str) -> Node:
             stack[-1].kids.append(node)
             if tag not in VOID and not (tag == "math" and attrs.endswith("/")):
                 stack.append(node)
+                opened[tag] += 1
         elif tag := found["end"]:
             close({tag.lower()}, frozenset())
     if at < len(page):
@@ -175,7 +196,7 @@ def wraps(node: Node, root: Node, share: float) -> bool:
     return node.chars - node.links > share * (root.chars - root.links)
 
 
-def is_main(node: Node, in_article: bool, root: Node) -> bool:
+def is_main(node: Node, in_article: bool, root: Node, names: bool) -> bool:
     """Can this element, by its name and attributes, be part of the main text?"""
     if node.tag in NOT_TEXT or (node.tag == "header" and not in_article):
         return False
@@ -184,12 +205,23 @@ def is_main(node: Node, in_article: bool, root: Node) -> bool:
     attrs = attributes(node)
     if not is_shown(attrs):
         return False
-    if not named(node, attrs, NOT_MAIN):
+    if in_article:
+        in_box = node.tag in BOXES and not BOX_CLASSES.isdisjoint(attrs.get("class", "").lower().split())
+        return not (names and (in_box or is_thread(node, attrs))) or wraps(node, root, WRAPS)
+    if not names or not named(node, attrs, NOT_MAIN):
         return True
     return wraps(node, root, WRAPS_COMMENTS if named(node, attrs, COMMENTS) else WRAPS)
 
 
-def regions(root: Node) -> tuple[list[Node], bool]:
+def is_thread(node: Node, attrs: dict[str, str]) -> bool:
+    """Are these, whatever the element, the reader comments of a page?"""
+    if node.tag not in ("section", *BOXES):
+        return False
+    words = {attrs.get("id", "").lower(), *attrs.get("class", "").lower().split()}
+    return not words.isdisjoint({"comments", "commentlist", "comment-list", "disqus_thread", "disqus", "respond"})
+
+
+def regions(root: Node, names: bool) -> tuple[list[Node], bool]:
     """The outermost articles, else main elements, else the whole page; and whether the page marks them.
 
     They are looked for in elements of any class but those of comments. Where the class names something
@@ -209,9 +241,9 @@ def regions(root: Node) -> tuple[list[Node], bool]:
                 attrs = attributes(node)
                 if (node.tag in NOT_TEXT and node.tag != "form") or not is_shown(attrs):
                     continue
-                if named(node, attrs, COMMENTS) and not wraps(node, root, WRAPS_COMMENTS):
+                if names and named(node, attrs, COMMENTS) and not wraps(node, root, WRAPS_COMMENTS):
                     continue
-                beside = beside or (named(node, attrs, NOT_MAIN) and not wraps(node, root, WRAPS))
+                beside = beside or (names and named(node, attrs, NOT_MAIN) and not wraps(node, root, WRAPS))
                 linked = linked or node.tag == "a"
             if not beside and not linked:
                 loose += sum(len(" ".join(k.split())) for k in node.kids if isinstance(k, str))
@@ -222,44 +254,82 @@ def regions(root: Node) -> tuple[list[Node], bool]:
     return [root], False
 
 
-def deletable(node: Node, marked: bool) -> bool:
-    """May this subtree go as template? In a marked article only what consists of links: passages can recur."""
-    return node.chars > 0 and node.tag not in ("", "html", "body") and (not marked or 2 * node.links >= node.chars)
+#: How a subtree may go as template: not at all, by recurrence, or in a marked article by a large share.
+KEPT, RECURS, RECURS_WIDELY = range(3)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def removal(node: Node, in_article: bool) -> int:
+    if not node.chars or node.tag in ("", "html", "body", "article", "main"):
+        return KEPT
+    if not in_article or 2 * node.links >= node.chars:
+        return RECURS
+    return RECURS_WIDELY if node.tag in BLOCK and node.tag not in HEADINGS else KEPT
+
 
+@dataclass
+class Page:
+    """The subtrees of a page that may be template, and its text blocks.
 
-def blocks(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """The text blocks of a page, each with the hashes of the deletable subtrees around it; and all those hashes."""
+    Subtree i has ``hashes[i]``, ``removals[i]`` and the next one around it ``parents[i]`` (-1: none), which
+    comes before it. A block is its text and the innermost subtree around it.
+    """
+
+    hashes: list[int]
+    removals: list[int]
+    parents: list[int]
+    blocks: list[tuple[str, int]]
+
+
+def blocks(page: str | None, names: bool = True) -> Page:
+    """``names=False`` leaves classes and ids out of account, so only recurrence and element names count."""
     root = parse(page or "")
     measure(root)
-    places, marked = regions(root)
-    found: list[tuple[str, list[int]]] = []
-    hashes: dict[int, None] = {}
+    places, marked = regions(root, names)
+    found = Page([], [], [], [])
+    inside = set(map(id, places)) if marked else set()
+    subtrees = [(root, -1, False)]
+    while subtrees:  # an explicit stack: pages can nest deeper than Python recurses
+        node, around, in_article = subtrees.pop()
+        in_article = in_article or id(node) in inside
+        if how := removal(node, in_article):
+            found.hashes.append(node.hash)
+            found.removals.append(how)
+            found.parents.append(around)
+            around = len(found.hashes) - 1
+        node.number = around
+        subtrees += [(k, around, in_article) for k in reversed(node.kids) if not isinstance(k, str)]
     words: list[str] = []
     for place in places:
-        # Entries: (node or text or None for the end of a block, hashes above it).
-        open_: list[tuple[Node | str | None, list[int]]] = [(place, [])]
+        # Entries: (node or text or None for the end of a block, the subtree around it).
+        open_: list[tuple[Node | str | None, int]] = [(place, -1)]
         while open_:
-            item, above = open_.pop()
+            item, around = open_.pop()
             if item is None:
                 if text := " ".join(html.unescape("".join(words)).split()):
-                    found.append((text, above))
+                    found.blocks.append((text, around))
                 words = []
             elif isinstance(item, str):
                 words.append(item)
             elif item.tag in ("br", "td", "th", "img", "wbr"):
                 words.append(" " if item.tag != "wbr" else "")
-                open_ += [(kid, above) for kid in reversed(item.kids)]
-            elif item is place or is_main(item, marked, root):
-                if deletable(item, marked):
-                    hashes[item.hash] = None
-                inside = [*above, item.hash] if deletable(item, marked) else above
+                open_ += [(kid, item.number) for kid in reversed(item.kids)]
+            elif item is place or is_main(item, marked, root, names):
                 edge = item.tag in BLOCK or item is place
                 if edge:
-                    open_.append((None, inside))
-                open_ += [(kid, inside) for kid in reversed(item.kids)]
+                    open_.append((None, item.number))
+                open_ += [(kid, item.number) for kid in reversed(item.kids)]
                 if edge:
-                    open_.append((None, above))
-    return found, list(hashes)
+                    open_.append((None, around))
+    return found
+
+
+def left_over(page: Page, gone: set[int]) -> list[str]:
+    """The blocks that aren't within a subtree whose hash is ``gone``."""
+    dead: list[bool] = []
+    for value, parent in zip(page.hashes, page.parents, strict=True):
+        dead.append((parent >= 0 and dead[parent]) or value in gone)
+    return [text for text, around in page.blocks if around < 0 or not dead[around]]
 
 
 def host(url: str | None) -> str:
@@ -267,56 +337,66 @@ def host(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def subtrees(pages: DataFrame) -> DataFrame:
-    """page_id, host, hash of every deletable subtree, once for each page."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, hosts, found = [], [], []
-            for row, (url, page) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
-                hashes = blocks(page.as_py())[1]
-                found += hashes
-                owner += [row] * len(hashes)
-                hosts += [host(url)] * len(hashes)
-            columns = [batch.column(0).take(pa.array(owner, pa.int32())), pa.array(hosts, pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.int64())], names=["page_id", "host", "hash"])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(of, f"page_id {kind}, host string, hash long")
+NUMBERS = pa.list_(pa.int64())
+BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("around", pa.int64())]))
+PARSED = "hashes array<long>, removals array<long>, parents array<long>, blocks array<struct<text: string, around: long>>"
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url and the blocks of every row."""
+def parsed(pages: DataFrame, names: bool) -> DataFrame:
+    """page_id, url, host, and what ``blocks`` finds in every row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("above", pa.list_(pa.int64()))]))
+        fields = ["page_id", "url", "host", "hashes", "removals", "parents", "blocks"]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = [[{"text": t, "above": a} for t, a in blocks(p.as_py())[0]] for p in part.column(2)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(found, kind)], names=["page_id", "url", "blocks"]
-                )
+                found = [blocks(page.as_py(), names) for page in part.column(2)]
+                columns = [part.column(0), part.column(1), pa.array([host(u.as_py()) for u in part.column(1)], pa.string())]
+                columns += [pa.array([getattr(page, field) for page in found], NUMBERS) for field in fields[3:6]]
+                texts = [[{"text": text, "around": around} for text, around in page.blocks] for page in found]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, BLOCKS)], names=fields)
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, blocks array<struct<text: string, above: array<long>>>"
-    return pages.select("page_id", "url", "html").mapInArrow(of, schema)
+    rows = pages.select("page_id", "url", "html")
+    return rows.mapInArrow(of, f"page_id {kind}, url string, host string, {PARSED}")
 
 
-def template(run: Run, pages: DataFrame, least_pages: int, least_share: float, enough_pages: int) -> DataFrame:
+def template(
+    rows: DataFrame, least_pages: int, least_share: float, enough_pages: int, article_share: float
+) -> DataFrame:
     """page_id and ``gone``, the hashes of its subtrees that recur on its host."""
-    found = run.table(subtrees(pages), "subtrees")
-    sizes = found.groupBy("host", "page_id").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("pages"))
+    each = F.explode(F.array_distinct(F.arrays_zip("hashes", "removals"))).alias("subtree")
+    found = rows.select("page_id", "host", each).select("page_id", "host", "subtree.hashes", "subtree.removals")
+    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    # Counted in each task before the shuffle, so a hot host is a few rows for each of its subtrees.
+    counted = rows.select("host", F.explode(F.array_distinct("hashes")).alias("hashes")).groupBy("host", "hashes")
     recurring = (
-        found.groupBy("host", "hash")
-        .agg(F.count("*").alias("n"))
+        counted.agg(F.count("*").alias("n"))
         .where(F.col("n") >= least_pages)
         .join(sizes, "host")
         .where((F.col("n") >= least_share * F.col("pages")) | (F.col("n") >= enough_pages))
-        .select("host", "hash")
+        .select("host", "hashes", (F.col("n") >= article_share * F.col("pages")).alias("widely"))
     )
+    met = found.join(recurring, ["host", "hashes"]).where((F.col("removals") == RECURS) | F.col("widely"))
     # A page's own subtrees bound each list.
-    return found.join(recurring, ["host", "hash"]).groupBy("page_id").agg(F.collect_set("hash").alias("gone"))
+    return met.groupBy("page_id").agg(F.collect_set("hashes").alias("gone"))
+
+
+def remaining(rows: DataFrame) -> DataFrame:
+    """page_id, url and text of parsed rows with ``gone``."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for hashes, parents, found, gone in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                page = Page(hashes, [], parents, [(b["text"], b["around"]) for b in found])
+                texts.append("\n\n".join(left_over(page, set(gone or ()))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    kind = rows.schema["page_id"].dataType.simpleString()
+    return rows.select("page_id", "url", "hashes", "parents", "blocks", "gone").mapInArrow(
+        of, f"page_id {kind}, url string, text string"
+    )
 
 
 def main_text(
@@ -324,19 +404,19 @@ def main_text(
     least_pages: int = LEAST_PAGES,
     least_share: float = LEAST_SHARE,
     enough_pages: int = ENOUGH_PAGES,
+    article_share: float = ARTICLE_SHARE,
+    names: bool = True,
 ) -> DataFrame:
     """Per row of ``pages``: page_id, url, text, n_chars.
 
     Blocks are joined in page order by two line feeds; white space within one is one space. Null and
     empty pages give an empty text, a null or odd url belongs to the host "". Rows that share a
     page_id lose the template subtrees of any of them. An empty table gives an empty result. Columns
-    beside page_id, url and html are not looked at.
+    beside page_id, url and html are not looked at. Time and memory for a page grow in proportion to it,
+    however deep it nests.
     """
     run = Run(pages.sparkSession, "html")
-    gone = template(run, pages, least_pages, least_share, enough_pages).withColumnRenamed("page_id", "__page")
-    rows = parsed(pages)
+    rows = run.table(parsed(pages, names), "parsed")
+    gone = template(rows, least_pages, least_share, enough_pages, article_share).withColumnRenamed("page_id", "__page")
     joined = rows.join(gone, rows["page_id"].eqNullSafe(gone["__page"]), "left")
-    none = F.array().cast("array<bigint>")
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["above"], F.coalesce(F.col("gone"), none)))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
-    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return remaining(joined).withColumn("n_chars", F.char_length("text").cast("long"))
