@@ -47,7 +47,7 @@ def leaf(found: Column, depth: int) -> Column:
 
 def line_hash(line: Column) -> Column:
     """Of a masked line; blank lines have none and are never dropped."""
-    return F.when(F.trim(line) != "", F.xxhash64(line))
+    return F.when(F.btrim(line, F.lit(SPACES)) != "", F.xxhash64(line))
 
 
 def passage_hash(line: Column) -> Column:
@@ -70,7 +70,7 @@ def repeated_passages(run: Run, docs: DataFrame, long_words: int) -> DataFrame:
 def occurrences(docs: DataFrame, depth: int) -> DataFrame:
     """doc_id, leaf and line hash of every distinct masked line of a document."""
     line = F.explode(F.array_distinct(lines(masked(text_or_empty())))).alias("__line")
-    each = docs.select("doc_id", line).where(F.trim("__line") != "")
+    each = docs.select("doc_id", line).where(F.btrim("__line", F.lit(SPACES)) != "")
     return each.select(
         "doc_id", leaf(tokens(F.col("__line")), depth).alias("leaf"), line_hash(F.col("__line")).alias("line")
     )

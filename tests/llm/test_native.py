@@ -201,6 +201,13 @@ def test_long_lines_stay_in_their_first_document_only(spark):
     assert found[5]["dropped_lines"] == 2
 
 
+def test_blank_lines_of_any_white_space_stay(spark):
+    own = lambda i, n: " ".join(f"{'abcdefghij'[(i + k * n) % 10]}{'xyz'[k % 3] * (i % 7 + 1)}" for k in range(5 + i))
+    texts = [f"{own(i, 1)}\r\n\r\n{own(i, 3)}\r\n \t\r\n\x0c" if i % 2 else f"{own(i, 1)}\n\t\n{own(i, 3)}" for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "s", 0, "", 0.0) for i, t in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"]: r["text"] for r in line_templates.drop_recurring(docs).collect()} == dict(enumerate(texts))
+
+
 def test_a_leaf_holds_several_templates(spark):
     name = lambda i: "".join("abcdefghij"[int(c)] for c in str(1000 + i))
     kinds = ["we are glad that {} reads our pages", "we are open when {} closes its doors", "we are only half of {} in june", "we are {} to all who come by"]
