@@ -196,6 +196,21 @@ def read(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
     return spread.mapInArrow(from_file, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI: one without a scheme is on the session's own file system, as its other tables are."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return found if "://" in found or not found.startswith("file:") else f"file://{found[len('file:') :]}"
+
+
+def remove_parts(spark: SparkSession, folder: str) -> None:
+    """Delete what lost tasks left: files that were never whole."""
+    parts = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.hfbp.*")
+    system = parts.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.globStatus(parts) or []:
+        system.delete(status.getPath(), False)
+
+
 def store(
     docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = END_ID, null_ids: bool = False
 ) -> DataFrame:
@@ -210,9 +225,9 @@ def store(
     if not null_ids and not docs.where("doc_id IS NULL").isEmpty():
         raise ValueError("documents without a doc_id can't be put in order")
     run = Run(spark, "tokens")
-    base = folder or run.path
-    base = base if "://" in base or base.startswith("file:") else f"file://{base}"
+    base = qualified(spark, folder or run.path)
     shards = run.table(write(docs, f"{base}/files", path or vocabulary("word_bpe_49k.json"), end_id), "shards")
+    remove_parts(spark, f"{base}/files")
     # One row for each file.
     rows = sorted(tuple(r) for r in shards.select("shard", "path", "tokens").collect())
     starts, before = [], 0
