@@ -254,8 +254,9 @@ def regions(root: Node, names: bool) -> tuple[list[Node], bool]:
     return [root], False
 
 
-#: How a subtree may go as template: not at all, by recurrence, or in a marked article by a large share.
-KEPT, RECURS, RECURS_WIDELY = range(3)
+#: How a subtree may go as template: not at all, by recurrence, or in a marked article by a large share. One
+#: without a block of the text is counted like any other, but there is nothing to delete.
+KEPT, RECURS, RECURS_WIDELY, BESIDE = range(4)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -321,6 +322,12 @@ def blocks(page: str | None, names: bool = True) -> Page:
                 open_ += [(kid, item.number) for kid in reversed(item.kids)]
                 if edge:
                     open_.append((None, around))
+    covers = [False] * len(found.hashes)
+    for _, around in found.blocks:
+        while around >= 0 and not covers[around]:
+            covers[around] = True
+            around = found.parents[around]
+    found.removals = [how if covered else BESIDE for how, covered in zip(found.removals, covers, strict=True)]
     return found
 
 
@@ -362,24 +369,31 @@ def parsed(pages: DataFrame, names: bool) -> DataFrame:
 
 
 def template(
-    rows: DataFrame, least_pages: int, least_share: float, enough_pages: int, article_share: float
+    run: Run, rows: DataFrame, least_pages: int, least_share: float, enough_pages: int, article_share: float
 ) -> DataFrame:
-    """page_id and ``gone``, the hashes of its subtrees that recur on its host."""
-    each = F.explode(F.array_distinct(F.arrays_zip("hashes", "removals"))).alias("subtree")
-    found = rows.select("page_id", "host", each).select("page_id", "host", "subtree.hashes", "subtree.removals")
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    """page_id and ``gone``, the hashes of its subtrees that recur on its host.
+
+    The recurring subtrees and the pages that lose some are written, so Spark knows their sizes: it
+    broadcasts them while they are below its threshold, and else shuffles.
+    """
+    of_host = F.xxhash64("host").alias("site")
+    sizes = rows.groupBy(of_host).agg(F.count("*").alias("pages"))
     # Counted in each task before the shuffle, so a hot host is a few rows for each of its subtrees.
-    counted = rows.select("host", F.explode(F.array_distinct("hashes")).alias("hashes")).groupBy("host", "hashes")
+    counted = rows.select(of_host, F.explode(F.array_distinct("hashes")).alias("hashes")).groupBy("site", "hashes")
     recurring = (
         counted.agg(F.count("*").alias("n"))
         .where(F.col("n") >= least_pages)
-        .join(sizes, "host")
+        .join(sizes, "site")
         .where((F.col("n") >= least_share * F.col("pages")) | (F.col("n") >= enough_pages))
-        .select("host", "hashes", (F.col("n") >= article_share * F.col("pages")).alias("widely"))
+        .select("site", "hashes", (F.col("n") >= article_share * F.col("pages")).alias("widely"))
     )
-    met = found.join(recurring, ["host", "hashes"]).where((F.col("removals") == RECURS) | F.col("widely"))
+    recurring = run.table(recurring, "recurring")
+    pairs = F.array_distinct(F.filter(F.arrays_zip("hashes", "removals"), lambda s: s["removals"] != BESIDE))
+    found = rows.select("page_id", of_host, F.explode(pairs).alias("subtree"))
+    found = found.select("page_id", "site", "subtree.hashes", "subtree.removals").join(recurring, ["site", "hashes"])
     # A page's own subtrees bound each list.
-    return met.groupBy("page_id").agg(F.collect_set("hashes").alias("gone"))
+    gone = found.where((F.col("removals") == RECURS) | F.col("widely")).groupBy("page_id").agg(F.collect_set("hashes").alias("gone"))
+    return run.table(gone, "gone")
 
 
 def remaining(rows: DataFrame) -> DataFrame:
@@ -417,6 +431,6 @@ def main_text(
     """
     run = Run(pages.sparkSession, "html")
     rows = run.table(parsed(pages, names), "parsed")
-    gone = template(rows, least_pages, least_share, enough_pages, article_share).withColumnRenamed("page_id", "__page")
+    gone = template(run, rows, least_pages, least_share, enough_pages, article_share).withColumnRenamed("page_id", "__page")
     joined = rows.join(gone, rows["page_id"].eqNullSafe(gone["__page"]), "left")
     return remaining(joined).withColumn("n_chars", F.char_length("text").cast("long"))
