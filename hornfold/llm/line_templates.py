@@ -1,15 +1,18 @@
 """Line deduplication by a tree of line templates, with DataFrame functions only.
 
-A line goes down a tree of fixed depth: number of tokens, then its leading tokens. Numbers are
-variable from the start. A leaf is a group of lines, in which a position where one token prevails is
-constant and any other variable; lines that agree with enough of the positions are of the group's
-template. The others are grouped again, each by its most frequent token that doesn't prevail, until
-their groups have templates or are too small; what is left are templates of their own. Templates that occur in many documents are dropped from all.
-Long lines are passages rather than templates: an exact one stays in its first document only.
+A line goes down a tree of fixed depth: number of tokens, then its leading tokens, then the rest of
+its tokens cut into five blocks of neighbours. Numbers are variable from the start; beyond them, the
+fields of a template may lie in any two of the blocks, which are hidden. So a line reaches one leaf for
+each choice of hidden blocks, and the lines of a leaf are of one template: they have the same number of
+tokens, the same leading ones and the same tokens in the blocks that show. Templates that occur in many
+documents are dropped from all. Every line goes down the tree at every size, so the work grows with
+the lines. Long lines are passages as well: an exact one stays in its first document only.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +22,12 @@ from hornfold.llm.common import Run, text_or_empty
 LEAST_DOCUMENTS = 10
 #: Words that make a line a passage, which goes from the second document on.
 LONG_WORDS = 50
-#: Leading tokens on the way to a leaf.
+#: Leading tokens on the way to a leaf, blocks of the others, and how many of them are hidden.
 DEPTH = 2
-#: Share of a leaf's lines that makes a token constant, and of positions that a line must agree with.
-PREVAILS = 0.5
-AGREES = 0.6
+BLOCKS = 5
+HIDDEN = 2
+#: Share of a line's tokens that must show.
+SHOWS = 0.6
 NUMBER = "[0-9]+"
 SPACE = r"[\x20\x09\x0B-\x0D]+"
 SPACES = " \t\v\f\r"
@@ -41,10 +45,6 @@ def tokens(line: Column) -> Column:
     return F.array_remove(F.split(line, SPACE), "")
 
 
-def leaf(found: Column, depth: int) -> Column:
-    return F.xxhash64(F.size(found), F.slice(found, 1, depth))
-
-
 def line_hash(line: Column) -> Column:
     """Of a masked line; blank lines have none and are never dropped."""
     return F.when(F.btrim(line, F.lit(SPACES)) != "", F.xxhash64(line))
@@ -55,119 +55,71 @@ def passage_hash(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(SPACES)))
 
 
-def repeated_passages(run: Run, docs: DataFrame, long_words: int) -> DataFrame:
-    """doc_id and the hashes of its long lines that a document before it, by doc_id, has too."""
-    # A line of n words has 2 n - 1 characters at least.
-    long = lambda x: (F.length(x) >= 2 * long_words - 1) & (F.size(tokens(x)) >= long_words)
-    each = docs.select("doc_id", F.explode(F.array_distinct(F.filter(lines(text_or_empty()), long))).alias("__line"))
-    each = each.select("doc_id", passage_hash(F.col("__line")).alias("passage")).distinct()
-    each = run.table(each, "passages")
-    again = each.groupBy("passage").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    later = each.join(again, "passage").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id").agg(F.collect_set("passage").alias("__again"))
+def block_start(n: Column, block: int, depth: int) -> Column:
+    """Tokens before a block (or, at ``BLOCKS``, all tokens) of a line of ``n`` tokens."""
+    rest = F.greatest(n - depth, F.lit(0))
+    return F.least(n, F.lit(depth)) + F.floor(rest * block / BLOCKS).cast("int")
 
 
-def occurrences(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, leaf and line hash of every distinct masked line of a document."""
-    line = F.explode(F.array_distinct(lines(masked(text_or_empty())))).alias("__line")
-    each = docs.select("doc_id", line).where(F.btrim("__line", F.lit(SPACES)) != "")
+def placed_lines(docs: DataFrame, depth: int, long_words: int) -> DataFrame:
+    """Per distinct line of a document that isn't blank: doc_id, line, passage, n, lead, blocks.
+
+    ``line`` is the hash of the masked line, ``lead`` of its number of tokens and leading tokens, ``blocks`` of each block.
+    """
+    each = docs.select("doc_id", F.explode(F.array_distinct(lines(text_or_empty()))).alias("__line"))
+    each = each.where(F.btrim("__line", F.lit(SPACES)) != "").withColumn("__masked", masked(F.col("__line")))
+    each = each.withColumn("__tokens", tokens(F.col("__masked"))).withColumn("n", F.size("__tokens"))
+    start = [block_start(F.col("n"), i, depth) for i in range(BLOCKS + 1)]
     return each.select(
-        "doc_id", leaf(tokens(F.col("__line")), depth).alias("leaf"), line_hash(F.col("__line")).alias("line")
+        "doc_id",
+        line_hash(F.col("__masked")).alias("line"),
+        F.when(F.col("n") >= long_words, passage_hash(F.col("__line"))).alias("passage"),
+        "n",
+        F.xxhash64("n", F.slice("__tokens", 1, depth)).alias("lead"),
+        F.array(*[F.xxhash64(F.slice("__tokens", a + 1, b - a)) for a, b in zip(start, start[1:])]).alias("blocks"),
     )
 
 
-def grouped(run: Run, kinds: DataFrame, least: int, prevails: float, agrees: float) -> DataFrame:
-    """line and group, of the lines that agree with their group's template; ``kinds`` has line, leaf, tokens, docs.
+def leaves(depth: int, shows: float) -> Column:
+    """The leaves of a line, one for each choice of hidden blocks that leaves enough tokens to see."""
+    n, found = F.col("n"), []
+    for hidden in combinations(range(BLOCKS), HIDDEN):
+        out = sum((block_start(n, i + 1, depth) - block_start(n, i, depth) for i in hidden), F.lit(0))
+        seen = [F.col("blocks")[i] for i in range(BLOCKS) if i not in hidden]
+        found.append(F.when(n - out >= shows * n, F.xxhash64("lead", F.lit(sum(1 << i for i in hidden)), *seen)))
+    return F.array_compact(F.array(*found))
 
-    A round tests every group and deals what doesn't agree to groups of at most half the documents, so
-    the rounds are as many as the largest leaf can be halved before it is below ``least``.
-    """
-    active, done, no = kinds.withColumn("group", F.col("leaf")), [], 0
-    while True:
-        total = active.groupBy("group").agg(F.sum("docs").alias("all")).where(F.col("all") >= least)
-        places = (
-            active.select("group", "docs", F.posexplode("tokens").alias("at", "token"))
-            .groupBy("group", "at", "token")
-            .agg(F.sum("docs").alias("n"))
-            .where(F.col("n") > prevails * least)
-            .join(total, "group")
-        )
-        places = run.table(places.withColumn("constant", F.col("n") > prevails * F.col("all")), f"places-{no}")
-        constant = (
-            places.where("constant")
-            .groupBy("group")
-            .agg(F.map_from_entries(F.collect_list(F.struct("at", "token"))).alias("constant"))
-        )
-        alike = F.size(F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.col("constant")[i] == F.col("tokens")[i]))
-        general = F.coalesce(alike >= agrees * F.size("tokens"), F.lit(False))
-        tested = active.join(total, "group").join(constant, "group", "left")
-        tested = run.table(tested.withColumn("general", general).drop("constant"), f"tested-{no}")
-        done.append(tested.where("general").select("line", "group"))
-        # Where most of a group agree the others stay together; else each goes by its most frequent token.
-        told = tested.groupBy("group").agg(F.sum(F.when(F.col("general"), F.col("docs")).otherwise(0)).alias("told"))
-        rest = tested.where("NOT general").join(told, "group")
-        rest = rest.withColumn("whole", F.col("told") >= (1 - prevails) * F.col("all")).drop("general", "told", "all")
-        best = (
-            rest.where("NOT whole")
-            .select("group", "line", F.posexplode("tokens").alias("at", "token"))
-            .join(places.where(~F.col("constant") & (F.col("n") >= least)).select("group", "at", "token", "n"), ["group", "at", "token"])
-            .groupBy("line")
-            .agg(F.max(F.struct("n", "at", "token")).alias("best"))
-        )
-        together = rest.where("whole").withColumn("group", F.xxhash64("group"))
-        apart = rest.where("NOT whole").join(best, "line").withColumn("group", F.xxhash64("group", "best.at", "best.token"))
-        active = run.table(together.drop("whole").unionByName(apart.drop("whole", "best")), f"active-{no}")
-        if active.isEmpty():
-            break
-        no += 1
-    found = done[0]
-    for more in done[1:]:
-        found = found.union(more)
-    return found
-
-
-def dropped_lines(run: Run, docs: DataFrame, least: int, depth: int, prevails: float, agrees: float) -> DataFrame:
-    """doc_id and the hashes of its lines that are dropped."""
-    seen = run.table(occurrences(docs, depth), "seen")
-    # Leaves that many documents reach; no other can hold a recurring template.
-    busy = seen.groupBy("leaf", "doc_id").agg(F.lit(1)).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    inside = run.table(seen.join(busy.select("leaf"), "leaf"), "inside")
-    counted = inside.groupBy("leaf", "line").agg(F.count("*").alias("docs"))
-    wanted = inside.groupBy("doc_id").agg(F.collect_set("line").alias("__lines")).withColumnRenamed("doc_id", "__doc")
-    texts = docs.select("doc_id", F.array_distinct(lines(masked(text_or_empty()))).alias("__masked"))
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("__doc")))
-    own = F.filter("__masked", lambda x: F.array_contains(F.col("__lines"), F.xxhash64(x)))
-    kinds = (
-        texts.select(F.explode(own).alias("__line"))
-        .groupBy("__line")
-        .agg(F.lit(1))
-        .select(
-            line_hash(F.col("__line")).alias("line"),
-            F.transform(tokens(F.col("__line")), lambda x: F.xxhash64(x)).alias("tokens"),
-        )
-    )
-    kinds = run.table(kinds.join(counted, "line"), "kinds")
-    settled = grouped(run, kinds, least, prevails, agrees)
-    template = F.struct("group", F.when(F.col("group").isNull(), F.col("line")).alias("own")).alias("template")
-    parted = run.table(kinds.join(settled, "line", "left").select("leaf", "line", template), "parted")
-    met = inside.join(parted.select("leaf", "line", "template"), ["leaf", "line"])
+
+def template_lines(run: Run, placed: DataFrame, least: int, depth: int, shows: float) -> DataFrame:
+    """doc_id and line of what is of a template in at least ``least`` documents."""
+    reached = placed.select("doc_id", "line", F.explode(leaves(depth, shows)).alias("leaf"))
+    # Lines are at least as many as documents, so only leaves of enough lines need their documents counted.
+    often = reached.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("leaf")
+    inside = run.table(reached.join(run.table(often, "often"), "leaf"), "inside")
     recurring = (
-        met.groupBy("template", "doc_id")
+        inside.groupBy("leaf", "doc_id")
         .agg(F.lit(1))
-        .groupBy("template")
+        .groupBy("leaf")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= least)
+        .select("leaf")
     )
-    gone = parted.join(recurring, "template", "left_semi").select("leaf", "line")
-    return inside.join(gone, ["leaf", "line"], "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("__gone"))
+    return inside.join(run.table(recurring, "recurring"), "leaf", "left_semi").select("doc_id", "line")
+
+
+def repeated_passages(placed: DataFrame) -> DataFrame:
+    """doc_id and passage of long lines that a document before it, by doc_id, has too."""
+    each = placed.where("passage IS NOT NULL").select("doc_id", "passage").distinct()
+    again = each.groupBy("passage").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    later = each.join(again, "passage").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    return later.select("doc_id", "passage")
 
 
 def drop_recurring(
     docs: DataFrame,
     least: int = LEAST_DOCUMENTS,
     depth: int = DEPTH,
-    prevails: float = PREVAILS,
-    agrees: float = AGREES,
+    shows: float = SHOWS,
     long_words: int = LONG_WORDS,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, text (without lines of recurring templates), n_lines, dropped_lines.
@@ -179,18 +131,26 @@ def drop_recurring(
     looked at. A line that a third of all rows share is merged before the shuffle.
     """
     run = Run(docs.sparkSession, "lines")
-    gone = dropped_lines(run, docs, least, depth, prevails, agrees).withColumnRenamed("doc_id", "__doc")
+    placed = run.table(placed_lines(docs, depth, long_words), "placed")
+    templates = template_lines(run, placed, least, depth, shows).withColumn("passage", F.lit(None).cast("long"))
+    again = repeated_passages(placed).select("doc_id", F.lit(None).cast("long").alias("line"), "passage")
+    gone = (
+        templates.unionByName(again)
+        .groupBy(F.col("doc_id").alias("__doc"))
+        .agg(F.collect_set("line").alias("__gone"), F.collect_set("passage").alias("__again"))
+    )
+    gone = run.table(gone, "gone")
+    for done in ("placed", "often", "inside", "recurring"):
+        run.remove(done)
     texts = docs.select("doc_id", text_or_empty().alias("__text"))
     found = texts.join(gone, texts["doc_id"].eqNullSafe(gone["__doc"]), "left")
-    again = repeated_passages(run, docs, long_words).withColumnRenamed("doc_id", "__later")
-    found = found.join(again, found["doc_id"].eqNullSafe(again["__later"]), "left")
-    none = F.array().cast("array<bigint>")
-    is_template = lambda x: F.coalesce(F.array_contains(F.coalesce("__gone", none), line_hash(masked(x))), F.lit(False))
+    is_template = lambda x: F.coalesce(F.array_contains("__gone", line_hash(masked(x))), F.lit(False))
     is_again = lambda x: F.coalesce(F.array_contains("__again", passage_hash(x)), F.lit(False))
+    none = lambda name: F.coalesce(F.size(name), F.lit(0)) <= 0
     found = found.withColumn("__all", lines(F.col("__text")))
-    kept = F.when(F.col("__gone").isNull(), F.col("__all")).otherwise(F.filter("__all", lambda x: ~is_template(x)))
+    kept = F.when(none("__gone"), F.col("__all")).otherwise(F.filter("__all", lambda x: ~is_template(x)))
     found = found.withColumn("__some", kept)
-    kept = F.when(F.col("__again").isNull(), F.col("__some")).otherwise(F.filter("__some", lambda x: ~is_again(x)))
+    kept = F.when(none("__again"), F.col("__some")).otherwise(F.filter("__some", lambda x: ~is_again(x)))
     found = found.withColumn("__kept", kept)
     return found.select(
         "doc_id",

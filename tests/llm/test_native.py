@@ -4,6 +4,8 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
+from random import Random
 
 import pytest
 
@@ -220,3 +222,31 @@ def test_a_leaf_holds_several_templates(spark):
     for doc_id, text, *_ in rows:
         stays = text if 300 <= doc_id < 400 else text.split("\n")[1] if doc_id < 300 else ""
         assert found[doc_id]["text"] == stays
+
+
+def templates_by_hand(texts, least):
+    """doc_id: lines kept, by the definition: every choice of hidden blocks of every line."""
+    reached, of = defaultdict(set), defaultdict(set)
+    for doc_id, text in texts.items():
+        for line in set(text.split("\n")):
+            words = re.sub("[0-9]+", "0", line).split()
+            lead, rest, n = tuple(words[:2]), words[2:], len(words)
+            cut = [len(rest) * i // 5 for i in range(6)]
+            for hidden in combinations(range(5), 2):
+                shown = [tuple(rest[cut[i] : cut[i + 1]]) if i not in hidden else None for i in range(5)]
+                if n and len(lead) + sum(map(len, filter(None, shown))) >= 0.6 * n:
+                    reached[n, lead, tuple(shown)].add(doc_id)
+                    of[line].add((n, lead, tuple(shown)))
+    gone = lambda line: any(len(reached[leaf]) >= least for leaf in of[line])
+    return {i: [line for line in text.split("\n") if not gone(line)] for i, text in texts.items()}
+
+
+def test_line_templates_against_every_choice_of_blocks(spark):
+    random = Random(4)
+    line = lambda: " ".join(random.choice("ab") if random.random() < 0.9 else str(random.randrange(9)) for _ in range(random.choice([0, 1, 2, 3, 4, 6, 9, 13])))
+    texts = {i: "\n".join(line() for _ in range(random.randrange(1, 5))) for i in range(60)}
+    rows = [(i, text, "s", 0, "", 0.0) for i, text in texts.items()]
+    found = line_templates.drop_recurring(spark.createDataFrame(rows, SCHEMA), least=4).collect()
+    expected = templates_by_hand(texts, 4)
+    assert {r["doc_id"]: r["text"].split("\n") for r in found} == {i: kept or [""] for i, kept in expected.items()}
+    assert 0 < sum(r["dropped_lines"] for r in found) < sum(r["n_lines"] for r in found)
