@@ -278,6 +278,22 @@ def test_quality_of_odd_rows(spark, docs):
     assert quality.classify(docs.limit(0), marks).collect() == []
 
 
+def test_quality_draws_from_each_class_by_hash(spark, monkeypatch):
+    seen = []
+    learn = quality.bradley_terry
+    monkeypatch.setattr(quality, "bradley_terry", lambda x, good, weight: seen.append((good, weight)) or learn(x, good, weight))
+    bad = lambda i: i % 100 == 7
+    rows = [(i, "!! " * 9 if bad(i) else f"some plain words {i % 5}.", "s", 0, "") for i in range(6000)]
+    marks = spark.createDataFrame([(i, 0 if bad(i) else 1, 0) for i in range(6000)], "doc_id bigint, quality int, toxic int")
+    found = quality.classify(spark.createDataFrame(rows, SCHEMA), marks, sample=200).collect()
+    (good, weight), = seen
+    left = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    # The small class is seen whole, of the large one about as many as asked for, each for as many rows as it stands for.
+    assert (~good).sum() == sum(map(bad, left)) and set(weight[~good]) == {1.0}
+    assert 130 < good.sum() < 270 and weight[good].sum() == pytest.approx(sum(not bad(i) for i in left), rel=0.4)
+    assert all(r["predicted"] == (not bad(r["doc_id"])) for r in found)
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><a href=/>Home</a></nav>
 <article><h1>Head &amp; line</h1><p>One <b>two<br>three<p>Four&nbsp;five</p><div class="comments"><p>me first</p></div></article>
 <footer>&copy; site</footer></body></html>"""
