@@ -372,6 +372,11 @@ def closure_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(CLOSURE_DERIVED, spark, sf_dir, doubling=True).inferred
 
 
+def thread_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``thread_start`` as one recursive common table expression."""
+    return hf.linear_closure(program_facts(THREAD, spark, sf_dir), hf.rules_from_lines(spark, THREAD))
+
+
 def append_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ancestors of half of the parts, and then of all: the other half is added to the closed facts."""
     rules, parts = hf.rules_from_lines(spark, CLOSURE_DERIVED), table(spark, sf_dir, "part").filter("p_partkey >= 2")
@@ -534,6 +539,7 @@ def queries() -> dict[str, Query]:
         **{name: closure(rules) for name, (rules, _) in CLOSURES.items()},
         "closed_kb": closed_kb,
         "closure_doubling": closure_doubling,
+        "thread_cte": thread_cte,
         "append_closure": append_closure,
         "reduced_join": reduced_join,
         "text_rules": text_rules,
@@ -577,6 +583,7 @@ def oracle_sql() -> dict[str, str]:
               UNION SELECT a.s, d.o FROM ancestor a JOIN kb d ON d.p = '<derivedFrom>' AND a.o = d.s)
             SELECT s, p, o FROM kb UNION ALL SELECT s, '<ancestor>', o FROM ancestor""",
         "closure_doubling": CLOSURES["closure_derived"][1],
+        "thread_cte": CLOSURES["thread_start"][1],
         "append_closure": """WITH RECURSIVE edge AS (
               SELECT '<part/' || p_partkey || '>' AS s, '<part/' || CAST(floor(p_partkey / 2) AS BIGINT) || '>' AS o
               FROM part WHERE p_partkey >= 2), ancestor AS (

@@ -7,6 +7,7 @@ from hornfold.operators.match import match_body
 from hornfold.plans.doubling import doubled
 from hornfold.plans.fixpoint import Inference, extend, infer
 from hornfold.plans.metadata import predicates, rule_deps, triggered_rules
+from hornfold.plans.recursion import linear_closure
 from hornfold.plans.session import tune
 from hornfold.sources.rules import Atom, Rule, RuleSet, load_rules, rules_from_lines
 from hornfold.sources.triples import (
@@ -32,6 +33,7 @@ __all__ = [
     "extend",
     "infer",
     "instantiate",
+    "linear_closure",
     "load_rules",
     "load_triples",
     "match_body",

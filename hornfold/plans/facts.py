@@ -56,6 +56,7 @@ class FactTables:
         self.ids: dict[Key, int] = {key: i for i, key in enumerate(rules.keys)}
         self.staged = staged
         self.explained = False
+        self.explained_before = 0
         self.explain_path = f"{folder}/explanations"
         self.base_rows: dict[Key, int] | None = None
         self.base_frames: dict[Key, DataFrame] = {}
@@ -295,6 +296,7 @@ class FactTables:
             "copied": self.copied,
             "distinct": {str(self.ids[key]): list(pair) for key, pair in self.distinct.items()},
             "explained": self.explained,
+            "explained_before": self.explained_before,
             "explain_path": self.explain_path,
         }
 
@@ -311,6 +313,7 @@ class FactTables:
         self.rows_in = {int(phase): by_key(rows) for phase, rows in state["rows_in"].items()}
         self.distinct = {key: tuple(pair) for key, pair in by_key(state["distinct"]).items()}
         self.explained, self.explain_path = state["explained"], state["explain_path"]
+        self.explained_before = state["explained_before"]
 
     def derived(self) -> DataFrame:
         """All facts that this run derived, as triples."""

@@ -16,7 +16,7 @@ from hornfold.operators.heads import head_term
 from hornfold.operators.match import join_atoms
 from hornfold.plans.doubling import doubled
 from hornfold.plans.facts import FACT, FactTables, key_metrics
-from hornfold.sources.folders import claim_folder, remove_folder, run_folder
+from hornfold.sources.folders import claim_folder, last_part, remove_folder, run_folder
 from hornfold.sources.rules import Key, Rule, RuleSet
 from hornfold.sources.triples import TRIPLE_COLUMNS
 
@@ -88,7 +88,8 @@ def infer(
     ``work_dir`` or, by default, ``spark.checkpoint.dir``.
 
     With ``explain_path`` each phase writes its explanations to a directory of its own there, once;
-    ``mode`` is ``error`` or ``overwrite``, for a path where something is. ``cleanup`` leaves them.
+    ``mode`` is ``error``, ``overwrite`` or ``append``, for a path where something is. Appended phases are
+    numbered on from the last one there, and ``explanations`` holds those of this run. ``cleanup`` leaves them.
 
     ``reduce=True`` reduces the relations of each body by semi-joins before they are joined.
     ``doubling=True`` joins a transitive closure with itself (see ``doubled``), which takes phases by the
@@ -113,6 +114,7 @@ def infer(
         take_up(facts, rules, found, progress)
     elif explain_path is not None:
         claim_folder(kb.sparkSession, explain_path, mode)
+        facts.explained_before = last_part(kb.sparkSession, explain_path, "phase")
     if not found:
         facts.explain_path = explain_path or facts.explain_path
     facts.create()
@@ -355,7 +357,7 @@ def write_explanations(
     facts: FactTables, terms: list[tuple[Rule, DataFrame]], slots: dict[int, int], phase: int
 ) -> DataFrame:
     """Write one explanation per match (S6) and return the head rows read back from them."""
-    path = f"{facts.explain_path}/phase={phase}"
+    path = f"{facts.explain_path}/phase={facts.explained_before + phase}"
     remove_folder(facts.spark, path)  # of a run that was lost in this phase
     reduce_(DataFrame.unionByName, (with_conclusion(matches, rule) for rule, matches in terms)).write.parquet(path)
     facts.explained = True
@@ -375,9 +377,9 @@ def write_explanations(
 
 def read_explanations(facts: FactTables) -> DataFrame:
     schema = f"{EXPLANATION_SCHEMA}, phase int"
-    if not facts.explained:
+    if not facts.explained and not facts.explained_before:
         facts.spark.createDataFrame([], schema).write.partitionBy("phase").parquet(facts.explain_path)
-    table = facts.spark.read.schema(schema).parquet(facts.explain_path)
+    table = facts.spark.read.schema(schema).parquet(facts.explain_path).filter(F.col("phase") > facts.explained_before)
     return table.select("phase", "rule_id", "premises", "conclusion")
 
 

@@ -31,14 +31,22 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 def claim_folder(spark: SparkSession, path: str, mode: str) -> None:
-    """Make sure nothing is at ``path``: with mode ``error`` refuse what is there, with ``overwrite`` delete it."""
-    if mode not in ("error", "overwrite"):
-        raise ValueError(f"mode is error or overwrite, not {mode}")
+    """Make ``path`` free to write to: refuse what is there (``error``), delete it (``overwrite``) or leave it (``append``)."""
+    if mode not in ("error", "overwrite", "append"):
+        raise ValueError(f"mode is error, overwrite or append, not {mode}")
     folder, system = hadoop_path(spark, path)
     if system.exists(folder):
         if mode == "error":
             raise FileExistsError(path)
-        remove_folder(spark, path)
+        if mode == "overwrite":
+            remove_folder(spark, path)
+
+
+def last_part(spark: SparkSession, path: str, name: str) -> int:
+    """The largest number n of a directory ``name=n`` in a folder; 0 where there is none."""
+    folder, system = hadoop_path(spark, path)
+    found = [status.getPath().getName() for status in system.listStatus(folder)] if system.exists(folder) else []
+    return max((int(n[len(name) + 1 :]) for n in found if n.startswith(f"{name}=")), default=0)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
