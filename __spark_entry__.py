@@ -523,11 +523,9 @@ def llm_queries():
     """The module with the operators for training data, or None where it can't be imported."""
     try:
         from hornfold.llm import queries as found
-    except ImportError as error:
-        # The folder may be gone, or a library that only its operators need.
-        if error.name is None or error.name.split(".")[0] != "hornfold" or error.name.startswith("hornfold.llm"):
-            return None
-        raise
+    except ImportError:
+        # The folders may be gone, or a library that only the operators need.
+        return None
     return found
 
 
