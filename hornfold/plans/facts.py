@@ -313,7 +313,7 @@ class FactTables:
         self.rows_in = {int(phase): by_key(rows) for phase, rows in state["rows_in"].items()}
         self.distinct = {key: tuple(pair) for key, pair in by_key(state["distinct"]).items()}
         self.explained, self.explain_path = state["explained"], state["explain_path"]
-        self.explained_before = state["explained_before"]
+        self.explained_before = state.get("explained_before", 0)  # absent from older manifests
 
     def derived(self) -> DataFrame:
         """All facts that this run derived, as triples."""
