@@ -25,24 +25,37 @@ class Run:
     """Tables of one call, in a new folder below ``spark.checkpoint.dir``.
 
     A stored table cuts the lineage: a lost executor costs a re-read of files that all executors
-    share. Where the setting is absent (tests), the folder lies below the warehouse.
+    share. Where the setting is absent (tests), the folder lies below the warehouse. ``path`` names a
+    folder of the user's instead, which may have tables of earlier calls.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, path: str | None = None):
         self.spark = spark
         show_package(spark)
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.path = (path or f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}").rstrip("/")
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def finished(self, name: str) -> bool:
+        """Was this table written to its end?"""
+        return self.exists(f"{name}/_SUCCESS")
+
+    def exists(self, name: str) -> bool:
+        path, files = self._place(name)
+        return files.exists(path)
+
     def remove(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
+        path, files = self._place(name)
+        files.delete(path, True)
+
+    def _place(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
 
 def partitions(spark: SparkSession) -> int:

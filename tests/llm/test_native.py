@@ -58,6 +58,56 @@ def test_exact_dedup(docs, weak):
     assert all(r["doc_id"] == r["keep_id"] for r in rows if r["kept"])
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup_of_batches_is_that_of_all_rows(spark, tmp_path, weak):
+    from pyspark.sql import functions as F
+
+    settings = {"digest": lambda text: F.substring(F.sha2(text, 256), 1, 1)} if weak else {}
+    parts = [
+        [(i, f"text  {i % 40}") for i in range(10, 70)] + [(None, "text 1"), (5, None)],
+        [(i, f"text {i % 55}") for i in range(0, 130, 2)] + [(200, "new"), (201, "new")],
+        [(300, ""), (301, "text\t3"), (302, "only here")],
+    ]
+    tables = [spark.createDataFrame(rows, "doc_id long, text string") for rows in parts]
+    for number, table in enumerate(tables):
+        folder = {"folder": str(tmp_path / "kept"), "batch": f"b{number}", "state_partitions": 2}
+        rows = exact_dedup.deduplicate(table, **folder, **settings).collect()
+        groups = defaultdict(list)
+        for doc_id, text in (row for part in parts[: number + 1] for row in part):
+            groups[re.sub(r"\s+", " ", text or "")].append((doc_id is not None, doc_id or 0, doc_id))
+        expected = Counter()
+        for text, ids in groups.items():
+            keep, sha = min(ids)[2], hashlib.sha256(text.encode()).hexdigest()
+            expected.update((doc_id, keep, len(ids), i == 0, sha) for i, (*_, doc_id) in enumerate(sorted(ids)))
+        assert Counter(map(tuple, rows)) == expected
+    # A repeated call adds nothing; a lost one must be repeated before the next.
+    assert Counter(exact_dedup.deduplicate(tables[-1], **folder, **settings).collect()) == Counter(rows)
+    (tmp_path / "kept" / "apart" / "batch=b1" / "_SUCCESS").unlink()
+    with pytest.raises(ValueError, match="b1"):
+        exact_dedup.deduplicate(tables[0], **(folder | {"batch": "b9"}))
+    with pytest.raises(ValueError, match="name"):
+        exact_dedup.deduplicate(tables[0], batch="a/b")
+
+
+def test_exact_dedup_fetches_texts_of_hits_alone(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    rows = spark.range(5000).selectExpr("id as doc_id", "if(id % 500 = 0, 'twice', concat('text ', id)) as text")
+    rows.repartition(6).write.parquet(path)
+    docs = spark.read.parquet(path)
+    located = docs.select("doc_id", "text", exact_dedup.place(docs))
+    hits = located.where("text = 'twice'")
+    fetched = exact_dedup.fetched(located, hits)
+    found = [r["text"] for r in fetched.collect()]
+    assert found.count("twice") == 10 and len(found) < 20
+    plan = fetched._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert exact_dedup.fetched(located, located).count() == 5000
+    assert exact_dedup.fetched(located, located.limit(0)).count() == 0
+    # Rows of Parquet files are located where they are: no text is written.
+    exact_dedup.located(exact_dedup.Run(spark, "exact", str(tmp_path / "run")), docs, "first", stored=False).collect()
+    assert not (tmp_path / "run").exists()
+
+
 def test_deduplicated_rows_keep_their_columns(docs):
     rows = exact_dedup.deduplicated(docs)
     assert rows.columns == docs.columns
