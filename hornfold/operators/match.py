@@ -13,6 +13,10 @@ from hornfold.sources.triples import relation
 
 #: Facts of a relation per distinct subject, per distinct object, and in all.
 FanOut = tuple[float, float, float]
+#: Subjects and objects with many facts, and into how many pieces each is cut.
+Pieces = tuple[dict[str, int], dict[str, int]]
+#: No variable has a space in its name.
+PIECE = "piece of a hot value"
 #: Where nothing was counted: subjects tend to have one fact each, objects to be shared.
 UNKNOWN: FanOut = (1.0, 2.0, 1000.0)
 
@@ -45,6 +49,7 @@ def join_atoms(
     *,
     first: int | None = None,
     fanouts: Sequence[FanOut | None] | None = None,
+    pieces: Sequence[Pieces] | None = None,
     explain: bool = False,
     count_matches: bool = True,
     reduce: bool = False,
@@ -52,7 +57,7 @@ def join_atoms(
     """Match a body whose i-th atom reads the ``(s, o)`` rows of ``relations[i]``.
 
     ``first`` names the atom to start from (the one reading new facts); ``fanouts`` has what is known
-    of each relation's rows per subject and per object.
+    of each relation's rows per subject and per object; ``pieces`` its hot values, which are split.
     """
     wanted = None if explain or count_matches else joining_variables(rule)
     bound: set[str] = set()
@@ -71,8 +76,10 @@ def join_atoms(
     if reduce:
         kept = [set(a.variables) if wanted is None else set(a.variables) & wanted for a in rule.body]
         rights, order = reduced(rights, kept, order)
+    hot: dict[str, dict[str, int]] = {}
     for i in order:
         atom, right = rule.body[i], rights[i]
+        own = hot_values(atom, pieces[i]) if pieces else {}
         kept = [v for v in atom.variables if wanted is None or v in wanted]
         shared = [v for v in kept if v in bound]
         if bindings is None:
@@ -81,12 +88,14 @@ def join_atoms(
             bindings = bindings.filter(right.exists())
             if explain:
                 bindings = bindings.withColumn(premise(i), constant_triple(atom))
-        elif not explain and first is None and len(shared) == len(kept):
-            bindings = bindings.join(right, shared, "left_semi")
         else:
             # An atom that adds no variable keeps or drops a binding either way, relations being
             # sets. Starting from new facts the inner join lets Spark broadcast the new side.
-            bindings = bindings.join(right, shared, "inner")
+            how = "left_semi" if not explain and first is None and len(shared) == len(kept) else "inner"
+            many = [hot.get(shared[0], {}), own.get(shared[0], {}) if how == "inner" else {}] if len(shared) == 1 else []
+            bindings = join_split(bindings, right, shared[0], *many, how) if any(many) else bindings.join(right, shared, how)
+        for v, values in own.items():
+            hot[v] = merged(hot.get(v, {}), values)
         bound.update(kept)
     for call in rule.builtins:
         bindings = bindings.filter(builtin_condition(call))
@@ -96,6 +105,50 @@ def join_atoms(
     return bindings
 
 
+def merged(one: dict[str, int], other: dict[str, int]) -> dict[str, int]:
+    return {value: max(one.get(value, 0), other.get(value, 0)) for value in one | other}
+
+
+def hot_values(atom: Atom, pieces: Pieces) -> dict[str, dict[str, int]]:
+    """The hot values of each variable of a property atom; facts of a class have a subject of their own each."""
+    found: dict[str, dict[str, int]] = {}
+    for term, values in zip((atom.s, atom.o), pieces, strict=True):
+        if is_variable(term) and values and not atom.is_type:
+            found[term[1:]] = merged(found.get(term[1:], {}), values)
+    return found
+
+
+def join_split(
+    left: DataFrame, right: DataFrame, name: str, of_left: dict[str, int], of_right: dict[str, int], how: str
+) -> DataFrame:
+    """Join on one variable; rows of a hot value are dealt to its pieces, its partners are copied to each of them.
+
+    A row's piece is a hash of the row, so a task that is run again makes the same one. A value that is
+    hot on both sides is cut on the side where it has more pieces.
+    """
+    cut_left = {v: n for v, n in of_left.items() if n > 1 and n >= of_right.get(v, 0)}
+    cut_right = {v: n for v, n in of_right.items() if n > 1 and v not in cut_left}
+    pieced = with_piece(left, name, cut_left, cut_right), with_piece(right, name, cut_right, cut_left)
+    return pieced[0].join(pieced[1], [name, PIECE], how).drop(PIECE)
+
+
+def with_piece(rows: DataFrame, name: str, cut: dict[str, int], copied: dict[str, int]) -> DataFrame:
+    """Rows with their piece: of ``cut`` values by hash, of ``copied`` values all of them, else 0."""
+    value = column(name)
+
+    def count(values: dict[str, int]) -> Column:
+        return F.create_map(*(F.lit(term) for pair in values.items() for term in pair))[value]
+
+    by_hash = F.lit(0)
+    if cut:
+        mine = F.pmod(F.xxhash64(*map(column, rows.columns)), count(cut)).cast("int")
+        by_hash = F.when(value.isin(list(cut)), mine).otherwise(by_hash)
+    if copied:
+        every = F.when(value.isin(list(copied)), F.sequence(F.lit(0), count(copied) - 1))
+        by_hash = F.explode(every.otherwise(F.array(by_hash)))
+    return rows.withColumn(PIECE, by_hash)
+
+
 def join_order(
     body: Sequence[Atom],
     first: int | None,

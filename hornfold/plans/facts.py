@@ -9,6 +9,7 @@ known facts without a shuffle of these.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Iterable
 
@@ -23,30 +24,44 @@ from hornfold.sources.triples import TRIPLE_COLUMNS, relation, rules_only, store
 PAIR_SCHEMA = "s string, o string"
 FACT = ["k", "s", "o"]
 MERGE_EVERY = 16
+#: Values of a side of a key that can be split over tasks, and those the sketch that finds them counts.
+HOT_VALUES, HOT_TRACKED = 32, 4096
+#: Pieces for each task's fair share of rows, so that pieces that meet in a task don't make it a long one.
+PIECES_A_SHARE = 4
 #: The phase of base facts; facts added to a finished run have the number of its last phase above ``ADDED``.
 BASE, ADDED = 0, 1_000_000_000
 
 
-def profile() -> list[Column]:
-    """Rows, distinct subjects and distinct objects of a key's facts."""
-    distinct = [F.approx_count_distinct(side).alias(name) for side, name in (("s", "subjects"), ("o", "objects"))]
-    return [F.count("*").alias("facts"), *distinct]
+def profile(hot: bool) -> list[Column]:
+    """Rows, distinct subjects and distinct objects of a key's facts; with ``hot`` the values most of them share."""
+    sides = (("s", "subjects"), ("o", "objects"))
+    distinct = [F.approx_count_distinct(side).alias(name) for side, name in sides]
+    frequent = [most_frequent(F.col(side)).alias(f"hot {name}") for side, name in sides] if hot else []
+    return [F.count("*").alias("facts"), *distinct, *frequent]
 
 
-def key_metrics(ids: Iterable[int], wanted: Column) -> list[Column]:
+def most_frequent(values: Column) -> Column:
+    """The ``HOT_VALUES`` most frequent values with about how often they come, by a sketch of fixed size."""
+    return F.call_function("approx_top_k", values, F.lit(HOT_VALUES), F.lit(HOT_TRACKED))
+
+
+def key_metrics(ids: Iterable[int], wanted: Column, hot: bool) -> list[Column]:
     """The ``profile`` of each key's ``wanted`` rows, as metrics that a write reports."""
     found = []
     for i in ids:
         of_key = wanted & (F.col("k") == i)
         found.append(F.count_if(of_key).alias(f"facts {i}"))
         found += [F.approx_count_distinct(F.when(of_key, F.col(c))).alias(f"{c} {i}") for c in ("s", "o")]
+        found += [most_frequent(F.when(of_key, F.col(c))).alias(f"hot {c} {i}") for c in ("s", "o") if hot]
     return found
 
 
 class FactTables:
     """Base facts and the new facts of each phase, as ``(s, o)`` rows per predicate key."""
 
-    def __init__(self, kb: DataFrame, rules: RuleSet, folder: str, *, staged: bool, distinct_input: bool):
+    def __init__(
+        self, kb: DataFrame, rules: RuleSet, folder: str, *, staged: bool, distinct_input: bool, salt: bool = False
+    ):
         self.spark = kb.sparkSession
         columns = [*TRIPLE_COLUMNS, *(["is_type", "pred_key"] if stored_by_key(kb) else [])]
         self.kb = kb if staged or distinct_input else kb.select(*columns).distinct()
@@ -70,6 +85,9 @@ class FactTables:
         self.copied: list[int] = []
         # Per key the most distinct subjects and objects seen in one phase.
         self.distinct: dict[Key, tuple[int, int]] = {}
+        # Per key, with ``salt``: the largest share of one write's facts that a subject or object had.
+        self.salt = salt
+        self.shares: dict[Key, tuple[dict[str, float], dict[str, float]]] = {}
         # Fixed for the run: the partitions of the shuffle that candidates take anyway.
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.table = f"hornfold_{uuid.uuid4().hex}"
@@ -120,23 +138,25 @@ class FactTables:
         facts = self.bucketed(self.keyed(self.kb))
         facts = facts if self.distinct_input else facts.distinct()
         seen = Observation("staged")
-        self.write(facts.observe(seen, *key_metrics(self.ids.values(), F.lit(True))), BASE)
+        self.write(facts.observe(seen, *key_metrics(self.ids.values(), F.lit(True), self.salt)), BASE)
         found = seen.get
         self._know({key: self.profile_of(found, i) for key, i in self.ids.items() if found[f"facts {i}"]})
 
-    @staticmethod
-    def profile_of(metrics: dict[str, int], i: int) -> dict[str, int]:
-        return {"facts": metrics[f"facts {i}"], "subjects": metrics[f"s {i}"], "objects": metrics[f"o {i}"]}
+    def profile_of(self, metrics: dict[str, int], i: int) -> dict[str, int]:
+        found = {"facts": metrics[f"facts {i}"], "subjects": metrics[f"s {i}"], "objects": metrics[f"o {i}"]}
+        if self.salt:
+            found |= {"hot subjects": metrics[f"hot s {i}"], "hot objects": metrics[f"hot o {i}"]}
+        return found
 
     def _count_stored(self) -> None:
         """Sizes and fan-outs of a table stored by key: one scan of the directories that the rules use."""
-        rows = rules_only(self.kb, self.rules).groupBy("pred_key", "is_type").agg(*profile()).collect()
+        rows = rules_only(self.kb, self.rules).groupBy("pred_key", "is_type").agg(*profile(self.salt)).collect()
         self._know({(row["pred_key"], row["is_type"]): row for row in rows})
 
     def _know(self, found: dict[Key, Row | dict[str, int]]) -> None:
         self.base_rows = {key: found[key]["facts"] if key in found else 0 for key in self.ids}
         for key, row in found.items():
-            self.learn(key, row["subjects"], row["objects"])
+            self.learn(key, row)
 
     def add(self, triples: DataFrame, after: int) -> None:
         """Make the facts of ``triples`` that aren't known the newest ones, and all known ones old."""
@@ -146,17 +166,32 @@ class FactTables:
         known = self.known(list(self.ids))
         fresh = fresh if known is None else fresh.join(known, FACT, "left_anti")
         seen = Observation("added")
-        self.write(fresh.observe(seen, *key_metrics(self.ids.values(), F.lit(True))), ADDED + after)
+        self.write(fresh.observe(seen, *key_metrics(self.ids.values(), F.lit(True), self.salt)), ADDED + after)
         found = seen.get
         rows = {key: found[f"facts {i}"] for key, i in self.ids.items() if found[f"facts {i}"]}
         for key in rows:
-            profiled = self.profile_of(found, self.ids[key])
-            self.learn(key, profiled["subjects"], profiled["objects"])
+            self.learn(key, self.profile_of(found, self.ids[key]))
         self.advance(ADDED + after, rows)
 
-    def learn(self, key: Key, subjects: int, objects: int) -> None:
+    def learn(self, key: Key, profiled: Row | dict[str, int]) -> None:
         known = self.distinct.get(key, (1, 1))
-        self.distinct[key] = (max(known[0], subjects), max(known[1], objects))
+        self.distinct[key] = (max(known[0], profiled["subjects"]), max(known[1], profiled["objects"]))
+        if not self.salt:
+            return
+        shares = self.shares.setdefault(key, ({}, {}))
+        for side, name in zip(shares, ("hot subjects", "hot objects"), strict=True):
+            for value, rows in profiled[name]:
+                # A sketch of many keys counts the other keys' rows as nulls.
+                if value is not None and rows * self.buckets > profiled["facts"]:
+                    side[value] = max(side.get(value, 0.0), min(1.0, rows / profiled["facts"]))
+
+    def pieces(self, key: Key) -> tuple[dict[str, int], dict[str, int]]:
+        """Subjects and objects with more facts than a task's fair share, and into how many pieces they are cut."""
+        subjects, objects = (
+            {value: math.ceil(share * self.buckets * PIECES_A_SHARE) for value, share in side.items()}
+            for side in self.shares.get(key, ({}, {}))
+        )
+        return subjects, objects
 
     def fanout(self, key: Key) -> tuple[float, float, float] | None:
         """Facts per distinct subject and object and in all, where the facts of the key were counted."""
@@ -295,6 +330,7 @@ class FactTables:
             "rows_in": {str(phase): by_id(self.rows_in[phase]) for phase in [*self.phases, *self.copied]},
             "copied": self.copied,
             "distinct": {str(self.ids[key]): list(pair) for key, pair in self.distinct.items()},
+            "shares": {str(self.ids[key]): list(pair) for key, pair in self.shares.items()},
             "explained": self.explained,
             "explained_before": self.explained_before,
             "explain_path": self.explain_path,
@@ -312,6 +348,7 @@ class FactTables:
         self.frozen = state["frozen"]
         self.rows_in = {int(phase): by_key(rows) for phase, rows in state["rows_in"].items()}
         self.distinct = {key: tuple(pair) for key, pair in by_key(state["distinct"]).items()}
+        self.shares = {key: tuple(pair) for key, pair in by_key(state.get("shares", {})).items()}
         self.explained, self.explain_path = state["explained"], state["explain_path"]
         self.explained_before = state.get("explained_before", 0)  # absent from older manifests
 

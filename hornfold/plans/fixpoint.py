@@ -74,6 +74,7 @@ def infer(
     work_dir: str | None = None,
     reduce: bool = False,
     doubling: bool = False,
+    salt: bool = False,
     resume: str | None = None,
 ) -> Inference:
     """Apply ``rules`` to ``kb`` until a phase derives nothing new.
@@ -92,6 +93,9 @@ def infer(
     numbered on from the last one there, and ``explanations`` holds those of this run. ``cleanup`` leaves them.
 
     ``reduce=True`` reduces the relations of each body by semi-joins before they are joined.
+    ``salt=True`` has each write report the values most facts share; in the joins of later steps a value
+    with more rows than a task's fair share goes to several tasks, with its partners copied to each, so a
+    hot node needs no adaptive splitting, which an aggregate after the join can prevent.
     ``doubling=True`` joins a transitive closure with itself (see ``doubled``), which takes phases by the
     logarithm of the depth and gives the same facts. The matches are then other ones, so it excludes
     explanations. Whether a predicate has base facts must be known: facts that are neither staged nor
@@ -105,7 +109,7 @@ def infer(
         raise ValueError("explanations are of the rules as they are written: leave doubling out")
     staged = rules.feeds_itself and max_phases != 1 if stage is None else stage
     folder = resume or run_folder(kb.sparkSession, work_dir)
-    facts = FactTables(kb, rules, folder, staged=staged, distinct_input=distinct_input)
+    facts = FactTables(kb, rules, folder, staged=staged, distinct_input=distinct_input, salt=salt)
     progress = Progress(0, list(rules.rules), [], [])
     found = facts.last_manifest() if resume else None
     if resume and found is None:
@@ -140,6 +144,7 @@ def extend(
     *,
     count_matches: bool = True,
     reduce: bool = False,
+    salt: bool = False,
 ) -> Inference:
     """Add facts to the closure of a finished run and close it again, with the run's own ``rules``.
 
@@ -147,7 +152,7 @@ def extend(
     facts is repeated, and nothing is copied. The run goes on in its folder: of ``result`` the frames stay
     valid, but only one of the two can be cleaned up. ``stats`` and ``phases`` are those of both.
     """
-    facts = FactTables(result.base, rules, result.folder, staged=result.staged, distinct_input=True)
+    facts = FactTables(result.base, rules, result.folder, staged=result.staged, distinct_input=True, salt=salt)
     found = facts.last_manifest()
     if found is None or not result.converged:
         raise ValueError("only a run that has come to its end can be extended")
@@ -275,7 +280,7 @@ def run_phase(
     head_keys = list(dict.fromkeys(rule.head.key for rule in live.values()))
     marked = mark_new(candidates, facts.known(head_keys))
     seen = Observation(f"phase {phase}")
-    metrics = key_metrics([facts.ids[key] for key in head_keys], F.col("is_new"))
+    metrics = key_metrics([facts.ids[key] for key in head_keys], F.col("is_new"), facts.salt)
     metrics += [m for rule in live.values() for m in rule_metrics(facts, rule, slots)]
     facts.write(marked.observe(seen, *metrics).filter("is_new"), phase)
     return counted(facts, seen.get, live, head_keys)
@@ -292,6 +297,7 @@ def phase_terms(
     keys = [atom.key for atom in rule.body]
     options = {
         "fanouts": [facts.fanout(key) for key in keys],
+        "pieces": [facts.pieces(key) for key in keys],
         "explain": explain,
         "count_matches": count_matches,
         "reduce": reduce,
@@ -349,7 +355,7 @@ def counted(
         found = facts.profile_of(metrics, facts.ids[key])
         if found["facts"]:
             new_rows[key] = found["facts"]
-            facts.learn(key, found["subjects"], found["objects"])
+            facts.learn(key, found)
     return counts, new_rows
 
 

@@ -2,8 +2,10 @@
 
 import random
 import re
+from collections import Counter
 from itertools import permutations
 from pathlib import Path
+from statistics import median
 
 import pytest
 from helpers import as_set, brute_closure, iri, kb_of, rules_of, triples
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import hornfold as hf
-from hornfold.operators.match import ears, join_order
+from hornfold.operators.match import ears, join_atoms, join_order
 from hornfold.plans.facts import FactTables
 from hornfold.plans.fixpoint import mark_new, run_phase
 
@@ -257,3 +259,45 @@ def test_later_phases_read_written_tables_only(spark):
     text = plan(result.inferred)
     assert "Join" not in text and "Exchange" not in text
     assert text.count("FileScan") == 1
+
+
+def hub_edges(nodes=600):
+    """A third of the edges come into one node, a third leave another, the rest join the two."""
+    into = [f"in{i} e hub" for i in range(nodes)]
+    out = [f"hub2 e out{i}" for i in range(nodes)]
+    return "\n".join([*into, *out, "hub e c0", "c0 e hub2", "hub e x", "hub e y"])
+
+
+@pytest.mark.parametrize("explain", [False, True])
+def test_hot_nodes_are_split_without_adaptive_help(spark, conf, explain):
+    conf(autoBroadcastJoinThreshold=-1, adaptive__skewJoin__enabled="false")
+    rules = rules_of(spark, "e(?x,?y) -> t(?x,?y)", "t(?x,?y)^e(?y,?z) -> u(?x,?z)", "u(?x,?y)^e(?y,?z) -> u(?x,?z)")
+    kb = kb_of(spark, hub_edges(120))
+    plain = hf.infer(kb, rules, explain=explain)
+    salted = hf.infer(kb, rules, explain=explain, salt=True)
+    assert as_set(salted.kb) == as_set(plain.kb)
+    assert sorted(salted.stats.collect()) == sorted(plain.stats.collect())
+    again = hf.infer(kb, rules, salt=True, max_phases=2)
+    assert as_set(hf.infer(kb, rules, salt=True, resume=again.folder).kb) == as_set(plain.kb)
+
+
+def test_rows_of_a_hot_value_go_to_many_tasks(spark, conf):
+    conf(autoBroadcastJoinThreshold=-1, adaptive__enabled="false", shuffle__partitions=8)
+    rule = rules_of(spark, "t(?x,?y)^e(?y,?z) -> u(?x,?z)").rules[0]
+    left = spark.range(3000).selectExpr("concat('a', id) s", "if(id % 3 = 0, 'hub', concat('b', id)) o")
+    right = spark.range(3000).selectExpr("if(id % 1000 = 0, 'hub', concat('b', id)) s", "concat('c', id) o")
+    hot = [({}, {"hub": 32}), ({}, {})]
+
+    def largest(pieces):
+        matches = join_atoms([left, right], rule, pieces=pieces)
+        tasks = matches.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        rows = [r["count"] for r in tasks]
+        return Counter(map(tuple, matches.collect())), max(rows) / median(rows)
+
+    plain, together = largest(None)
+    split, apart = largest(hot)
+    assert plain == split and together > 6 and apart <= 3
+    both = [({}, {"hub": 3}), ({"hub": 8, "b1": 2}, {})]
+    assert largest(both)[0] == plain
+    # Only values with more facts than a task's fair share are cut.
+    assert join_atoms([left, right], rule, pieces=[({}, {}), ({}, {})]).columns == ["y", "x", "z"]
