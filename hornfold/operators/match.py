@@ -202,6 +202,18 @@ def order_from(start: int, body: Sequence[Atom], waiting: list[int], known: list
     return order, total
 
 
+def rows_expected(body: Sequence[Atom], first: int | None, fanouts: Sequence[FanOut], new: int | None) -> float:
+    """Matches of a body by what is known of its relations; ``new`` is the number of facts that atom ``first`` reads."""
+    start, *rest = join_order(body, first, fanouts, None)
+    rows = start_rows(body[start], fanouts[start]) if new is None else float(new)
+    bound = set(body[start].variables)
+    for i in rest:
+        if not set(body[i].variables) <= bound:
+            rows *= expected_rows(body[i], bound, fanouts[i])
+        bound |= set(body[i].variables)
+    return rows
+
+
 def start_rows(atom: Atom, known: FanOut) -> float:
     """Facts of an atom by itself: of one value where it fixes its subject or object."""
     sides = [per for term, per in zip((atom.s, atom.o), known[:2], strict=True) if not is_variable(term)]

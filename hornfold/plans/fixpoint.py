@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 import time
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -13,15 +14,18 @@ from pyspark.sql import functions as F
 
 from hornfold.operators.explain import EXPLANATION_SCHEMA, with_conclusion
 from hornfold.operators.heads import head_term
-from hornfold.operators.match import join_atoms
+from hornfold.operators.match import join_atoms, rows_expected
 from hornfold.plans.doubling import doubled
 from hornfold.plans.facts import FACT, FactTables, key_metrics
 from hornfold.sources.folders import claim_folder, last_part, remove_folder, run_folder
 from hornfold.sources.rules import Key, Rule, RuleSet
-from hornfold.sources.triples import TRIPLE_COLUMNS
+from hornfold.sources.triples import TRIPLE_COLUMNS, union_triples, without_rules
 
 logger = logging.getLogger("hornfold")
 
+#: Candidates that a task can hold in memory, by estimate; with more they are sorted, which can spill.
+HASHED_A_TASK = 500_000
+
 
 @dataclass(frozen=True)
 class Inference:
@@ -121,6 +125,7 @@ def infer(
         facts.explained_before = last_part(kb.sparkSession, explain_path, "phase")
     if not found:
         facts.explain_path = explain_path or facts.explain_path
+        facts.fit_input()
     facts.create()
     try:
         if not found:
@@ -161,13 +166,19 @@ def extend(
     facts.create()
     try:
         facts.add(added.select(*TRIPLE_COLUMNS), progress.phase)
+        facts.deal_anew()
         progress.triggered = fed_by(rules, facts.newest_rows)
         facts.save_manifest(progress.phase, progress.record())
         run_phases(facts, rules, progress, None, False, count_matches, reduce)
     finally:
         facts.forget()
-    fresh = added.select(*TRIPLE_COLUMNS).distinct().join(result.kb, list(TRIPLE_COLUMNS), "left_anti")
-    return inference(facts, progress, result.kb.unionByName(fresh), False)
+    return inference(facts, progress, union_triples(result.kb, *facts.added(), unnamed(added, result.kb, rules)), False)
+
+
+def unnamed(added: DataFrame, kb: DataFrame, rules: RuleSet) -> DataFrame:
+    """The facts of ``added`` that no rule names and ``kb`` hasn't; those that rules name were compared and written."""
+    added, kb = (without_rules(frame.select(*TRIPLE_COLUMNS), rules) for frame in (added, kb))
+    return added.distinct().join(kb, list(TRIPLE_COLUMNS), "left_anti")
 
 
 def run_phases(
@@ -190,6 +201,7 @@ def run_phases(
         seconds = time.monotonic() - started
         progress.phases.append((progress.phase, [r.rule_id for r in triggered], matched, sum(new_rows.values()), seconds))
         facts.advance(progress.phase, new_rows)
+        facts.deal_anew()
         progress.triggered = fed_by(rules, new_rows)
         facts.save_manifest(progress.phase, progress.record())
         facts.drop_copied()
@@ -278,7 +290,8 @@ def run_phase(
     counters = [f"matched_{i}" for i in range(1 + max(slots[rule_id] for rule_id in live))]
     candidates = heads.groupBy(*FACT).agg(*(F.count_if(F.col("slot") == i).alias(c) for i, c in enumerate(counters)))
     head_keys = list(dict.fromkeys(rule.head.key for rule in live.values()))
-    marked = mark_new(candidates, facts.known(head_keys))
+    few = sum(candidates_expected(facts, rule, phase) for rule in live.values()) <= facts.buckets * HASHED_A_TASK
+    marked = mark_new(candidates, facts.known(head_keys), hashed=few)
     seen = Observation(f"phase {phase}")
     metrics = key_metrics([facts.ids[key] for key in head_keys], F.col("is_new"), facts.salt)
     metrics += [m for rule in live.values() for m in rule_metrics(facts, rule, slots)]
@@ -318,17 +331,41 @@ def phase_terms(
 
 def head_rows(facts: FactTables, rule: Rule, slots: dict[int, int], matches: DataFrame) -> DataFrame:
     return matches.select(
-        F.lit(facts.ids[rule.head.key]).alias("k"),
+        fact_key(facts.ids[rule.head.key], head_term(rule.head.s), head_term(rule.head.o)).alias("k"),
         F.lit(slots[rule.rule_id]).alias("slot"),
         head_term(rule.head.s).alias("s"),
         head_term(rule.head.o).alias("o"),
     )
 
 
-def mark_new(candidates: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Add ``is_new``: whether a candidate was unknown before the phase."""
+def fact_key(i: int, s: Column, o: Column) -> Column:
+    """A key's number as an expression of the row.
+
+    A plain constant would be taken out of the join with the known facts, which are dealt by key, subject
+    and object: they would all be shuffled to be dealt by subject and object alone.
+    """
+    return F.least(F.lit(i), F.lit(i) + F.char_length(s) + F.char_length(o))
+
+
+def candidates_expected(facts: FactTables, rule: Rule, phase: int) -> float:
+    """How many matches ``phase_terms`` finds, by the counts of earlier writes; infinite where nothing was counted."""
+    keys = [atom.key for atom in rule.body]
+    fanouts = [facts.fanout(key) for key in keys]
+    if any(fanout is None for fanout in fanouts):
+        return math.inf
+    starts = [(None, None)] if phase == 1 else [(i, facts.newest_rows[k]) for i, k in enumerate(keys) if k in facts.newest_rows]
+    return sum(rows_expected(rule.body, i, fanouts, rows) for i, rows in starts)
+
+
+def mark_new(candidates: DataFrame, known: DataFrame | None, *, hashed: bool = False) -> DataFrame:
+    """Add ``is_new``: whether a candidate was unknown before the phase.
+
+    ``hashed`` candidates are held in memory, a task's share at a time, and the known facts run past them;
+    otherwise both are sorted, the known ones in every phase anew.
+    """
     if known is None:
         return candidates.withColumn("is_new", F.lit(True))
+    candidates = candidates.hint("shuffle_hash") if hashed else candidates
     marked = candidates.join(known.withColumn("seen", F.lit(True)), FACT, "left")
     return marked.withColumn("is_new", F.col("seen").isNull()).drop("seen")
 

@@ -159,15 +159,23 @@ def stored_by_key(triples: DataFrame) -> bool:
 
 def rules_only(triples: DataFrame, rules: RuleSet) -> DataFrame:
     """Keep the triples whose predicate or class some rule names."""
+    return triples.filter(named(triples, rules))
+
+
+def without_rules(triples: DataFrame, rules: RuleSet) -> DataFrame:
+    """Keep the triples whose predicate or class no rule names."""
+    return triples.filter(~F.coalesce(named(triples, rules), F.lit(False)))
+
+
+def named(triples: DataFrame, rules: RuleSet) -> Column:
+    """Whether some rule names the predicate or class of a triple."""
     properties = [key for key, of_type in rules.keys if not of_type]
     classes = [key for key, of_type in rules.keys if of_type]
     if stored_by_key(triples):
-        wanted = (~F.col("is_type") & F.col("pred_key").isin(properties)) | (
+        return (~F.col("is_type") & F.col("pred_key").isin(properties)) | (
             F.col("is_type") & F.col("pred_key").isin(classes)
         )
-    else:
-        wanted = F.col("p").isin(properties) | (is_type(F.col("p")) & F.col("o").isin(classes))
-    return triples.filter(wanted)
+    return F.col("p").isin(properties) | (is_type(F.col("p")) & F.col("o").isin(classes))
 
 
 def relation(triples: DataFrame, key: str, of_type: bool) -> DataFrame:

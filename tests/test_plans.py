@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import hornfold as hf
 from hornfold.operators.match import ears, join_atoms, join_order
+from hornfold.plans import fixpoint
 from hornfold.plans.facts import FactTables
 from hornfold.plans.fixpoint import mark_new, run_phase
 
@@ -150,6 +151,58 @@ def test_known_facts_are_not_shuffled(spark, staged):
     assert initial.count("Exchange hashpartitioning") == 1
 
 
+def test_a_phase_of_one_rule_leaves_known_facts_where_they_are(spark, staged, monkeypatch):
+    write, plans = FactTables.write, []
+
+    def noted(self, facts, phase):
+        plans.append(plan(facts).split("== Initial Plan ==")[-1])
+        write(self, facts, phase)
+
+    monkeypatch.setattr(FactTables, "write", noted)
+    slots, rules = {1: 0, 2: 1}, staged.rules.rules
+    _, new = run_phase(staged, list(rules), slots, 1, False, True, False)
+    staged.advance(1, new)
+    assert run_phase(staged, [rules[1]], slots, 2, False, True, False)[0] == {2: (2, 2, 2)}
+    # Both sides of the body's join and the candidates are dealt; the known facts are read in their buckets and not sorted.
+    assert plans[-1].count("Exchange hashpartitioning") == 3 and "Bucketed: true" in plans[-1]
+    assert re.search(r"ShuffledHashJoin .*LeftOuter, BuildLeft", plans[-1])
+
+
+def test_many_candidates_are_sorted_since_that_can_spill(spark, staged, monkeypatch):
+    monkeypatch.setattr(fixpoint, "HASHED_A_TASK", 0)
+    write, plans = FactTables.write, []
+    monkeypatch.setattr(FactTables, "write", lambda self, facts, phase: (plans.append(plan(facts)), write(self, facts, phase)))
+    slots, rules = {1: 0, 2: 1}, staged.rules.rules
+    staged.advance(1, run_phase(staged, list(rules), slots, 1, False, True, False)[1])
+    assert run_phase(staged, [rules[1]], slots, 2, False, True, False)[0] == {2: (2, 2, 2)}
+    assert "ShuffledHashJoin" not in plans[-1]
+
+
+def test_adding_facts_compares_no_closure_again(spark, conf):
+    conf(autoBroadcastJoinThreshold=-1)
+    rules = rules_of(spark, "e(?x,?y) -> t(?x,?y)", "t(?x,?y)^e(?y,?z) -> t(?x,?z)")
+    first = hf.infer(kb_of(spark, "a e b\nb e c\na other z"), rules, distinct_input=True)
+    added = kb_of(spark, "c e d\na e b\na t c\na other z\nb other z")
+    result = hf.extend(first, added.unionByName(added), rules)
+    assert as_set(result.kb) == brute_closure(rules.rules, triples("a e b\nb e c\nc e d\na other z\nb other z"))[0]
+    # Only facts that no rule names are compared when the result is read: not those of the run's tables.
+    joined = plan(result.kb).split("LeftAnti")[1]
+    assert "/facts" not in joined
+
+
+def test_wide_shuffles_are_merged_to_the_size_of_a_task(spark, conf):
+    names = ("adaptive__coalescePartitions__initialPartitionNum", "adaptive__advisoryPartitionSizeInBytes")
+    conf(shuffle__partitions=4, **{names[0]: 7, names[1]: "5m"})
+    hf.tune(spark)  # what the session states is left
+    settings = ["spark.sql." + name.replace("__", ".") for name in names]
+    assert [spark.conf.get(name) for name in settings] == ["7", "5m"]
+    for name in settings:
+        spark.conf.unset(name)
+    text = plan(entry.queries()["co_supply"](spark, SF_DIR))
+    assert set(re.findall(r"hashpartitioning\([^)]*, (\d+)\)", text)) == {"1000"}
+    assert [spark.conf.get(name) for name in settings] == ["1000", "16m"]
+
+
 def test_a_phase_is_one_write_and_no_other_job(spark, staged, monkeypatch):
     jobs, write = [], FactTables.write
     monkeypatch.setattr(FactTables, "write", lambda self, facts, phase: (jobs.append(phase), write(self, facts, phase)))
