@@ -18,11 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hornfold.llm.common import Run, ranked
-from hornfold.llm.tokens import encoder, vocabulary
+from hornfold.llm.tokens import encoder, slices, vocabulary
 
 CAPACITY = 1024
 END_ID = 2
-SLICE = 1024
 
 
 class OpenBins:
@@ -109,11 +108,9 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
         end = np.asarray([end_id], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+            for part in slices(batch, 1):
                 owner, piece, start, length, check = [], [], [], [], []
-                for row, ids in enumerate(encoder(path).encode(texts)):
+                for row, ids in enumerate(encoder(path).encode(part.column(1))):
                     ids += end
                     # Whole pieces end a document that is cut; the first has what is left over.
                     first_end = len(ids) % (4 * capacity) or 4 * capacity

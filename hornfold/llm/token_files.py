@@ -25,14 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornfold.llm.common import Run, partitions
-from hornfold.llm.tokens import encoder, vocabulary
+from hornfold.llm.tokens import encoder, slices, vocabulary
 
 MAGIC = b"HFBP"
 BLOCK = 1 << 16
 PLANES = 32
 END_ID = 1
 LEVEL = 3
-SLICE = 1024
 TAIL = struct.Struct("<QQQQQ4s")
 
 
@@ -157,17 +156,17 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
 
     def to_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = shard = None
+        end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, 2):
                 if writer is None:
                     shard = part.column(0)[0].as_py()
                     fs, root = pafs.FileSystem.from_uri(folder)
                     fs.create_dir(root, recursive=True)
                     writer = Writer(fs, f"{root}/{shard:07d}.hfbp")
-                texts = [t or "" for t in part.column(2).to_pylist()]
-                for doc_id, ids in zip(part.column(1).to_pylist(), encoder(path).encode(texts), strict=True):
-                    writer.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)).astype("<u4"))
+                found = encoder(path).encode(part.column(2))
+                for doc_id, ids in zip(part.column(1).to_pylist(), found, strict=True):
+                    writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
         if writer:
             writer.close()
             row = {"shard": [shard], "path": [writer.path], "docs": [len(writer.ids)], "tokens": [writer.tokens]}

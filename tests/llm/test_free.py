@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -33,6 +34,40 @@ def test_remembered_words_give_the_ids_of_whole_texts(name):
             assert ids == ids_of(name, text, 0)[:-1].tobytes(), repr(text)
 
 
+def test_a_word_is_learned_once_whatever_its_case_marks_and_line():
+    # Each form was learned apart: by Python, part for part, and by the library, word for word.
+    stems = ["stone", "étage", "straße", "łódka"]
+    forms = ["{}", "{},", "{}.", '{}!"', "\n{}", "\n{}:"]
+    text = " ".join(["x", *(form.format(word) for stem in stems for word in (stem, stem.title()) for form in forms)])
+    text = text.replace(" \n", "\n")
+    for name, words in (("word_bpe_49k.json", len(stems)), ("byte_bpe_50k.json", 4 * len(stems))):
+        encoder = tokens.Encoder(tokens.vocabulary(name))
+        assert encoder.encode([text]) == [ids_of(name, text, 0)[:-1].tobytes()]
+        assert sum(len(getattr(encoder, memory, ())) for memory in ("new", "old", "words", "old_words")) == words
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_slices_are_those_of_the_library(name, monkeypatch):
+    # A letter with a mark of its own in lower case (before, the word and its bracket were encoded apart), letters
+    # that join marks, other scripts, white space of all kinds.
+    pool = [*"abzABZéÉßñÿŁłİıǅſ.,!'\"()-09\n\t\r\u0301\u0338日ΣςЖ\U0001f600\x1c\x85\xa0ª<|", *" " * 20, *"etaoin" * 2, "\n", "\n"]
+    rng = random.Random(7)
+    texts = ["", "\n", "a", "\na", " a", "a\n", "ΣİΣ) İ) aİ.", *("".join(rng.choices(pool, k=rng.randint(0, 60))) for _ in range(600))]
+    texts.append("x" * 900)
+    library = Tokenizer.from_file(tokens.vocabulary(name))
+    library.encode_special_tokens = True
+    wanted = [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 500)
+    monkeypatch.setattr(tokens, "REMEMBERED", 100)  # so that words go from the younger memory to the older and out
+    encoder = tokens.Encoder(tokens.vocabulary(name))
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([*texts, None])})
+    parts = list(tokens.slices(batch, 0))
+    assert all(part.num_rows == 1 or sum(len((t or "").encode()) for t in part[0].to_pylist()) <= 500 for part in parts)
+    found = [ids for part in parts for ids in encoder.encode(part[0])]
+    assert found == [*wanted, b""]
+    assert encoder.encode([]) == [] and list(tokens.slices(batch.slice(0, 0), 0)) == []
+
+
 def best_fit(lengths, capacity):
     bins = []
     for length in sorted(lengths, reverse=True):
