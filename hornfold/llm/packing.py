@@ -147,10 +147,10 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capacit
         (length, first[length] + rank, first[length] + rank + ranks, each, at, offset)
         for length, rank, ranks, each, at, offset in plan({r["length"]: r["n"] for r in lengths}, capacity)
     ]
-    # A few rows for each length, so bounded by the capacity.
-    places = run.spark.createDataFrame(
-        runs, "__length long, __from long, __to long, __each long, __bin long, __offset long"
-    )
+    # A few rows for each length, so bounded by the capacity. As Arrow's they need no Python workers of another kind.
+    names = ["__length", "__from", "__to", "__each", "__bin", "__offset"]
+    columns = [pa.array([row[i] for row in runs], pa.int64()) for i in range(len(names))]
+    places = run.spark.createDataFrame(pa.table(columns, names=names))
     here = (
         (placed["length"] == F.col("__length")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
     )

@@ -18,10 +18,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts and words each worker remembers, of both in either of two generations, so that frequent ones stay.
-REMEMBERED = 600_000
+#: Parts and words each worker remembers, of both in either of two generations, so that frequent ones stay. A
+#: generation passes it only by a slice with more distinct ones. Each takes some 200 bytes, and workers outlive tasks.
+REMEMBERED = 200_000
 #: Texts that are encoded together: so many bytes, or one that is longer.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 # Closing marks: both vocabularies cut them from letters. An apostrophe may begin a token with letters after it.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
@@ -151,6 +152,7 @@ class Encoder:
             column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
             return self.gathered(pc.fill_null(column, "")) if len(column) else []
         finally:
+            pa.default_memory_pool().release_unused()  # what the slice took, else the worker keeps it
             if collecting:
                 gc.enable()
 
@@ -216,7 +218,7 @@ class Encoder:
 
     def recall(self, keys: list[str]) -> list[bytes]:
         """The ids of distinct words of letters, with what is before them; a word has its line feed where it matters."""
-        if len(self.words) > REMEMBERED:
+        if len(self.words) + len(keys) > REMEMBERED:
             self.old_words, self.words = self.words, {}
         words, old, tokenize = self.words, self.old_words, self.model.tokenize
         flat: list[int] = []
@@ -249,7 +251,7 @@ class Encoder:
 
     def others(self, parts: list[str]) -> list[bytes]:
         """The ids of any distinct parts, with the space or line feed before them."""
-        if len(self.new) > REMEMBERED:
+        if len(self.new) + len(parts) > REMEMBERED:
             self.old, self.new = self.new, {}
         self.learn({part for part in parts if part not in self.new})
         return [self.new[part] for part in parts]

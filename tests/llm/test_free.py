@@ -1,6 +1,7 @@
 """The operators with Python inside tasks, and the pipeline, against plain Python."""
 
 import random
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -68,6 +69,29 @@ def test_ids_of_slices_are_those_of_the_library(name, monkeypatch):
     assert encoder.encode([]) == [] and list(tokens.slices(batch.slice(0, 0), 0)) == []
 
 
+def test_what_an_encoder_remembers_is_bounded():
+    # Before, a worker kept 600,000 words and more in each of two generations, over 200 MB that no task gave back.
+    encoder = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"))
+    digits = str.maketrans("0123456789", "abcdefghij")
+    for at in range(0, 480_000, 120_000):
+        encoder.encode([" ".join(f"{i:06d}".translate(digits) for i in range(at, at + 120_000))])
+    memories = [encoder.new, encoder.old, encoder.words, encoder.old_words]
+    size = sum(sys.getsizeof(m) + sum(map(sys.getsizeof, (*m, *m.values()))) for m in memories)
+    assert 200_000 < sum(map(len, memories)) <= 400_000 and size < 70e6
+    assert tokens.SLICE_BYTES <= 4 << 20
+
+
+def test_the_plan_of_a_packing_needs_no_python_rdd(spark, monkeypatch):
+    # Before, its rows went through Python workers of another kind, which stayed beside those of the encoder.
+    docs = spark.createDataFrame([(1, "a few words"), (2, None)], "doc_id long, text string")
+    rows = docs.collect()
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    packed = packing.pack(docs)
+    assert packed.dtypes[-2:] == [("sequence_id", "bigint"), ("offset", "bigint")]
+    assert sorted(r["doc_id"] for r in packed.collect()) == [r["doc_id"] for r in rows]
+    assert packing.pack(docs.where("doc_id > 2")).collect() == []
+
+
 def best_fit(lengths, capacity):
     bins = []
     for length in sorted(lengths, reverse=True):
